@@ -56,6 +56,28 @@ def _uniform(seed: int, a: object, b: object) -> float:
     return xxhash.xxh3_64_intdigest(f"{seed}|{a}|{b}".encode()) / 2.0**64
 
 
+def _evened(k: int, to: float, share: list[float], size: list[int], loose: list[int]) -> tuple[float, dict[int, float]]:
+    """What stays owed if document k is rounded to `to`, and the documents that change with it.
+
+    What the rounding adds or takes goes by other documents that were open and have the opposite value, larger ones first, as long
+    as they fit.
+    """
+    owed, changed = (share[k] - to) * size[k], {k: to}
+    for other in sorted(loose, key=lambda j: (-size[j], j)):
+        if other != k and owed >= size[other] and share[other] == 0.0:
+            changed[other], owed = 1.0, owed - size[other]
+        elif other != k and -owed >= size[other] and share[other] == 1.0:
+            changed[other], owed = 0.0, owed + size[other]
+    return abs(owed), changed
+
+
+def _round_last(k: int, chance: float, share: list[float], size: list[int], loose: list[int]) -> None:
+    """Rounds a source's last open document the way that owes less in the end; by chance if neither does."""
+    down, up = _evened(k, 0.0, share, size, loose), _evened(k, 1.0, share, size, loose)
+    for j, x in (down if down[0] < up[0] or down[0] == up[0] and chance >= share[k] else up)[1].items():
+        share[j] = x
+
+
 def _settle(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Settles a group's documents, source by source; one of each source may stay open, unless this is the last level."""
 
@@ -64,12 +86,17 @@ def _settle(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
         share, size = group["share"].tolist(), group["size"].tolist()
         ids, copy, source = group["doc_id"].tolist(), group["copy"].tolist(), group["source"].tolist()
         opened = [False] * len(share)
+        loose: dict[object, list[int]] = {}
+        source_of = lambda k: None if pd.isna(source[k]) else source[k]
+        for k in range(len(share)):
+            if size[k] and 0.0 < share[k] < 1.0:
+                loose.setdefault(source_of(k), []).append(k)
         open_ = -1
         for k in range(len(share) + 1):
             if k == len(share) or (open_ >= 0 and source[k] != source[open_] and not (pd.isna(source[k]) and pd.isna(source[open_]))):
                 if open_ >= 0:
                     if last:
-                        share[open_] = float(_uniform(seed, ids[open_], copy[open_]) < share[open_])
+                        _round_last(open_, _uniform(seed, ids[open_], copy[open_]), share, size, loose[source_of(open_)])
                     else:
                         opened[open_] = True
                 open_ = -1

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +21,22 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Shards that documents are dealt to, and slots of the lookup table.
+SHARDS, SLOTS = [f"shard-{k:02d}" for k in range(16)], 65_537
+
+
+def op1_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign
+
+    return assign(_documents(spark, sf_dir), "doc_id", SHARDS, SLOTS)
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import store_texts
+
+    return store_texts(_documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -31,6 +49,55 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=2, percent=80)
 
 
+def op5_token_count_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches: all documents under both versions; every tenth deleted; revised counts of every seventh; and one sent twice."""
+    from ._shared import materialize, new_path
+    from .token_counts import VERSIONS, Ledger, changes, count_tokens, revisions
+
+    docs = _documents(spark, sf_dir)
+    counts = docs.select("doc_id", "source", "lang", *(count_tokens(F.col("text"), v).alias(v) for v in VERSIONS))
+    counts = materialize(counts, "counts")
+    both = lambda f: reduce(DataFrame.union, [f(v) for v in VERSIONS])
+    ledger = Ledger(spark, new_path(spark, "ledger"))
+    ledger.commit("inserts", both(lambda v: changes(counts, 1, F.col(f"`{v}`"), F.lit(v))))
+    gone = counts.where("doc_id % 10 = 3")
+    deletes = both(lambda v: changes(gone, -1, F.col(f"`{v}`"), F.lit(v)))
+    ledger.commit("deletes", deletes)
+    ledger.commit("deletes", deletes)
+    # the end mark was left out of these documents' counts
+    revised = counts.where("doc_id % 7 = 2 and doc_id % 10 != 3")
+    ledger.commit("revised", both(lambda v: revisions(revised, F.col(f"`{v}`"), F.col(f"`{v}`") + 1, F.lit(v))))
+    return ledger.totals()
+
+
+OP5_SQL = r"""
+WITH counts AS (
+  SELECT doc_id, source, lang, 'words-1' AS tokenizer, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n FROM documents
+  UNION ALL
+  SELECT doc_id, source, lang, 'words-2', coalesce(len(regexp_extract_all(text, '[0-9A-Za-z]+|[^0-9A-Za-z\x20\x09-\x0D]+')), 0) FROM documents),
+deltas AS (
+  SELECT 1 AS batch, source, lang, tokenizer, 1 AS d, n FROM counts
+  UNION ALL SELECT 2, source, lang, tokenizer, -1, -n FROM counts WHERE doc_id % 10 = 3
+  UNION ALL SELECT 3, source, lang, tokenizer, 0, 1 FROM counts WHERE doc_id % 7 = 2 AND doc_id % 10 <> 3),
+summed AS (SELECT batch, source, lang, tokenizer, sum(d) AS d, sum(n) AS n FROM deltas GROUP BY ALL)
+SELECT source, lang, tokenizer, CAST(sum(d) AS BIGINT) AS documents, CAST(sum(n) AS BIGINT) AS tokens,
+       count(*) FILTER (d <> 0 OR n <> 0) AS batches
+FROM summed GROUP BY source, lang, tokenizer HAVING sum(d) <> 0 OR sum(n) <> 0
+"""
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_groups
+
+    return line_groups(_documents(spark, sf_dir)).drop("digest")
+
+
 def op8_threshold_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import compare_with_edits
 
@@ -53,5 +120,17 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+def _op1_sql() -> str:
+    """The lookup table as text, a letter a slot; placement itself is SQL. (The table is tested against plain code.)"""
+    from .sharding import lookup_table
+
+    table = "".join(chr(65 + s) for s in lookup_table(SHARDS, SLOTS))
+    return f"""
+WITH placed AS (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) % {SLOTS} AS slot FROM documents),
+found AS (SELECT doc_id, slot, CAST(ascii(substr('{table}', CAST(slot AS INTEGER) + 1, 1)) - 65 AS INTEGER) AS shard FROM placed)
+SELECT doc_id, slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 2, '0') AS shard_name FROM found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_maglev_sharding": _op1_sql(), "op5_token_count_rollup": OP5_SQL}
