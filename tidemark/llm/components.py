@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import forget, materialize
 
+#: Of a key and the columns of some of its members, and the places of pairs of them: the places of those worth a check.
+Compare = Callable[[int, dict[str, pa.Array], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """Each node of `links` (a, b) with the smallest node that it reaches: (id, component).
@@ -51,20 +56,71 @@ def connected_components(links: DataFrame) -> DataFrame:
     return place.join(named, "to").select("id", "component")
 
 
+#: Members of a key that are held against each other at once; larger keys are dealt into blocks of about so many.
+BLOCK = 256
+
+
+def _compared(columns: list[str], compare: Compare) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows in order of (key, x, y): pairs of a block of each key with another, or with itself."""
+
+    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        group = pa.Table.from_batches(rows).combine_chunks()
+        if group.num_rows < 2:
+            return None
+        x, y, block = (group.column(c)[0].as_py() if c != "block" else group.column(c).to_numpy() for c in ("x", "y", "block"))
+        place = np.arange(group.num_rows)
+        one, two = (place[block == x], place[block == y]) if x != y else (place, place)
+        a, b = np.repeat(one, len(two)), np.tile(two, len(one))
+        group_of, id_of = group.column("group").to_numpy(), group.column("id").to_numpy()
+        apart = (group_of[a] != group_of[b]) & ((a < b) | (x != y))
+        a, b = a[apart], b[apart]
+        if len(a):
+            a, b = compare(group.column("key")[0].as_py(), {c: group.column(c).combine_chunks() for c in columns}, a, b)
+        if not len(a):
+            return None
+        lo, hi = np.minimum(id_of[a], id_of[b]), np.maximum(id_of[a], id_of[b])
+        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            mark = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "x", "y")])
+            cuts = [0, *(np.flatnonzero((np.diff(mark) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
+                    continue
+                this = tuple(mark[:, start].tolist())
+                if held and this != now:
+                    if (found := pairs(held)) is not None:
+                        yield found
+                    held = []
+                now = this
+                held.append(batch.slice(start, end - start))
+        if held and (found := pairs(held)) is not None:
+            yield found
+
+    return run
+
+
 def links_by_shared_keys(
     items: DataFrame,
     keys: DataFrame,
     may_match: Callable[[str, str], Column],
-    confirm: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    confirm: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
+    compare: Compare,
 ) -> DataFrame:
     """Links (a, b) between items that share a key, may match and are confirmed, enough of them to connect what all would.
 
-    `items` has id and the columns that `may_match` compares (given the two sides' prefixes), `keys` has key and id. First each
-    key's members are held against its smallest member only: a star has one edge a member. What those edges connect counts as
-    one; then, for the keys whose members aren't all connected, the pairs across groups are held against each other as well. So
-    no pair that could join two groups is lost, and pairs within a group, of which there may be very many, are never made.
-    `confirm(ids)` gets the items that can occur in pairs and returns the function that keeps the true links of pairs.
+    `items` has id (long) and the columns that `may_match` compares (given the two sides' prefixes), `keys` has key (long) and id.
+    First each key's members are held against its smallest member only: a star has one edge a member. What those edges connect
+    counts as one; then, for the keys whose members aren't all connected, members of different groups are held against each
+    other as well, inside tasks: each gets two blocks of a key's members, and `compare` names the pairs of them that are worth a
+    check. So no pair that could join two groups is lost, and no table ever holds the pairs of a key.
+    `confirm(ids)` gets the items that can occur in pairs; it returns the table of what `compare` is given (id and other columns),
+    and the function that keeps the true links of pairs.
     """
+
     def prefixed(table: DataFrame, side: str) -> DataFrame:
         return table.select(*(F.col(c).alias(f"{side}_{c}") for c in table.columns))
 
@@ -73,15 +129,18 @@ def links_by_shared_keys(
     star = crowd.where("id != hub").select(F.col("hub").alias("a_id"), F.col("id").alias("b_id")).distinct()
     star = star.join(prefixed(items, "a"), "a_id").join(prefixed(items, "b"), "b_id")
     star = materialize(star.where(may_match("a_", "b_")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "star")
-    check = confirm(crowd.select("id").distinct())
+    content, check = confirm(crowd.select("id").distinct())
     near = materialize(check(star), "near")
     group = materialize(connected_components(near), "groups")
-    member = crowd.join(group, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("component"))
-    apart = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    member = materialize(member.where("id != hub").join(apart, "key", "left_semi").join(items, "id"), "members")
-    a, b = prefixed(member, "a"), prefixed(member, "b")
-    met = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component")) & may_match("a_", "b_"))
-    met = materialize(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), "met")
+    member = crowd.join(group, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("group"))
+    apart = member.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.count("*").alias("n")).where("least != most")
+    member = member.where("id != hub").join(apart.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    member = member.select("key", "id", "group", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    member = member.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "group").join(content, "id")
+    columns = [c for c in content.columns if c != "id"]
+    dealt = member.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id").select("key", "x", "y", "block", "id", "group", *columns)
+    met = materialize(dealt.mapInArrow(_compared(columns, compare), "a long, b long").distinct(), "met")
     more = materialize(check(met), "near")
-    forget(star, crowd, member, met, group)
+    forget(star, crowd, met, group)
     return near.union(more)

@@ -80,9 +80,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
     )
 
 
-def _may_match(percent: int, bins: int) -> Callable[[str, str], Column]:
+def _most_apart(percent: int, bins: int) -> int:
+    """In how many bins a pair at the threshold may differ: six standard deviations above the mean."""
     share = percent / 100
-    most = math.ceil(bins * (1 - share) + 6 * math.sqrt(bins * share * (1 - share)) + 1)
+    return math.ceil(bins * (1 - share) + 6 * math.sqrt(bins * share * (1 - share)) + 1)
+
+
+def _may_match(percent: int, bins: int) -> Callable[[str, str], Column]:
+    most = _most_apart(percent, bins)
     nibble = 0x1111111111111111
 
     def condition(a: str, b: str) -> Column:
@@ -101,12 +106,44 @@ def _may_match(percent: int, bins: int) -> Callable[[str, str], Column]:
 def _sets(shingle: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            sets = [h.tobytes() for h in shingle_hashes(*word_hashes(batch.column("text")), shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
+            sets = shingle_hashes(*word_hashes(batch.column("text")), shingle)
+            short = [(h >> np.uint64(32)).astype(np.uint32).tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array(short, pa.binary())], names=["id", "hashes", "short"])
 
     return run
 
 
+def _block_compare(percent: int, bins: int) -> Callable:
+    """Pairs whose 32-bit sets are similar enough (which loses none), each under the first key that its two members share."""
+    most = _most_apart(percent, bins)
+
+    def compare(key: int, columns: dict[str, pa.Array], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = columns["n"].to_numpy()
+        a, b = (x[(100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a])] for x in (a, b))
+        bands, marks = (columns[c].flatten().to_numpy().reshape(len(n), -1) for c in ("bands", "marks"))
+        nibbles = np.stack([(marks.view(np.uint64) >> np.uint64(4 * k)) & np.uint64(15) for k in range(16)], axis=2).astype(np.uint8).reshape(len(n), -1)
+        sets: dict[int, np.ndarray] = {}
+        found: list[tuple[int, int]] = []
+        for start in range(0, len(a), 4096):
+            x, y = a[start : start + 4096], b[start : start + 4096]
+            close = (nibbles[x] != nibbles[y]).sum(axis=1) <= most
+            x, y = x[close], y[close]
+            same = bands[x] == bands[y]
+            own = bands[x, same.argmax(axis=1)] == key
+            for p, q in zip(x[own].tolist(), y[own].tolist(), strict=True):
+                for k in (p, q):
+                    if k not in sets:
+                        sets[k] = np.frombuffer(columns["short"][k].as_buffer(), np.uint32)
+                both = np.sort(np.concatenate((sets[p], sets[q])))
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(both) - shared):
+                    found.append((p, q))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+
+    return compare
+
+
 def _similar(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,18 +182,18 @@ def near_duplicates(
     unique = materialize(drawn.join(reps, ["id", "digest"]).dropDuplicates(["id"]).select("id", "n", "bands", "marks"), "unique")
     keys = unique.select(F.explode("bands").alias("key"), "id")
 
-    def confirm(which: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def confirm(which: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
         needed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(which, "id", "left_semi")
-        full = needed.mapInArrow(_sets(shingle), "id long, hashes binary")
-        full = materialize(full.withColumn("size", F.length("hashes")).groupBy("id").agg(F.max(F.struct("size", "hashes")).alias("top")).select("id", "top.hashes"), "sets")
+        full = needed.mapInArrow(_sets(shingle), "id long, hashes binary, short binary")
+        full = materialize(full.withColumn("size", F.length("hashes")).groupBy("id").agg(F.max(F.struct("size", "hashes", "short")).alias("top")).select("id", "top.hashes", "top.short"), "sets")
 
         def check(pairs: DataFrame) -> DataFrame:
             side = lambda x: full.select(F.col("id").alias(x), F.col("hashes").alias(f"{x}_hashes"))
             return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar(percent), "a long, b long")
 
-        return check
+        return full.select("id", "short").join(unique, "id"), check
 
-    links = links_by_shared_keys(unique.select("id", "n", "marks"), keys, _may_match(percent, bands * rows), confirm)
+    links = links_by_shared_keys(unique.select("id", "n", "marks"), keys, _may_match(percent, bands * rows), confirm, _block_compare(percent, bands * rows))
     group = connected_components(links).select(F.col("id").alias("rep"), "component")
     label = ids.join(group, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     out = drawn.select("id", "n").join(label, "id", "left")
