@@ -57,7 +57,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 #: Members of a key that are held against each other at once; larger keys are dealt into blocks of about so many.
-BLOCK = 256
+BLOCK = 1024
 
 
 def _compared(columns: list[str], compare: Compare) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
