@@ -1,6 +1,6 @@
 """All queries over the driver's tables."""
 
-from . import market, telemetry  # noqa: F401
+from . import market, telemetry, text  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -80,10 +80,10 @@ def timing_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 2 if c == "total_ms" else 4) for c in out.columns if c.endswith("_ms")})
 
 
-@query("""SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def tumbling_window(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "events").groupBy(F.window("ts", "24 hours").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return rows.select(F.to_date("w.start").alias("day"), "event_type", "n", "total")
+    return rows.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
 @query("""SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, count(*) AS n, round(avg(value), 6) AS mean
