@@ -90,33 +90,33 @@ def shingle_hashes(starts: np.ndarray, hashes: np.ndarray, n: int) -> list[np.nd
     return out
 
 
-#: Letters and digits after which a run of marks is a token of its own.
-_ENDS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") | {chr(x) for x in range(0xC0, 0x100) if x not in (0xD7, 0xF7)}
+#: A run of marks after a letter or digit of these, at the end of a word, is a token of its own.
+_MARKS = ".,;:!?"
+_ENDS = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
 
 
 class WordwiseTokenizer:
     """Exact ids of a tokenizer whose tokens never span white space, with each distinct word encoded once.
 
-    Only for tokenizers that drop white space before they split (checked on construction); for those, the ids of a text are
-    the ids of its words in turn. What it remembers is bounded by `most` words and then forgotten.
+    Only for tokenizers that lower-case and drop white space before they split (checked on construction); for those, the ids of a
+    text are the ids of its words in turn, and those of a word that ends in marks after a letter or digit are the ids of its body and
+    of its marks. What it remembers is bounded by `most` pieces and then forgotten.
     """
 
     _kept: dict[str, WordwiseTokenizer] = {}
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        probe = " It's  a\tprobe,\r\n\x0bof 12 words\x0c é\x1f. "
+        probe = " It's  a\tPROBE,\r\n\x0bof 12!? words\x0c \u00e9\x1f. "
         ids = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        parts = [x for w in probe.encode().split() for x in self.tokenizer.encode(w.decode(), add_special_tokens=False).ids]
+        parts = [x for w in probe.lower().replace("e,", "e ,").replace("2!", "2 !").encode().split() for x in self.tokenizer.encode(w.decode(), add_special_tokens=False).ids]
         if ids != parts:
-            raise ValueError(f"the tokens of {path} depend on white space")
+            raise ValueError(f"the tokens of {path} depend on white space or case")
         self._clear()
 
     def _clear(self) -> None:
-        self.words: dict[str, int] = {}  # a word's row in `halves`: its body's and its marks' places
-        self.halves = np.empty((0, 2), np.int64)
         self.pieces: dict[str, int] = {"": 0}  # a piece's place in start and length
         self.ids, self.start, self.length = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
@@ -127,38 +127,50 @@ class WordwiseTokenizer:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _encode_pieces(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Several thousand pieces go through the tokenizer as one text, and offsets tell them apart."""
+        self.pieces.update(zip(pieces, range(len(self.pieces), len(self.pieces) + len(pieces)), strict=True))
+        starts, lengths, ids, used = [self.start], [self.length], [self.ids], len(self.ids)
         for a in range(0, len(pieces), 2048):
             some = pieces[a : a + 2048]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            begins = np.fromiter((x[0] for x in got.offsets), np.int64, len(got))
+            begins = np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0]
             ends = np.searchsorted(begins, np.cumsum([len(x) + 1 for x in some]))
-            self.start = np.concatenate((self.start, len(self.ids) + np.concatenate(([0], ends[:-1]))))
-            self.length = np.concatenate((self.length, np.diff(ends, prepend=0)))
-            self.ids = np.concatenate((self.ids, np.array(got.ids, np.uint32)))
-
-    def _learn(self, new: list[str]) -> None:
-        """A word that ends in marks after a letter or digit is its body and its marks: no token spans the two."""
-        halves = []
-        for word in new:
-            low = word.lower() if word.isascii() else word
-            body = low.rstrip(".,;:!?")
-            halves += (body, low[len(body) :]) if body and body[-1] in _ENDS else (low, "")
-        fresh = [x for x in dict.fromkeys(halves) if x not in self.pieces]
-        self.pieces.update(zip(fresh, range(len(self.pieces), len(self.pieces) + len(fresh)), strict=True))
-        self._encode_pieces(fresh)
-        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
-        self.halves = np.concatenate((self.halves, np.fromiter((self.pieces[x] for x in halves), np.int64, len(halves)).reshape(-1, 2)))
+            lengths.append(np.diff(ends, prepend=0))
+            starts.append(used + ends - lengths[-1])
+            ids.append(np.array(got.ids, np.uint32))
+            used += len(ids[-1])
+        self.start, self.length, self.ids = map(np.concatenate, (starts, lengths, ids))
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Each piece's place."""
+        coded = pieces.dictionary_encode()
+        listed = coded.dictionary.to_pylist()
+        known = self.pieces
+        place = [known.get(x, -1) for x in listed]
+        new = [x for x, k in zip(listed, place, strict=True) if k < 0]
+        if new:
+            base = len(known)
+            self._learn(new)
+            fresh = np.array(place, np.int64)
+            fresh[fresh < 0] = np.arange(base, base + len(new))
+            return fresh[coded.indices.to_numpy()]
+        return np.array(place, np.int64)[coded.indices.to_numpy()]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than texts) into the flat ids (unsigned 32 bits)."""
         starts, at, known = encoded_words(texts)
-        listed = known.to_pylist()
-        if len(self.words) + len(listed) > self.most:
+        low = pc.ascii_lower(known)
+        body = pc.utf8_rtrim(low, _MARKS)
+        split = pc.and_(pc.not_equal(body, low), pc.match_substring_regex(body, _ENDS))
+        marked = low.filter(split)
+        body = pc.if_else(split, body, low)
+        if len(self.pieces) + len(body) > self.most:
             self._clear()
-        self._learn([w for w in listed if w not in self.words])
-        halves = self.halves[np.fromiter((self.words[w] for w in listed), np.int64, len(listed))][at].reshape(-1)
+        halves = np.zeros((len(known), 2), np.int64)
+        halves[:, 0] = self._places(body)
+        halves[split.to_numpy(zero_copy_only=False), 1] = self._places(pc.struct_field(pc.extract_regex(marked, "(?P<marks>[.,;:!?]+)$"), "marks"))
+        halves = halves[at].reshape(-1)
         length = self.length[halves]
         ends = np.concatenate(([0], np.cumsum(length)))
         take = np.arange(ends[-1]) + np.repeat(self.start[halves] - ends[:-1], length)
