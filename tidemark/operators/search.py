@@ -146,8 +146,8 @@ def mmr(candidates: DataFrame, n: int, most: int = 50, keep: float = 0.7) -> Dat
             near = np.maximum(near, v @ v[k]) if len(out) > 1 else v @ v[k]
         return pd.DataFrame({"id": g["id"].to_numpy()[out], "place": range(1, len(out) + 1)})
 
-    few = candidates.orderBy(F.desc("score"), "id").limit(most)
-    return few.groupBy(F.lit(0)).applyInPandas(run, f"id {candidates.schema['id'].dataType.simpleString()}, place int")
+    few = candidates.select("id", "score", "embedding", F.lit(0).alias("one")).orderBy(F.desc("score"), "id").limit(most)
+    return few.groupBy("one").applyInPandas(run, f"id {candidates.schema['id'].dataType.simpleString()}, place int")
 
 
 def text_filter(df: DataFrame, *, source: str | None = None, tags: list[str] | None = None, start: object = None, end: object = None, tags_mode: str = "all") -> DataFrame:
