@@ -24,7 +24,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     later turns compare hashes of a new seed, so that no chain takes more than logarithmically many turns in expectation.
     Self-links and repeated links are allowed. Nodes without links aren't returned.
     """
-    live = materialize(links.select("a", "b").distinct(), "links")
+    live = materialize(links.where("a != b").select("a", "b").distinct(), "links")
     moves: list[DataFrame] = []
     for turn in count():
         if live.isEmpty():

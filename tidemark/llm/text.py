@@ -73,7 +73,7 @@ def shingle_hashes(starts: np.ndarray, hashes: np.ndarray, n: int) -> list[np.nd
         rolled = hashes.copy()
         for k in range(1, n):
             power = power * _GOLDEN
-            rolled[: len(rolled) - k] += hashes[k:] * (power + np.uint64(2 * k))
+            rolled[: max(0, len(rolled) - k)] += hashes[k:] * (power + np.uint64(2 * k))
         out = []
         whole = mix(rolled)
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
