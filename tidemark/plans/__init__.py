@@ -1,6 +1,6 @@
 """All queries over the driver's tables."""
 
-from . import graph, market, search, telemetry, text  # noqa: F401
+from . import graph, market, memory, search, telemetry, text  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
