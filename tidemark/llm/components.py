@@ -58,6 +58,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 #: Members of a key that are held against each other at once; larger keys are dealt into blocks of about so many.
 BLOCK = 1024
+#: So many keys of more than two members are broadcast (16 bytes each); more are joined by a shuffle.
+FEW = 500_000
 
 
 def _compared(columns: list[str], compare: Compare) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -124,8 +126,13 @@ def links_by_shared_keys(
     def prefixed(table: DataFrame, side: str) -> DataFrame:
         return table.select(*(F.col(c).alias(f"{side}_{c}") for c in table.columns))
 
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").drop("last")
-    crowd = materialize(keys.join(hubs, "key"), "crowd")
+    summed = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("n"))
+    hubs = materialize(summed.where("hub != last"), "hubs")
+    # two members are known from the sums; only larger keys' members are looked up
+    pairs, larger = hubs.where("n = 2"), hubs.where("n > 2").select("key", "hub")
+    few = larger.limit(FEW + 1).count() <= FEW
+    crowd = keys.join(F.broadcast(larger) if few else larger, "key").select("key", "id", "hub")
+    crowd = materialize(crowd.union(pairs.select("key", "hub", "hub")).union(pairs.select("key", "last", "hub")), "crowd")
     star = crowd.where("id != hub").select(F.col("hub").alias("a_id"), F.col("id").alias("b_id")).distinct()
     star = star.join(prefixed(items, "a"), "a_id").join(prefixed(items, "b"), "b_id")
     star = materialize(star.where(may_match("a_", "b_")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "star")
@@ -142,5 +149,5 @@ def links_by_shared_keys(
     dealt = member.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id").select("key", "x", "y", "block", "id", "group", *columns)
     met = materialize(dealt.mapInArrow(_compared(columns, compare), "a long, b long").distinct(), "met")
     more = materialize(check(met), "near")
-    forget(star, crowd, met, group)
+    forget(hubs, star, crowd, met, group)
     return near.union(more)
