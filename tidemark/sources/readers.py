@@ -6,14 +6,13 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-MESSAGE = StructType.fromDDL(
+MESSAGE = (
     "id string, date_utc string, date string, `from` struct<id: string, username: string, display: string>, text string, reply_to string, "
     "reactions array<struct<emoji: string, count: int>>, attachments array<struct<type: string, uri: string, text: string, metadata: map<string, string>>>, "
     "language string, chat struct<id: string, title: string>, edited_utc string, action string, _corrupt_record string"
 )
-RECORD = StructType.fromDDL("record_id string, source string, content string, timestamp string, author string, tags string")
+RECORD = "record_id string, source string, content string, timestamp string, author string, tags string"
 KLINE = ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades", "taker_base", "taker_quote", "ignored")
 
 
