@@ -63,26 +63,31 @@ def l2_similarity(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(S.l2_similarity(S.distance(F.col("embedding"), q)), 6).alias("similarity"))
 
 
-_RRF = f"""{_bm25_sql()}, c AS ({_COS}), v1 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM c), b1 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM b),
+_RRF = f"""{_bm25_sql()}, c AS ({_COS}), v1 AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS r FROM c), b1 AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS r FROM b),
   u AS (SELECT id, 1 AS l, r FROM v1 WHERE r <= 200 UNION ALL SELECT id, 2, r FROM b1 WHERE r <= 200)"""
 
 
+def _lists(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Both lists with scores to nine digits, so that equal ones are ties however they were added up."""
+    both = [S.knn(load(spark, d, "embeddings"), _query_vector(spark, d), 1_000_000), S.bm25(_index(spark, d), TERMS)]
+    return [x.withColumn("score", F.round("score", 9)) for x in both]
+
+
 @query(f"WITH {_RRF} SELECT id, round(sum(CASE l WHEN 1 THEN 0.6 ELSE 0.4 END::DOUBLE / (60 + r)), 10) AS score, max(r) FILTER (l = 1) AS rank_1, max(r) FILTER (l = 2) AS rank_2 FROM u GROUP BY 1")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    lists = [S.knn(load(spark, d, "embeddings"), _query_vector(spark, d), 200), S.bm25(_index(spark, d), TERMS)]
-    out = S.rrf(lists, [0.6, 0.4], 60, 200)
+    out = S.rrf(_lists(spark, d), [0.6, 0.4], 60, 200)
     return out.withColumns({"score": F.round("score", 10), "rank_1": F.col("rank_1").cast("long"), "rank_2": F.col("rank_2").cast("long")})
 
 
 @query(f"WITH {_RRF} SELECT id, round(sum(1::DOUBLE / (60 + r)), 10) AS score FROM u GROUP BY 1 ORDER BY sum(1::DOUBLE / (60 + r)) DESC, id LIMIT 50")
 def rrf_unweighted(spark: SparkSession, d: str) -> DataFrame:
-    lists = [S.knn(load(spark, d, "embeddings"), _query_vector(spark, d), 200), S.bm25(_index(spark, d), TERMS)]
-    return S.top_k(S.rrf(lists).select("id", "score"), 50).withColumn("score", F.round("score", 10))
+    return S.top_k(S.rrf(_lists(spark, d)).select("id", "score"), 50).withColumn("score", F.round("score", 10))
 
 
 @query(f"WITH {_bm25_sql()}, c AS ({_COS}) SELECT id, round((coalesce(c.score, 0) + coalesce(b.score, 0)) * CASE WHEN id % 10 = 0 THEN 1.5 ELSE 1 END, 6) AS score FROM c FULL JOIN b USING (id)")
 def combined_scores(spark: SparkSession, d: str) -> DataFrame:
-    weights = load(spark, d, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), F.lit(1.5).alias("weight"))
+    ids = load(spark, d, "documents").select(F.col("doc_id").alias("id")).union(load(spark, d, "embeddings").select("vec_id")).distinct()
+    weights = ids.where("id % 10 = 0").withColumn("weight", F.lit(1.5))
     v = S.knn(load(spark, d, "embeddings"), _query_vector(spark, d), 1_000_000)
     return S.combine(v, S.bm25(_index(spark, d), TERMS), weights).withColumn("score", F.round("score", 6))
 
