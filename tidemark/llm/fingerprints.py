@@ -17,23 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import mix
+from .text import mix, powers
 
 WIDTH, FRACTION = 12, 16  # bytes in a shingle; one in so many hashes is kept
-_BASE = 0x9E3779B97F4A7C15
-
-
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    if len(_POWERS.get("up", ())) < n:
-        n = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                _POWERS[name] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))))
-    return _POWERS["up"], _POWERS["down"]
 
 
 def sketch(data: bytes, width: int = WIDTH, fraction: int = FRACTION) -> np.ndarray:
@@ -41,7 +27,7 @@ def sketch(data: bytes, width: int = WIDTH, fraction: int = FRACTION) -> np.ndar
     n = len(data)
     if n < width:
         return np.array([xxhash.xxh3_64_intdigest(data) >> 32] if n else [], np.uint32)
-    up, down = _powers(n)
+    up, down = powers(n)
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n])))
         hashes = mix((sums[width:] - sums[:-width]) * down[: n - width + 1])

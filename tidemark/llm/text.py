@@ -66,6 +66,33 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     return starts, np.fromiter((digest(w) for w in known.cast(pa.binary()).to_pylist()), np.uint64, len(known))[place]
 
 
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
+    if len(_POWERS.get("up", ())) < n:
+        n = max(n, 1 << 16)
+        with np.errstate(over="ignore"):
+            for name, base in (("up", int(_GOLDEN)), ("down", pow(int(_GOLDEN), -1, 1 << 64))):
+                _POWERS[name] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))))
+    return _POWERS["up"], _POWERS["down"]
+
+
+def feature_hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string, of all strings at once: the polynomial of its bytes, spread over all bits.
+
+    For features that vote. Long strings can be made to collide, so it is no proof that two are equal.
+    """
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    ends = ends - ends[0]
+    up, down = powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up[: len(data)])))
+        return mix((sums[ends[1:]] - sums[ends[:-1]]) * down[ends[:-1]])
+
+
 def shingle_hashes(starts: np.ndarray, hashes: np.ndarray, n: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of n words; of all its words as one if it has fewer; none without words."""
     with np.errstate(over="ignore"):
