@@ -307,3 +307,48 @@ def test_filters_from_dicts(spark):
     assert ids({"c": {"$ne": "a"}}) == [2, 3]
     assert ids({"$or": [{"c": "a"}, {"id": {"$eq": 3}}]}) == [1, 3]
     assert ids({}) == [1, 2, 3]
+
+
+def test_numbers_and_tokens(spark):
+    got = one(spark, X.rewrite_numbers(F.lit("10 000 руб, $5 и 3,5% за 2k")), X.word_tokens(F.lit("The price is 3,5% and 10 000 руб")))
+    assert got[0] == "10000 rub, 5 usd и 3.5 percent за 2000"
+    assert got[1] == ["price", "3.5", "percent", "10000", "rub"]
+
+
+def test_routing_and_normalising(spark):
+    words, vectors = (spark.createDataFrame(x, "id long, score double") for x in ([(1, 2.0), (2, 1.0)], [(2, 0.9), (3, 0.1)]))
+    assert [r.id for r in S.routed("hybrid", words=words, vectors=vectors, k=1).collect()] == [2]
+    assert [r.id for r in S.routed("similar", vectors=vectors).collect()] == [2, 3]
+    with pytest.raises(ValueError, match="no list"):
+        S.routed("text", vectors=vectors)
+    df = spark.createDataFrame([(1, 2.0, 0.0), (2, 4.0, 0.0)], "id long, a double, b double")
+    assert {r.id: r.score for r in S.max_normalised(df, {"a": 0.6, "b": 0.4}).collect()} == {1: 0.3, 2: 0.6}
+    assert [r.id for r in S.after_cut(words, df.withColumn("keep", F.col("id") == 2), F.col("keep"), 2).collect()] == [2]
+
+
+def test_updates_tell_what_they_found(spark):
+    current = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, w int")
+    out, status = D.update_with_status(current, spark.createDataFrame([(1, "x"), (3, "y")], "k int, v string"), "k")
+    assert sorted(map(tuple, out.collect())) == [(1, "x", 1), (2, "b", 2)]
+    assert dict(map(tuple, status.collect())) == {1: "updated", 3: "missing"}
+    left, status = D.delete_with_status(current, spark.createDataFrame([(1,), (9,)], "k int"), "k")
+    assert [r.k for r in left.collect()] == [2]
+    assert dict(map(tuple, status.collect())) == {1: "deleted", 9: "missing"}
+
+
+def test_online_clusters_follow_time(spark):
+    rows = [(1, START, [1.0, 0.0], "g"), (2, START + timedelta(days=1), [0.9, 0.1], "g"), (3, START + timedelta(days=2), [0.0, 1.0], "g"), (4, START, [0.0, 0.0], "h")]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, v array<double>, g string")
+    got = V.online_clusters(df, "id", "ts", "v", "g")
+    assert {r.id: r.cluster for r in got.collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
+    assert {r.id for r in V.sized_clusters(got.where("g = 'g'"), "cluster").collect()} == {1, 2}
+
+
+def test_group_rules(spark):
+    rows = [("c", START + timedelta(hours=h), k, 5) for k, h in enumerate((0, 1, 2, 26, 27))]
+    df = spark.createDataFrame(rows, "chat string, ts timestamp_ntz, id int, size int")
+    assert sorted((r.period, r.n, r["size"]) for r in N.hybrid_groups(df, "chat", "ts", "size", "id", most=10).collect()) == [("2024-01-01", 1, 5), ("2024-01-01", 2, 10), ("2024-01-02", 2, 10)]
+    assert N.embedding_groups(df, "chat", ["ts", "id"], 3, 3).count() == 3
+    assert N.pattern_split(df, "chat", "ts", "id").count() == 5
+    got = one(spark, N.new_day(F.lit(START), F.lit(START + timedelta(hours=13))), N.new_day(F.lit(START), F.lit(START + timedelta(hours=1))))
+    assert list(got) == [True, False]

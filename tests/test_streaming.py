@@ -84,3 +84,11 @@ def test_alerts_join_rules(spark, folder):
     metrics = _stream(spark, tmp_path, df).withColumn("name", F.lit("m"))
     got = _run(spark, tmp_path, S.alerts(metrics, rules, T.compare).select("id"), "alerts")
     assert sorted(r.id for r in got.collect()) == [118, 119]
+
+
+def test_two_streams_meet_within_a_time(spark, folder):
+    tmp_path, df = folder
+    left = _stream(spark, tmp_path, df)
+    right = _stream(spark, tmp_path, df).select("id", "ts", (F.col("value") * 2).alias("double_value"))
+    got = _run(spark, tmp_path, S.joined(left, right, "id", "ts", "1 minute", "30 days").select("id", "double_value"), "joined")
+    assert {r.id: r.double_value for r in got.collect()} == {k: 2.0 * k for k in range(120)}

@@ -111,3 +111,9 @@ def stop_price(mark: Column, entry: Column, side: Column, trail_pct: Column, fix
     """A trailing stop from the mark price where a trail is given, else a fixed one from the entry."""
     sign = F.when(F.lower(side) == "long", -1).otherwise(1)
     return F.when(trail_pct.isNotNull(), mark * (1 + sign * trail_pct / 100)).otherwise(entry * (1 + sign * fixed_pct / 100))
+
+
+def indicator_bundle(open_: Column, close: Column, middle: Column, upper: Column, lower: Column) -> Column:
+    """(price, change, bbw, rating, signal): to 4, 3 and 4 digits, halves to even."""
+    rating = bollinger_rating(close, upper, middle, lower)
+    return F.struct(F.bround(close, 4).alias("price"), F.bround(percent_change(open_, close), 3).alias("change"), F.bround(bollinger_width(middle, upper, lower), 4).alias("bbw"), rating.alias("rating"), rating_signal(rating).alias("signal"))

@@ -219,3 +219,23 @@ def hash_embedding(tokens_: Column, dim: int = 64) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Common Russian and English words that carry little meaning.
+STOP_WORDS = ("и", "в", "не", "на", "что", "с", "по", "это", "как", "а", "то", "из", "у", "за", "к", "the", "a", "an", "and", "or", "of", "to", "in", "is", "it", "that")
+
+
+def rewrite_numbers(text: Column) -> Column:
+    """Figures in one form: no blanks between thousands, a point for decimals, currencies and percent as words after the number."""
+    for pattern, to in (
+        (r"(?<=\d)[\u00a0 ](?=\d{3}\b)", ""), (r"(\d),(\d)", "$1.$2"), (r"\$\s*(\d+(?:\.\d+)?)", "$1 usd"), (r"€\s*(\d+(?:\.\d+)?)", "$1 eur"), (r"(\d)\s*\$", "$1 usd"), (r"(\d)\s*€", "$1 eur"),
+        (r"(\d)\s*₽", "$1 rub"), (r"(?i)(\d)\s*руб(?:лей|ля|ль|\.)?(?![а-яё])", "$1 rub"), (r"(\d)\s*%", "$1 percent"), (r"(?i)(\d)\s*k\b", "$1000"),
+    ):
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def word_tokens(text: Column) -> Column:
+    """Lower-case words and figures of a text with its figures rewritten, without stop words; a word's form stays as it is."""
+    found = extract_all(F.lower(rewrite_numbers(text)), r"[\p{L}\p{N}_]+(?:\.\d+)?")
+    return F.filter(found, lambda x: ~x.isin(*STOP_WORDS))

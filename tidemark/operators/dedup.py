@@ -58,3 +58,13 @@ def newest(df: DataFrame, by: str, ts: str, most: int, *ties: str) -> DataFrame:
     """The newest `most` rows of each group."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(ts), *map(F.desc, ties)))
     return df.withColumn("__tm_p", place).where(F.col("__tm_p") <= most).drop("__tm_p")
+
+
+def update_with_status(current: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The table with the changes' values where they aren't null, and (key, status: updated or missing) of each change. Keys don't repeat."""
+    columns = [c for c in changes.columns if c != key]
+    new = changes.select(key, *(F.col(c).alias(f"__tm_{c}") for c in columns))
+    out = current.join(new, key, "left").withColumns({c: F.coalesce(f"__tm_{c}", c) for c in columns}).select(*current.columns)
+    found = current.select(key).withColumn("__tm_f", F.lit(True))
+    status = changes.select(key).join(found, key, "left").select(key, F.when(F.col("__tm_f"), "updated").otherwise("missing").alias("status"))
+    return out, status

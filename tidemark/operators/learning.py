@@ -105,3 +105,25 @@ def running_mean(df: DataFrame, by: str, order: list[str], value: str) -> DataFr
     """Adds n and mean: of each group's values so far."""
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("n", F.count(value).over(w)).withColumn("mean", F.avg(value).over(w))
+
+
+def permutation_importance(model, data: DataFrame, columns: list[str], label: str = "label", repeats: int = 5, seed: int = 42) -> dict[str, float]:  # noqa: ANN001
+    """How much accuracy a model loses, on average, when a column's values are dealt out anew among the rows."""
+    from pyspark.ml.feature import VectorAssembler
+
+    assemble = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
+
+    def accuracy(df: DataFrame) -> float:
+        return model.transform(assemble.transform(df)).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0] or 0.0
+
+    rows = data.select(*columns, label).withColumn("__tm_n", F.monotonically_increasing_id())
+    number = lambda df, order: df.withColumn("__tm_k", F.row_number().over(Window.orderBy(*order)))
+    base, whole = number(rows, ["__tm_n"]), accuracy(data)
+    lost = {}
+    for column in columns:
+        drops = []
+        for k in range(repeats):
+            other = number(rows.select(column, "__tm_n"), [F.xxhash64("__tm_n", F.lit(seed + k))]).select("__tm_k", F.col(column).alias("__tm_v"))
+            drops.append(whole - accuracy(base.join(other, "__tm_k").withColumn(column, F.col("__tm_v"))))
+        lost[column] = sum(drops) / repeats
+    return lost

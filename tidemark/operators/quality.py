@@ -132,3 +132,24 @@ def prune(scores: DataFrame, target: int, order: str = "highest", keep: Column |
     free = scores if keep is None else scores.where(~keep)
     by = F.desc("score") if order == "highest" else F.asc("score")
     return free.orderBy(by, "id").limit(max(0, total - target))
+
+
+def source_quality(source: Column, chat: Column) -> Column:
+    """1.0 for documents, 0.6 for channels, 0.3 for bots, else 0.5; 0.05 more with a chat."""
+    return F.when(source == "document", 1.0).when(source == "bot", 0.3).when(source == "channel", 0.6).otherwise(0.5) + F.when(chat.isNotNull(), 0.05).otherwise(0.0)
+
+
+def dominant(edges: DataFrame, kind: str) -> DataFrame:
+    """One row: the target of most edges of a kind, how many, and the heaviest edge; ties go to the smaller name."""
+    counted = edges.where(F.col("kind") == kind).groupBy("target").agg(F.sum("weight").alias("n"), F.max(F.struct("weight", "source")).alias("w"))
+    return counted.agg(F.min_by("target", F.struct(-F.col("n"), "target")).alias("dominant"), F.max("n").alias("n"), F.max("w.weight").alias("heaviest"))
+
+
+def cluster_metadata(sessions_: DataFrame, by: str, n: int = 5) -> DataFrame:
+    """(by, chat, first, last, days, messages, topics): the most frequent chat and topics of a cluster's sessions (chat, start, end, n, topics)."""
+    base = sessions_.groupBy(by).agg(F.min("start").alias("first"), F.max("end").alias("last"), F.sum("n").alias("messages"))
+    chats = sessions_.groupBy(by, "chat").agg(F.count("*").alias("c")).groupBy(by).agg(F.min_by("chat", F.struct(-F.col("c"), "chat")).alias("chat"))
+    topic = top_per_group(sessions_.select(by, F.explode("topics").alias("value")).groupBy(by, "value").agg(F.count("*").alias("n")), by, n)
+    topics = topic.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("topics"))
+    days = F.timestamp_diff("SECOND", F.col("first"), F.col("last")) / 86400
+    return base.join(chats, by, "left").join(topics, by, "left").withColumn("days", days)

@@ -197,3 +197,33 @@ INTENTS = {"informational": (0.6, 0.4, 10), "navigational": (0.8, 0.2, 5), "anal
 def confidence(results: DataFrame) -> DataFrame:
     """One row: 0.7 times the mean score plus 0.3 times the number of results by 10, both at most 1."""
     return results.agg(F.least(F.lit(1.0), F.coalesce(F.avg("score"), F.lit(0.0)) * 0.7 + F.least(F.count("*") / 10, F.lit(1.0)) * 0.3).alias("confidence"))
+
+
+def max_normalised(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Adds score: each column by its largest value, weighed. A column whose largest value isn't above 0 adds nothing. The maxima are one row."""
+    top = F.broadcast(df.agg(*(F.max(c).alias(f"__tm_{c}") for c in weights)))
+    part = lambda c, w: F.when(F.col(f"__tm_{c}") > 0, F.coalesce(F.col(c), F.lit(0.0)) / F.col(f"__tm_{c}") * w).otherwise(0.0)
+    return df.crossJoin(top).withColumn("score", sum((part(c, w) for c, w in weights.items()), F.lit(0.0))).drop(*(f"__tm_{c}" for c in weights))
+
+
+def after_cut(scores: DataFrame, records: DataFrame, condition: Column, depth: int = 200) -> DataFrame:
+    """The best `depth` of (id, score) that then meet a condition on their record: fewer may be left."""
+    return top_k(scores, depth).join(records.where(condition).select("id"), "id", "left_semi")
+
+
+def routed(kind: str, *, words: DataFrame | None = None, vectors: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """A search of a kind over ranked lists (id, score): hybrid fuses both, embedding and similar take the vectors', text the words'."""
+    if kind == "hybrid" and words is not None and vectors is not None:
+        return top_k(rrf([vectors, words], [0.6, 0.4]).select("id", "score"), k)
+    if kind in ("embedding", "similar", "hybrid") and vectors is not None:
+        return top_k(vectors, k)
+    if kind in ("text", "hybrid") and words is not None:
+        return top_k(words, k)
+    raise ValueError(f"no list for a search of kind {kind!r}")
+
+
+def intent_weighted(database: DataFrame, artifacts: DataFrame, intent: str) -> DataFrame:
+    """(id, score): both lists' scores weighed by the intent's table, summed by id, as many as it says."""
+    a, b, k = INTENTS[intent]
+    both = database.select("id", (F.col("score") * a).alias("score")).unionByName(artifacts.select("id", (F.col("score") * b).alias("score")))
+    return top_k(both.groupBy("id").agg(F.sum("score").alias("score")), k)

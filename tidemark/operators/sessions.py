@@ -193,3 +193,38 @@ def peak(df: DataFrame, by: str, value: Column, n: int) -> DataFrame:
     """(by, value, n, rank): the n most frequent values of each group; ties go to the smaller one."""
     counted = df.groupBy(by, value.alias("value")).agg(F.count("*").alias("n"))
     return counted.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "value"))).where(F.col("rank") <= n)
+
+
+def pattern_split(df: DataFrame, by: str, ts: str, *ties: str, peaks: int = 3, zone: str = "UTC") -> DataFrame:
+    """Adds session_no: a new one where the local time enters the night (0 to 9), or leaves one of the group's most frequent hours."""
+    local = F.hour(F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone))
+    df = df.withColumn("__tm_h", local)
+    top = peak(df, by, F.col("__tm_h"), peaks).groupBy(by).agg(F.collect_set("value").alias("__tm_top"))
+    w = Window.partitionBy(by).orderBy(ts, *ties)
+    df = df.join(top, by).withColumn("__tm_p", F.lag("__tm_h").over(w))
+    into_night = (F.col("__tm_h") < 9) & (F.col("__tm_p") >= 9)
+    off_peak = F.array_contains("__tm_top", F.col("__tm_p")) & ~F.array_contains("__tm_top", F.col("__tm_h"))
+    new = F.coalesce(into_night | off_peak, F.lit(False)).cast("long")
+    return df.withColumn("__tm_n", new).withColumn("session_no", F.sum("__tm_n").over(w)).drop("__tm_h", "__tm_top", "__tm_p", "__tm_n")
+
+
+def new_day(start: Column, end: Column, zone: str = "UTC") -> Column:
+    """Whether a span is over 24 hours, or changes its local date with a gap of more than 2 hours."""
+    seconds = F.timestamp_diff("SECOND", start, end)
+    date = lambda t: F.to_date(F.from_utc_timestamp(t.cast("timestamp"), zone))
+    return (seconds > 24 * 3600) | ((date(start) != date(end)) & (seconds > 2 * 3600))
+
+
+def embedding_groups(df: DataFrame, by: str, order: list[str], n: int, least: int) -> DataFrame:
+    """Rows in parts of n, without parts that hold fewer than `least`."""
+    parts = fixed_count(df, by, order, n)
+    held = F.count(F.lit(1)).over(Window.partitionBy(by, "part_no"))
+    return parts.withColumn("__tm_c", held).where(F.col("__tm_c") >= least).drop("__tm_c")
+
+
+def hybrid_groups(df: DataFrame, by: str, ts: str, size: str, *ties: str, window: str = "day", most: int = 4000) -> DataFrame:
+    """(by, period, part_no, n, size): calendar windows (day, week, month), cut where the sizes of a window's rows pass a budget."""
+    period = F.date_format(F.date_trunc(window, F.col(ts).cast("timestamp")), "yyyy-MM-dd")
+    rows = df.withColumn("period", period).withColumn("__tm_key", F.concat_ws("|", F.col(by).cast("string"), "period"))
+    cut = within_budget(rows, "__tm_key", ts, size, most, "part_no") if not ties else fold(rows, "__tm_key", [ts, *ties], lambda r: {"n": r[size]}, lambda s, r: s["n"] + r[size] > most, lambda s, r: s.update(n=s["n"] + r[size]), [size], "part_no")
+    return cut.groupBy(by, "period", "part_no").agg(F.count("*").alias("n"), F.sum(size).alias("size"))

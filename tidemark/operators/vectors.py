@@ -124,3 +124,39 @@ def near_existing(new: DataFrame, old: DataFrame, least: float, id_col: str = "v
     links = pairs.select(F.col("a").alias("n"), F.col("b").alias("o")).union(pairs.select("b", "a"))
     found = links.join(old.select(F.col(id_col).alias("o")), "o").groupBy(F.col("n").alias(id_col)).agg(F.min("o").alias("duplicate_of"))
     return new.select(id_col).join(found, id_col, "left")
+
+
+def online_clusters(episodes: DataFrame, id_col: str, ts: str, vec_col: str, by: str, least: float = 0.8) -> DataFrame:
+    """(id_col, by, cluster): in order of time each episode joins the cluster whose running mean is nearest, if near enough, or begins one.
+
+    The order decides, so a group is one task's; its state is a mean vector a cluster.
+    """
+    import pandas as pd
+
+    kind, key = (episodes.schema[c].dataType.simpleString() for c in (id_col, by))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([ts, id_col], ignore_index=True)
+        sums: list[np.ndarray] = []
+        sizes: list[int] = []
+        out = []
+        for v in g[vec_col]:
+            v = np.asarray(v, float)
+            means = np.array([s / n for s, n in zip(sums, sizes, strict=True)]).reshape(len(sums), len(v))
+            norms = np.linalg.norm(means, axis=1) * np.linalg.norm(v) if len(sums) else np.empty(0)
+            near = np.divide(means @ v, norms, out=np.zeros(len(sums)), where=norms > 0) if len(sums) else norms
+            k = int(near.argmax()) if len(near) and near.max() >= least else len(sums)
+            if k == len(sums):
+                sums.append(np.zeros_like(v))
+                sizes.append(0)
+            sums[k], sizes[k] = sums[k] + v, sizes[k] + 1
+            out.append(k)
+        return pd.DataFrame({id_col: g[id_col], by: g[by], "cluster": out})
+
+    return episodes.groupBy(by).applyInPandas(run, f"{id_col} {kind}, {by} {key}, cluster int")
+
+
+def sized_clusters(members: DataFrame, cluster: str, least: int = 2, most: int = 50) -> DataFrame:
+    """Members of clusters of a size within bounds."""
+    sizes = members.groupBy(cluster).agg(F.count("*").alias("__tm_n")).where(F.col("__tm_n").between(least, most))
+    return members.join(sizes.select(cluster), cluster, "left_semi")

@@ -116,3 +116,11 @@ def upsert(table: str, key: list[str], version: str) -> Callable[[DataFrame, int
 def run_once(writer: DataStreamWriter, checkpoint: str) -> None:
     """Reads all there is, in as many batches as it takes, and ends: what a scheduler calls."""
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, ts: str, within: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Rows of two streams with the same key at most so far apart in time: both sides' state is bounded by the watermarks."""
+    a = left.withWatermark(ts, late)
+    b = right.select(F.col(key).alias("__tm_k"), F.col(ts).alias("right_ts"), *(c for c in right.columns if c not in (key, ts, *left.columns))).withWatermark("right_ts", late)
+    near = F.expr(f"right_ts BETWEEN {ts} - INTERVAL {within} AND {ts} + INTERVAL {within}")
+    return a.join(b, (F.col(key) == F.col("__tm_k")) & near).drop("__tm_k")
