@@ -115,8 +115,8 @@ def language(text: Column) -> Column:
 
 def slug(text: Column, default: str = "unnamed") -> Column:
     """Lower-case letters and digits with underscores for all else; accents go and Cyrillic letters are spelled out."""
-    plain = F.translate(F.lower(text), "áàâäãåçéèêëíìîïñóòôöõúùûüýÿабвгдезийклмнопрстуфыэ", "aaaaaaceeeeiiiinooooouuuuyyabvgdeziyklmnoprstufye")
-    for a, b in (("ё", "yo"), ("ж", "zh"), ("х", "kh"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "shch"), ("ъ", ""), ("ь", ""), ("ю", "yu"), ("я", "ya"), ("ß", "ss")):
+    plain = F.translate(F.lower(text), "áàâäãåçéèêëíìîïñóòôöõúùûüýÿабвгдеёзийклмнопрстуфхцыэ", "aaaaaaceeeeiiiinooooouuuuyyabvgdeeziiklmnoprstufhcye")
+    for a, b in (("ж", "zh"), ("ч", "ch"), ("ш", "sh"), ("щ", "sch"), ("ъ", ""), ("ь", ""), ("ю", "yu"), ("я", "ya"), ("ß", "")):
         plain = F.replace(plain, F.lit(a), F.lit(b))
     made = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", "")
     return F.when(F.coalesce(made, F.lit("")) == "", default).otherwise(made)

@@ -32,7 +32,7 @@ def feature_matrix(facts: DataFrame) -> DataFrame:
 def patterns(facts: DataFrame) -> DataFrame:
     """A row for each group that has a plan: pattern_type, its conditions, outcomes and confidence.
 
-    success from 80 % of executions on; failure with errors or below 50 %; else, and without executions, neutral.
+    Confidence is a tenth an execution, at most 1, less a tenth an error. success from 80 % of executions on; failure with errors or below 50 %; else, and without executions, neutral.
     """
     run, good = F.col("kind") == RUN, F.col("success")
     grouped = facts.where("correlation_id is not null").groupBy("correlation_id").agg(
@@ -44,7 +44,7 @@ def patterns(facts: DataFrame) -> DataFrame:
     return grouped.select(
         "correlation_id", kind.alias("pattern_type"), "plan_steps", (F.col("errors") > 0).alias("has_errors"), F.greatest(F.lit(0), F.col("runs") - F.col("plan_steps")).alias("retry_count"), rate.alias("success_rate"),
         F.col("errors").alias("error_count"), F.when(F.col("plan_steps") > 0, F.col("runs") / F.col("plan_steps")).otherwise(0.0).alias("completion_rate"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), rate - 0.1 * F.col("errors"))).alias("confidence"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("runs") / 10) - 0.1 * F.col("errors")).alias("confidence"),
     )
 
 

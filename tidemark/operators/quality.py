@@ -80,9 +80,12 @@ def risk_rules(pnl_pct: Column, loss_limit: float, profit_limit: float) -> Colum
     return F.when(pnl_pct <= -abs(loss_limit), "close_loss").when(pnl_pct >= profit_limit, "close_profit").otherwise("hold")
 
 
-def safety_violations(rsi: Column, adx: Column, leverage: Column, pnl_pct: Column, *, rsi_high: float = 80, rsi_low: float = 20, adx_min: float = 15, most_leverage: float = 20, loss_pct: float = 10) -> Column:
-    """Names of the rules that a position breaks, in a fixed order."""
-    rules = ((rsi > rsi_high, "rsi_overbought"), (rsi < rsi_low, "rsi_oversold"), (adx < adx_min, "weak_trend"), (leverage > most_leverage, "leverage"), (pnl_pct < -loss_pct, "loss"))
+def safety_violations(long: Column, rsi: Column, adx: Column, pnl_pct: Column, *, rsi_long: float, rsi_short: float, adx_min: float, most_drawdown: float) -> Column:
+    """Names of the rules that a position breaks: RSI above a bound if long, below one if short, a weak trend, a result too far from 0.
+
+    Indicators need 15 closes or more (see `market.rsi_simple` and `market.pseudo_adx`).
+    """
+    rules = ((long & (rsi > rsi_long), "rsi_high"), (~long & (rsi < rsi_short), "rsi_low"), (adx < adx_min, "adx_low"), (F.abs(pnl_pct) > most_drawdown, "drawdown"))
     return F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in rules)))
 
 
@@ -135,8 +138,10 @@ def prune(scores: DataFrame, target: int, order: str = "highest", keep: Column |
 
 
 def source_quality(source: Column, chat: Column) -> Column:
-    """1.0 for documents, 0.6 for channels, 0.3 for bots, else 0.5; 0.05 more with a chat."""
-    return F.when(source == "document", 1.0).when(source == "bot", 0.3).when(source == "channel", 0.6).otherwise(0.5) + F.when(chat.isNotNull(), 0.05).otherwise(0.0)
+    """By the kind of source, else 0.5; 0.05 more with a chat; at most 1."""
+    kind = F.lower(F.coalesce(source, F.lit("")))
+    base = F.when(kind.isin("official", "news", "trusted"), 1.0).when(kind.isin("user", "unknown"), 0.3).when(kind.isin("social", "telegram", "chat"), 0.6).otherwise(0.5)
+    return F.least(F.lit(1.0), base + F.when(F.coalesce(chat, F.lit("")) != "", 0.05).otherwise(0.0))
 
 
 def dominant(edges: DataFrame, kind: str) -> DataFrame:

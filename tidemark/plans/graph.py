@@ -209,7 +209,7 @@ def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 _P = f"""{_F}, g AS (SELECT correlation_id, count(*) FILTER (kind = 'Fact:Execution') AS n, coalesce(arg_min(plan_steps, (ts, id)) FILTER (kind = 'Fact:Plan'), 0) AS ps, count(*) FILTER (kind = 'Fact:Plan') AS pl, count(*) FILTER (kind = 'Fact:Error') AS er, count(*) FILTER (kind = 'Fact:Execution' AND success) AS good FROM f GROUP BY 1 HAVING pl > 0),
-  p AS (SELECT correlation_id, CASE WHEN n = 0 THEN 'neutral' WHEN good >= n * 0.8 THEN 'success' WHEN er > 0 OR good < n * 0.5 THEN 'failure' ELSE 'neutral' END AS pattern_type, ps AS plan_steps, er > 0 AS has_errors, greatest(0, n - ps) AS retry_count, CASE WHEN n > 0 THEN good / n ELSE 0 END AS success_rate, er AS error_count, CASE WHEN ps > 0 THEN n / ps ELSE 0 END AS completion_rate FROM g)"""
+  p AS (SELECT correlation_id, CASE WHEN n = 0 THEN 'neutral' WHEN good >= n * 0.8 THEN 'success' WHEN er > 0 OR good < n * 0.5 THEN 'failure' ELSE 'neutral' END AS pattern_type, ps AS plan_steps, er > 0 AS has_errors, greatest(0, n - ps) AS retry_count, CASE WHEN n > 0 THEN good / n ELSE 0 END AS success_rate, er AS error_count, CASE WHEN ps > 0 THEN n / ps ELSE 0 END AS completion_rate, greatest(0, least(1, n / 10) - 0.1 * er) AS confidence FROM g)"""
 
 
 @query(f"WITH {_P} SELECT correlation_id, pattern_type, plan_steps, has_errors, retry_count, round(success_rate, 6) AS success_rate, error_count, round(completion_rate, 6) AS completion_rate FROM p")
@@ -217,9 +217,9 @@ def pattern_identification(spark: SparkSession, d: str) -> DataFrame:
     return L.patterns(_facts(spark, d)).drop("confidence").withColumns({"success_rate": F.round("success_rate", 6), "completion_rate": F.round("completion_rate", 6)})
 
 
-@query(f"WITH {_P} SELECT plan_steps, has_errors, retry_count, count(*) AS frequency, arg_min(pattern_type, correlation_id) AS pattern_type, round(avg(success_rate), 6) AS success_rate FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND avg(greatest(0, least(1, success_rate - 0.1 * error_count))) >= 0.3")
+@query(f"WITH {_P} SELECT plan_steps, has_errors, retry_count, count(*) AS frequency, arg_min(pattern_type, correlation_id) AS pattern_type, round(avg(success_rate), 6) AS success_rate FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND avg(confidence) >= 0.1")
 def pattern_aggregation(spark: SparkSession, d: str) -> DataFrame:
-    out = L.pattern_groups(L.patterns(_facts(spark, d)), 5, 0.3)
+    out = L.pattern_groups(L.patterns(_facts(spark, d)), 5, 0.1)
     return out.select("plan_steps", "has_errors", "retry_count", "frequency", "pattern_type", F.round("success_rate", 6).alias("success_rate"))
 
 

@@ -98,10 +98,10 @@ def auto_risk_rules(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").select("o_orderkey", Q.risk_rules(F.col("o_orderkey") % 41 - 20, 10, 15).alias("action"))
 
 
-@query(f"""SELECT signal_id, list_filter([CASE WHEN confidence > 80 THEN 'rsi_overbought' END, CASE WHEN confidence < 45 THEN 'rsi_oversold' END, CASE WHEN position_size < 15 THEN 'weak_trend' END, CASE WHEN leverage > 4 THEN 'leverage' END], lambda x: x IS NOT NULL) AS broken FROM ({SIGNALS_SQL})""")
+@query(f"""SELECT signal_id, list_filter([CASE WHEN direction = 'long' AND confidence > 70 THEN 'rsi_high' END, CASE WHEN direction <> 'long' AND confidence < 55 THEN 'rsi_low' END, CASE WHEN position_size < 15 THEN 'adx_low' END, CASE WHEN abs(leverage - 3) > 1 THEN 'drawdown' END], lambda x: x IS NOT NULL) AS broken FROM ({SIGNALS_SQL}) WHERE direction IS NOT NULL""")
 def portfolio_safety_check(spark: SparkSession, d: str) -> DataFrame:
-    broken = Q.safety_violations(F.col("confidence"), F.col("position_size"), F.col("leverage"), F.lit(0.0), rsi_low=45, most_leverage=4)
-    return signals(spark, d).select("signal_id", broken.alias("broken"))
+    broken = Q.safety_violations(F.col("direction") == "long", F.col("confidence"), F.col("position_size"), F.col("leverage") - 3, rsi_long=70, rsi_short=55, adx_min=15, most_drawdown=1)
+    return signals(spark, d).where("direction is not null").select("signal_id", broken.alias("broken"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (CASE WHEN l_quantity > 10 THEN l_quantity END >= 20 OR l_quantity <= 10) AND abs(l_discount) <= 0.05 AND abs(l_tax) >= 0.02")
