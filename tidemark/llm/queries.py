@@ -110,6 +110,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
 
+#: All pairs of documents that share a run of two words and whose sizes allow a link, and the documents that links lead to.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) WHEN len(ws) = 1 THEN ws ELSE [] END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+k AS MATERIALIZED (SELECT s.doc_id, s.g, n.n FROM s JOIN n USING (doc_id)),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach),
+c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -133,4 +148,4 @@ SELECT doc_id, slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 2, '0') AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_maglev_sharding": _op1_sql(), "op5_token_count_rollup": OP5_SQL}
+    return {"op1_maglev_sharding": _op1_sql(), "op4_minhash_near_dedup": OP4_SQL, "op5_token_count_rollup": OP5_SQL}
