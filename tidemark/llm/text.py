@@ -6,6 +6,7 @@ anything but ASCII white space (``[^\\x20\\x09-\\x0D]+``).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,8 +29,17 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Gives memory that is free again back to the system: workers stay, and other stages of other kinds need it next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most about `most` bytes in `column`."""
+    """The same rows in batches of at most about `most` bytes in `column`. After the last, free memory is released."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -38,6 +48,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYT
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    release()
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
