@@ -50,7 +50,7 @@ def normalize(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Normalised text split on spaces, case kept; none for an empty text."""
-    return F.filter(F.split(normalize(text), " "), lambda x: x != "")
+    return F.array_remove(F.split(normalize(text), " "), "")
 
 
 def mentions(text: Column) -> Column:

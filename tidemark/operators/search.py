@@ -10,21 +10,32 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
-    """(id, term, tf, len): an inverted index. Documents without a token have no row."""
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, only: list[str] | None = None) -> DataFrame:
+    """(id, term, tf, len): an inverted index. Documents without a token have no row.
+
+    With `only` it has these terms alone, for a search without a stored index: other tokens are counted but never shuffled.
+    """
     own = X.tokens(F.col(text_col)) if tokens is None else tokens
     rows = docs.select(F.col(id_col).alias("id"), own.alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    rows = rows if only is None else rows.where(F.col("term").isin(*only))
     return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def bm25(index: DataFrame, query: list[str], n_docs: int | None = None, k1: float = 1.5, b: float = 0.75, idf: str = "plus") -> DataFrame:
+def corpus_size(docs: DataFrame, text_col: str = "text", tokens: Column | None = None) -> DataFrame:
+    """One row (n, total): documents that have a token, and tokens."""
+    size = F.size(X.tokens(F.col(text_col)) if tokens is None else tokens)
+    return docs.select(size.alias("s")).where("s > 0").agg(F.count("*").alias("n"), F.sum("s").alias("total"))
+
+
+def bm25(index: DataFrame, query: list[str], n_docs: int | None = None, corpus: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, idf: str = "plus") -> DataFrame:
     """(id, score) of documents that have a query term; a term that the query repeats counts as often.
 
     idf `plus` is ln((N - df + .5) / (df + .5) + 1); `okapi` lacks the 1, and negative ones become a quarter of the mean of all
     terms' idf. `n_docs` counts documents without tokens too; by default those of the index. Only the postings of the query's terms
-    are joined; the size of the corpus and its mean length are one row.
+    are joined; the size of the corpus and its mean length are one row, `corpus`, which is counted from a full index if it isn't given.
     """
-    corpus = index.groupBy("id").agg(F.first("len").alias("len")).agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+    if corpus is None:
+        corpus = index.groupBy("id").agg(F.first("len").alias("len")).agg(F.count("*").alias("n"), F.sum("len").alias("total"))
     corpus = corpus.select((F.lit(n_docs) if n_docs else F.col("n")).alias("n"), "total")
     times = {t: query.count(t) for t in query}
     hit = index.where(F.col("term").isin(list(times)))

@@ -17,7 +17,17 @@ TERMS = ["the", "tion", "erst", "the"]
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return S.postings(load(spark, d, "documents"), tokens=F.filter(F.split(F.col("text"), " "), lambda x: x != ""))
+    return S.postings(load(spark, d, "documents"), tokens=_tokens())
+
+
+def _tokens():  # noqa: ANN202  (a Column)
+    return F.array_remove(F.split(F.col("text"), " "), "")
+
+
+def _bm25(spark: SparkSession, d: str) -> DataFrame:
+    """A search without a stored index."""
+    docs = load(spark, d, "documents")
+    return S.bm25(S.postings(docs, tokens=_tokens(), only=TERMS), TERMS, corpus=S.corpus_size(docs, tokens=_tokens()))
 
 
 def _bm25_sql(idf: str = "ln((n - df + 0.5) / (df + 0.5) + 1)") -> str:
@@ -29,7 +39,7 @@ def _bm25_sql(idf: str = "ln((n - df + 0.5) / (df + 0.5) + 1)") -> str:
 
 @query(f"WITH {_bm25_sql()} SELECT id, round(score, 8) AS score FROM b")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    return S.bm25(_index(spark, d), TERMS).withColumn("score", F.round("score", 8))
+    return _bm25(spark, d).withColumn("score", F.round("score", 8))
 
 
 @query(f"""WITH {_bm25_sql("CASE WHEN ln((n - df + 0.5) / (df + 0.5)) < 0 THEN 0.25 * (SELECT avg(ln((n - df + 0.5) / (df + 0.5))) FROM f, a) ELSE ln((n - df + 0.5) / (df + 0.5)) END")} SELECT id, round(score, 8) AS score FROM b""")
@@ -40,7 +50,7 @@ def bm25_okapi(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_bm25_sql()}, k AS (SELECT id, score FROM b ORDER BY score DESC, id LIMIT 50)
   SELECT id, round(CASE WHEN max(score) OVER () = min(score) OVER () THEN 1 ELSE 0.5 + 0.5 * (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END, 8) AS score FROM k""")
 def fts_normalized(spark: SparkSession, d: str) -> DataFrame:
-    best = S.top_k(S.bm25(_index(spark, d), TERMS), 50)
+    best = S.top_k(_bm25(spark, d), 50)
     out = S.min_max(best, invert=False)
     return out.select("id", F.round(0.5 + 0.5 * F.col("normalized"), 8).alias("score"))
 
@@ -69,7 +79,7 @@ _RRF = f"""{_bm25_sql()}, c AS ({_COS}), v1 AS (SELECT id, row_number() OVER (OR
 
 def _lists(spark: SparkSession, d: str) -> list[DataFrame]:
     """Both lists with scores to nine digits, so that equal ones are ties however they were added up."""
-    both = [S.knn(load(spark, d, "embeddings"), _query_vector(spark, d), 1_000_000), S.bm25(_index(spark, d), TERMS)]
+    both = [S.knn(load(spark, d, "embeddings"), _query_vector(spark, d), 1_000_000), _bm25(spark, d)]
     return [x.withColumn("score", F.round("score", 9)) for x in both]
 
 
@@ -89,7 +99,7 @@ def combined_scores(spark: SparkSession, d: str) -> DataFrame:
     ids = load(spark, d, "documents").select(F.col("doc_id").alias("id")).union(load(spark, d, "embeddings").select("vec_id")).distinct()
     weights = ids.where("id % 10 = 0").withColumn("weight", F.lit(1.5))
     v = S.knn(load(spark, d, "embeddings"), _query_vector(spark, d), 1_000_000)
-    return S.combine(v, S.bm25(_index(spark, d), TERMS), weights).withColumn("score", F.round("score", 6))
+    return S.combine(v, _bm25(spark, d), weights).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT id, max(s) AS score FROM (SELECT user_id AS id, value AS s FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, value FROM events WHERE event_type = 'click') GROUP BY 1")
