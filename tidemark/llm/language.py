@@ -23,7 +23,7 @@ from .text import chunks
 #: N-grams in a profile.
 SIZE = 400
 #: Bytes of text that are taken at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: What a text without letters is taken for.
 UNKNOWN = "und"
 

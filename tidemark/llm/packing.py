@@ -71,9 +71,9 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return np.array(bins, np.int64), np.array(offsets, np.int64), np.array(held, np.int64)
 
 
-def _pieces(tokenizer: str, end_id: int, capacity: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(tokenizer: str, end_id: int, capacity: int, remember: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordwiseTokenizer.at(tokenizer)
+        encoder = WordwiseTokenizer.at(tokenizer, remember)
         for batch in chunks(batches, "text"):
             ends, flat = encoder.encode(batch.column("text"))
             flat, tail = flat.astype("<u4"), np.array([end_id], "<u4")
@@ -90,10 +90,13 @@ def _pieces(tokenizer: str, end_id: int, capacity: int) -> Callable[[Iterable[pa
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids and `end_id`, cut only where longer than `capacity`: (doc_id, piece, start, length, ids_crc32)."""
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", remember: int = 1_000_000) -> DataFrame:
+    """Each document's ids and `end_id`, cut only where longer than `capacity`: (doc_id, piece, start, length, ids_crc32).
+
+    A worker remembers the ids of so many pieces of words, about 200 bytes each; with fewer it is slower, not different.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer, end_id, capacity), _PIECE)
+    return rows.mapInArrow(_pieces(tokenizer, end_id, capacity, remember), _PIECE)
 
 
 def _packer(capacity: int, turn: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -142,6 +145,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, bucket: int = BUCKET) -> DataF
     return reduce(DataFrame.union, done)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", remember: int = 1_000_000) -> DataFrame:
     """Tokenizes and packs documents; null texts count as empty, whose one piece is `end_id`. See `token_pieces` and `pack`."""
-    return pack(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), capacity)
+    return pack(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, remember), capacity)

@@ -159,10 +159,11 @@ class WordwiseTokenizer:
         self.ids, self.start, self.length = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     @classmethod
-    def at(cls, path: str) -> WordwiseTokenizer:
-        """One instance per process and file."""
+    def at(cls, path: str, most: int = 1_000_000) -> WordwiseTokenizer:
+        """One instance per process and file; the last caller's bound holds."""
         if path not in cls._kept:
-            cls._kept[path] = cls(path)
+            cls._kept[path] = cls(path, most)
+        cls._kept[path].most = most
         return cls._kept[path]
 
     def _learn(self, pieces: list[str]) -> None:
