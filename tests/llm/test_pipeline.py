@@ -113,6 +113,13 @@ def test_stages_take_odd_and_empty_tables(spark):
         assert (docs.count() > 0) == (df.count() > 0)
 
 
+def test_one_of_exact_copies_with_short_lines_leaves(spark):
+    text = "the house with the water and those things\nHaanth.\nwhen the water was thought of by those\nNo."
+    docs = spark.createDataFrame([(k, text, "en", "s0", len(text)) for k in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    lines = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, lines, "").collect()] == [(0, text)]
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

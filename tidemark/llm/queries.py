@@ -95,7 +95,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_groups
 
-    return line_groups(_documents(spark, sf_dir)).drop("digest")
+    return line_groups(_documents(spark, sf_dir), min_words=1).drop("digest")
 
 
 def op8_threshold_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
