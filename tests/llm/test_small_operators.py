@@ -320,6 +320,16 @@ def test_odd_rows_have_fingerprints(spark):
     assert {r.fingerprint for r in plain if r.doc_id in (4, 5)} == {""}
 
 
+def test_short_texts_have_fingerprints():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in range(12, 61) for letters in ("abcdefgh", "stuvwxyz")]
+    prints = [P.sketch(x.encode()) for x in texts]
+    assert all(len(x) for x in prints)
+    assert all(P.likeness(a, b) == 0 for a, b in zip(prints[::2], prints[1::2], strict=True))
+    assert P.likeness(P.sketch(b""), P.sketch(b"")) == 1
+    assert all(P.likeness(x, P.sketch(b"")) == 0 for x in prints)
+
+
 def test_sketches_merge_and_estimate_containment():
     rng = random.Random(3)
     part = "".join(rng.choice("abcdefgh ") for _ in range(40_000))

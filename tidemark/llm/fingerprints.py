@@ -2,7 +2,9 @@
 
 Whether a hash is kept doesn't depend on the others, so sketches of parts merge into the sketch of the whole, and the share of one
 sketch that another holds estimates containment, however unequal the two documents are. Shingles are runs of `WIDTH` UTF-8 bytes;
-a shorter text is one shingle, which is kept in any case, so that each text but the empty one has a fingerprint of its own.
+a shorter text is one shingle, which is kept in any case. Of a text whose hashes all miss the threshold, as those of short texts may,
+the least hash is kept, so that only the empty text has the empty fingerprint; a merged sketch may hold such a hash besides. Texts
+with few kept hashes may share all of them: equal fingerprints are no proof of equal texts.
 """
 
 from __future__ import annotations
@@ -31,8 +33,12 @@ def sketch(data: bytes, width: int = WIDTH, fraction: int = FRACTION) -> np.ndar
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n])))
         hashes = mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
+    least = hashes[hashes < np.uint64(2**64 // fraction)]
+    if not len(least):
+        least = hashes.min(keepdims=True)
     # the kept ones lie in the lowest part of all hashes: the 32 bits that follow the bits they share
-    kept = np.sort(((hashes[hashes < np.uint64(2**64 // fraction)] * np.uint64(fraction)) >> np.uint64(32)).astype(np.uint32))
+    with np.errstate(over="ignore"):
+        kept = np.sort(((least * np.uint64(fraction)) >> np.uint64(32)).astype(np.uint32))
     return kept[np.concatenate(([True], kept[1:] != kept[:-1]))] if len(kept) else kept
 
 
@@ -43,7 +49,7 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated resemblance: shared hashes among all of both; 1 for two empty sketches."""
+    """Estimated resemblance: shared hashes among all of both; 1 for two empty sketches, which only empty texts have."""
     both = shared(a, b)
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
