@@ -37,3 +37,8 @@ def test_query(spark, data_dir, duck, name):
         assert len(a) == len(b)
         assert not len(a) or a.equals(b)
     assert len(got.columns) > 0
+
+
+@pytest.mark.parametrize("name", ["combined_scores", "rank_similarity"])
+def test_whole_lists_have_no_limit(spark, data_dir, name):
+    assert "Limit" not in QUERIES[name](spark, data_dir)._jdf.queryExecution().optimizedPlan().toString()

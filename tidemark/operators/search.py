@@ -87,11 +87,16 @@ def l2_similarity(d: Column) -> Column:
     return 1 / (1 + d)
 
 
-def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding", but: object = None) -> DataFrame:
-    """(id, score): the k nearest by cosine to one query vector, exactly. The query is a literal: no join."""
+def cosines(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, score): the cosine of every vector to one query vector. The query is a literal: no join."""
     q = F.array(*(F.lit(float(x)) for x in query))
+    return vectors.select(F.col(id_col).alias("id"), cosine(F.col(vec_col), q).alias("score"))
+
+
+def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding", but: object = None) -> DataFrame:
+    """(id, score): the k nearest by cosine to one query vector, exactly."""
     rows = vectors.where(F.col(id_col) != F.lit(but)) if but is not None else vectors
-    return top_k(rows.select(F.col(id_col).alias("id"), cosine(F.col(vec_col), q).alias("score")), k)
+    return top_k(cosines(rows, query, id_col, vec_col), k)
 
 
 def rrf(lists: list[DataFrame], weights: list[float] | None = None, k: int = 60, depth: int = 200) -> DataFrame:

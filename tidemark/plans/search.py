@@ -79,7 +79,7 @@ _RRF = f"""{_bm25_sql()}, c AS ({_COS}), v1 AS (SELECT id, row_number() OVER (OR
 
 def _lists(spark: SparkSession, d: str) -> list[DataFrame]:
     """Both lists with scores to nine digits, so that equal ones are ties however they were added up."""
-    both = [S.knn(load(spark, d, "embeddings"), _query_vector(spark, d), 1_000_000), _bm25(spark, d)]
+    both = [S.cosines(load(spark, d, "embeddings"), _query_vector(spark, d)), _bm25(spark, d)]
     return [x.withColumn("score", F.round("score", 9)) for x in both]
 
 
@@ -98,7 +98,7 @@ def rrf_unweighted(spark: SparkSession, d: str) -> DataFrame:
 def combined_scores(spark: SparkSession, d: str) -> DataFrame:
     ids = load(spark, d, "documents").select(F.col("doc_id").alias("id")).union(load(spark, d, "embeddings").select("vec_id")).distinct()
     weights = ids.where("id % 10 = 0").withColumn("weight", F.lit(1.5))
-    v = S.knn(load(spark, d, "embeddings"), _query_vector(spark, d), 1_000_000)
+    v = S.cosines(load(spark, d, "embeddings"), _query_vector(spark, d))
     return S.combine(v, _bm25(spark, d), weights).withColumn("score", F.round("score", 6))
 
 
@@ -110,7 +110,7 @@ def candidate_union_best(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH c AS ({_COS}) SELECT id, round((count(*) OVER () - row_number() OVER (ORDER BY score DESC, id) + 1)::DOUBLE / count(*) OVER (), 8) AS similarity FROM c")
 def rank_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return S.rank_similarity(S.knn(load(spark, d, "embeddings"), _query_vector(spark, d), 1_000_000)).select("id", F.round("similarity", 8).alias("similarity"))
+    return S.rank_similarity(S.cosines(load(spark, d, "embeddings"), _query_vector(spark, d))).select("id", F.round("similarity", 8).alias("similarity"))
 
 
 @query("""SELECT event_id AS id, user_id % 10 AS chat, value AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 10 ORDER BY value DESC, event_id) AS p FROM events) WHERE p <= 40 ORDER BY value DESC, event_id LIMIT 100""")
