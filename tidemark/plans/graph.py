@@ -66,6 +66,65 @@ def k_hop_related(spark: SparkSession, d: str) -> DataFrame:
     return G.k_hop(_edges(spark, d), load(spark, d, "supplier").where("s_suppkey < 5").select(F.col("s_suppkey").alias("id")), 3)
 
 
+# The same over every order, with all suppliers divisible by 20 as seeds; the queries above keep their SQL.
+_WHOLE_EDGES = _EDGES.replace(" WHERE l_orderkey % 40 = 0", "")
+
+
+def _whole_edges(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "SUPPLIES").otherwise("OFFERS")
+    return load(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), (F.lit(100000) + F.col("l_partkey") % 300).alias("target_id"), kind.alias("type"), F.lit(0.5).alias("weight")).distinct()
+
+
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("id"))
+
+
+@query(f"WITH e AS ({_WHOLE_EDGES}), n AS ({_NODES}) SELECT source_id, target_id, type FROM e WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n)")
+def edge_endpoint_validation_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.valid_edges(_nodes(spark, d), _whole_edges(spark, d)).select("source_id", "target_id", "type")
+
+
+@query(f"WITH e AS ({_WHOLE_EDGES}) SELECT source_id, target_id, min(type) AS type FROM e GROUP BY 1, 2")
+def first_edge_per_pair_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.first_edges(_whole_edges(spark, d), "type").select("source_id", "target_id", "type")
+
+
+@query(f"WITH e AS ({_WHOLE_EDGES}), n AS ({_NODES}) SELECT id FROM n WHERE id NOT IN (SELECT source_id FROM e UNION SELECT target_id FROM e)")
+def orphan_nodes_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.orphans(_nodes(spark, d), _whole_edges(spark, d))[0]
+
+
+@query(f"WITH e AS ({_WHOLE_EDGES}), n AS ({_NODES}) SELECT source_id, target_id, type FROM e WHERE target_id NOT IN (SELECT id FROM n) OR source_id NOT IN (SELECT id FROM n)")
+def orphan_edges_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.orphans(_nodes(spark, d), _whole_edges(spark, d))[1].select("source_id", "target_id", "type")
+
+
+@query(f"WITH e AS ({_WHOLE_EDGES}), s AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 20 = 0) SELECT source_id AS id, target_id AS neighbor, type FROM e WHERE source_id IN (SELECT id FROM s) UNION ALL SELECT target_id, source_id, type FROM e WHERE target_id IN (SELECT id FROM s)")
+def graph_neighbors_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.neighbors(_whole_edges(spark, d), _seeds(spark, d)).select("id", "neighbor", "type")
+
+
+@query(f"WITH e AS ({_WHOLE_EDGES}), n AS ({_NODES}) SELECT source_id, target_id, type FROM e WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n)")
+def induced_subgraph_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.induced(_whole_edges(spark, d), _nodes(spark, d)).select("source_id", "target_id", "type")
+
+
+@query(f"""WITH RECURSIVE e AS ({_WHOLE_EDGES}), b AS (SELECT source_id AS x, target_id AS y FROM e UNION SELECT target_id, source_id FROM e), r AS (SELECT s_suppkey AS seed, s_suppkey AS id, 0 AS hops FROM supplier WHERE s_suppkey % 20 = 0 UNION SELECT seed, y, hops + 1 FROM r JOIN b ON x = id WHERE hops < 3)
+  SELECT seed, id, min(hops) AS hops FROM r GROUP BY 1, 2""")
+def k_hop_related_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.k_hop(_whole_edges(spark, d), _seeds(spark, d), 3)
+
+
+@query()
+def graph_statistics_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.stats(_nodes(spark, d), _whole_edges(spark, d)).withColumns({"avg_degree": F.round("avg_degree", 6), "density": F.round("density", 6)})
+
+
+@query(f"WITH e AS ({_WHOLE_EDGES}), x AS (SELECT source_id AS id FROM e UNION ALL SELECT target_id FROM e), g AS (SELECT id, count(*) AS degree FROM x GROUP BY 1) SELECT id, degree, round(degree / max(degree) OVER (), 6) AS centrality FROM g")
+def degree_centrality_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.degree_centrality(_whole_edges(spark, d)).withColumn("centrality", F.round("centrality", 6))
+
+
 _FLOW = "SELECT o_custkey % 200 AS source_id, o_orderkey % 200 AS target_id, min(o_totalprice) / 500000 AS weight FROM orders WHERE o_custkey % 200 <> o_orderkey % 200 GROUP BY 1, 2"
 
 
