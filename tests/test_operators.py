@@ -352,3 +352,13 @@ def test_group_rules(spark):
     assert N.pattern_split(df, "chat", "ts", "id").count() == 5
     got = one(spark, N.new_day(F.lit(START), F.lit(START + timedelta(hours=13))), N.new_day(F.lit(START), F.lit(START + timedelta(hours=1))))
     assert list(got) == [True, False]
+
+
+def test_nearest_of_many_queries_is_the_same_in_small_blocks(spark):
+    v = np.random.default_rng(2).normal(size=(60, 4))
+    df = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(a, b, n + 1) for a in range(0, 60, 20) for n, b in enumerate([b for b in np.argsort(-(unit @ unit[a]), kind="stable") if b != a][:5])}
+    for block in (7, 2048):
+        got = V.nearest(df.where("vec_id % 20 = 0"), df, 5, block=block).collect()
+        assert {(r.a, r.b, r["rank"]) for r in got} == want

@@ -57,6 +57,33 @@ def blocked_pairs(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     return pairs.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", *, block: int = BLOCK) -> DataFrame:
+    """(a, b, score, rank): each query's `k` nearest rows of another id by cosine, exactly. A task gets a block of queries and one of rows."""
+
+    def side(table: DataFrame, asks: bool) -> tuple[DataFrame, int]:
+        rows = table.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.lit(asks).alias("asks"))
+        return rows, max(1, -(-rows.count() // block))
+
+    (q, n), (r, m) = side(queries, True), side(vectors, False)
+    place = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = q.select(place(n).alias("x"), every(m).alias("y"), "asks", "id", "v").union(r.select(every(n).alias("x"), place(m).alias("y"), "asks", "id", "v"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, asks = table.column("id").to_numpy(), table.column("asks").to_numpy()
+        v = np.array(table.column("v").to_pylist(), float)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+        p, o = np.flatnonzero(asks), np.flatnonzero(~asks)
+        score = np.where(ids[p][:, None] == ids[o][None, :], -2.0, np.round(v[p] @ v[o].T, 12))
+        out = [(ids[p[i]], ids[o[t]], near[t]) for i, near in enumerate(score) for t in np.lexsort((ids[o], -near))[:k] if near[t] > -2]
+        a, b, s = (np.array(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
+    return dealt.groupBy("x", "y").applyInArrow(run, "a long, b long, score double").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def components(pairs: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
     """(id_col, component: the smallest id that links lead to)."""
     from .graph import connected_components

@@ -167,6 +167,13 @@ def knn_graph(spark: SparkSession, d: str) -> DataFrame:
     return V.blocked_pairs(load(spark, d, "embeddings"), k=5).withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {_UNIT}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 12) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT a, b, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM p) WHERE rank <= 10")
+def knn_search_each(spark: SparkSession, d: str) -> DataFrame:
+    """All rows whose id is divisible by 20 as queries, against all rows."""
+    e = load(spark, d, "embeddings")
+    return V.nearest(e.where("vec_id % 20 = 0"), e, 10).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH RECURSIVE {_UNIT}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.6),
   r AS (SELECT vec_id AS id, vec_id AS reach FROM u UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach) SELECT id AS vec_id, min(reach) AS component FROM r GROUP BY 1""")
 def threshold_components(spark: SparkSession, d: str) -> DataFrame:
