@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ._shared import forget, materialize
 
-#: Of a key and the columns of some of its members, and the places of pairs of them: the places of those worth a check.
-Compare = Callable[[int, dict[str, pa.Array], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: Of the keys and columns of some members, and the places of pairs of them: the places of those worth a check.
+Compare = Callable[[np.ndarray, dict[str, pa.Array], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -62,45 +62,52 @@ BLOCK = 1024
 FEW = 500_000
 
 
+#: Pairs of places that are looked at together, about.
+PAIRS = 1 << 20
+
+
 def _compared(columns: list[str], compare: Compare) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Over rows in order of (key, x, y): pairs of a block of each key with another, or with itself."""
 
-    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        group = pa.Table.from_batches(rows).combine_chunks()
-        if group.num_rows < 2:
-            return None
-        x, y, block = (group.column(c)[0].as_py() if c != "block" else group.column(c).to_numpy() for c in ("x", "y", "block"))
-        place = np.arange(group.num_rows)
-        one, two = (place[block == x], place[block == y]) if x != y else (place, place)
-        a, b = np.repeat(one, len(two)), np.tile(two, len(one))
-        group_of, id_of = group.column("group").to_numpy(), group.column("id").to_numpy()
-        apart = (group_of[a] != group_of[b]) & ((a < b) | (x != y))
+    def pairs(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
+        """Of whole groups of rows that begin at `starts`."""
+        of = {c: table.column(c).to_numpy() for c in ("x", "y", "block", "group", "id", "key")}
+        left = np.repeat(np.append(starts[1:], table.num_rows), np.diff(starts, append=table.num_rows)) - 1 - np.arange(table.num_rows)
+        a = np.repeat(np.arange(table.num_rows), left)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
+        apart = (of["group"][a] != of["group"][b]) & ((of["x"][a] == of["y"][a]) | (of["block"][a] != of["block"][b]))
         a, b = a[apart], b[apart]
         if len(a):
-            a, b = compare(group.column("key")[0].as_py(), {c: group.column(c).combine_chunks() for c in columns}, a, b)
+            a, b = compare(of["key"], {c: table.column(c).combine_chunks() for c in columns}, a, b)
         if not len(a):
             return None
-        lo, hi = np.minimum(id_of[a], id_of[b]), np.maximum(id_of[a], id_of[b])
-        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+        one, two = of["id"][a], of["id"][b]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
+        rest: pa.Table | None = None
         for batch in batches:
-            mark = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "x", "y")])
-            cuts = [0, *(np.flatnonzero((np.diff(mark) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for start, end in zip(cuts, cuts[1:], strict=False):
-                if start == end:
-                    continue
-                this = tuple(mark[:, start].tolist())
-                if held and this != now:
-                    if (found := pairs(held)) is not None:
-                        yield found
-                    held = []
-                now = this
-                held.append(batch.slice(start, end - start))
-        if held and (found := pairs(held)) is not None:
-            yield found
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            rest = pa.concat_tables([rest, table]) if rest is not None else table
+            mark = np.stack([rest.column(c).to_numpy().astype(np.int64) for c in ("key", "x", "y")])
+            starts = np.concatenate(([0], np.flatnonzero((np.diff(mark) != 0).any(axis=0)) + 1))
+            # the last group may go on in the next batch
+            if len(starts) > 1:
+                yield from whole(rest.slice(0, starts[-1]).combine_chunks(), starts[:-1])
+                rest = rest.slice(starts[-1])
+        if rest is not None:
+            yield from whole(rest.combine_chunks(), np.zeros(1, np.int64))
+
+    def whole(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(starts, append=table.num_rows)
+        turn = np.cumsum(sizes * (sizes - 1) // 2) // PAIRS
+        cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(starts)]
+        for c, d in zip(cuts, cuts[1:], strict=False):
+            end = starts[d] if d < len(starts) else table.num_rows
+            if end - starts[c] > 1 and (found := pairs(table.slice(starts[c], end - starts[c]), starts[c:d] - starts[c])) is not None:
+                yield found
 
     return run
 
@@ -123,31 +130,56 @@ def links_by_shared_keys(
     and the function that keeps the true links of pairs.
     """
 
-    def prefixed(table: DataFrame, side: str) -> DataFrame:
-        return table.select(*(F.col(c).alias(f"{side}_{c}") for c in table.columns))
-
     summed = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("n"))
     hubs = materialize(summed.where("hub != last"), "hubs")
     # two members are known from the sums; only larger keys' members are looked up
     pairs, larger = hubs.where("n = 2"), hubs.where("n > 2").select("key", "hub")
     few = larger.limit(FEW + 1).count() <= FEW
-    crowd = keys.join(F.broadcast(larger) if few else larger, "key").select("key", "id", "hub")
-    crowd = materialize(crowd.union(pairs.select("key", "hub", "hub")).union(pairs.select("key", "last", "hub")), "crowd")
-    star = crowd.where("id != hub").select(F.col("hub").alias("a_id"), F.col("id").alias("b_id")).distinct()
-    star = star.join(prefixed(items, "a"), "a_id").join(prefixed(items, "b"), "b_id")
+    crowd = materialize(keys.join(F.broadcast(larger) if few else larger, "key").select("key", "id", "hub"), "crowd")
+    stars = crowd.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).union(pairs.select("hub", "last")).distinct()
+    links = links_of_stars(items.withColumn("name", F.col("id")), stars, crowd.select("key", "id"), may_match, confirm, compare)
+    forget(hubs, crowd)
+    return links
+
+
+def links_of_stars(
+    items: DataFrame,
+    stars: DataFrame,
+    crowd: DataFrame,
+    may_match: Callable[[str, str], Column],
+    confirm: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
+    compare: Compare,
+) -> DataFrame:
+    """The links of `links_by_shared_keys` from its two parts: star edges (a, b), and the members (key, id) of keys with more than two.
+
+    Star edges give the `name` that items have besides id; items of one name each take part.
+    Of a key that star edges don't connect, the members outside its largest group are held against each other and against those inside it;
+    so one stray member of a large key costs a look at each of the others, not at each pair of them. Members may come repeatedly.
+    """
+    near_of = lambda side: items.select(*(F.col(c).alias(f"{side}_{c}") for c in items.columns))
+    star = stars.select(F.col("a").alias("a_name"), F.col("b").alias("b_name")).join(near_of("a"), "a_name").join(near_of("b"), "b_name")
     star = materialize(star.where(may_match("a_", "b_")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "star")
-    content, check = confirm(crowd.select("id").distinct())
+    content, check = confirm(star.select(F.col("a").alias("id")).union(star.select("b")).union(crowd.select("id")).distinct())
     near = materialize(check(star), "near")
     group = materialize(connected_components(near), "groups")
-    member = crowd.join(group, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("group"))
-    apart = member.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.count("*").alias("n")).where("least != most")
-    member = member.where("id != hub").join(apart.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    member = member.select("key", "id", "group", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    member = member.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "group").join(content, "id")
+    member = crowd.join(group, "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"))
+    split = member.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least != most").select("key")
+    apart = materialize(member.join(split, "key").distinct(), "apart")
+    counts = apart.groupBy("key", "group").agg(F.count("*").alias("n"))
+    tops = counts.groupBy("key").agg(F.max(F.struct("n", "group")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    tops = tops.select("key", F.col("top.group").alias("largest"), blocks(F.col("n") - F.col("top.n")).alias("outside"), blocks(F.col("top.n")).alias("inside"))
+    dealt = apart.join(tops, "key")
+    # blocks outside the largest group are numbered from 0, those inside it after them
+    in_largest = F.col("group") == F.col("largest")
+    spread = F.xxhash64("id")
+    block = F.when(in_largest, F.col("outside") + F.pmod(spread, F.col("inside"))).otherwise(F.pmod(spread, F.col("outside"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("outside") - 1 + F.when(in_largest, 0).otherwise(F.col("inside")))
+    dealt = dealt.select("key", "id", "group", block.alias("block"), F.explode(others).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "group").join(content, "id")
     columns = [c for c in content.columns if c != "id"]
-    dealt = member.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id").select("key", "x", "y", "block", "id", "group", *columns)
+    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id").select("key", "x", "y", "block", "id", "group", *columns)
     met = materialize(dealt.mapInArrow(_compared(columns, compare), "a long, b long").distinct(), "met")
     more = materialize(check(met), "near")
-    forget(hubs, star, crowd, met, group)
+    forget(star, group, apart, met)
     return near.union(more)

@@ -117,7 +117,7 @@ def _block_compare(percent: int, bins: int) -> Callable:
     """Pairs whose 32-bit sets are similar enough (which loses none), each under the first key that its two members share."""
     most = _most_apart(percent, bins)
 
-    def compare(key: int, columns: dict[str, pa.Array], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(keys: np.ndarray, columns: dict[str, pa.Array], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = columns["n"].to_numpy()
         a, b = (x[(100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a])] for x in (a, b))
         bands, marks = (columns[c].flatten().to_numpy().reshape(len(n), -1) for c in ("bands", "marks"))
@@ -129,7 +129,7 @@ def _block_compare(percent: int, bins: int) -> Callable:
             close = (nibbles[x] != nibbles[y]).sum(axis=1) <= most
             x, y = x[close], y[close]
             same = bands[x] == bands[y]
-            own = bands[x, same.argmax(axis=1)] == key
+            own = bands[x, same.argmax(axis=1)] == keys[x]
             for p, q in zip(x[own].tolist(), y[own].tolist(), strict=True):
                 for k in (p, q):
                     if k not in sets:
