@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
+from tidemark.llm import _shared as shared
 from tidemark.llm import fingerprints as P
 from tidemark.llm import language as G
 from tidemark.llm import media as M
@@ -124,6 +128,58 @@ def test_large_sizes_and_boxes_to_the_end():
     assert [e - b for _, b, e in M.walk(memoryview(b"\0\0\0\0free" + b"x" * 9))] == [9]
 
 
+def _numbers(*values: int) -> bytes:
+    return b"".join(v.to_bytes(4, "big") for v in values)
+
+
+def _fragmented() -> tuple[bytes, list[bytes]]:
+    """A file of one video track with nothing in its sample table, and two fragments: six samples, of which the first and the fourth are key ones."""
+    samples = [bytes([65 + k]) * (10 + k) for k in range(6)]
+    empty = [M._full(k, bytes(4)) for k in (b"stts", b"stsc", b"stco")] + [M._full(b"stsz", bytes(8))]
+    stbl = M._box(b"stbl", M._full(b"stsd", _numbers(1), M._box(b"avc1", bytes(8))), *empty)
+    minf = M._box(b"minf", M._full(b"hdlr", bytes(4), b"alis", bytes(12)), stbl)
+    mdia = M._box(b"mdia", M._full(b"mdhd", _numbers(0, 0, 100, 0), bytes(4)), M._full(b"hdlr", bytes(4), b"vide", bytes(12)), minf)
+    trak = M._box(b"trak", M._full(b"tkhd", _numbers(0, 0, 7, 0, 0), bytes(60)), mdia)
+    out = M._box(b"ftyp", b"isom", bytes(4)) + M._box(b"moov", trak, M._box(b"mvex", M._full(b"trex", _numbers(7, 1, 25, 0, 0x10000))))
+    for part in (samples[:3], samples[3:]):
+        tfhd = M._box(b"tfhd", _numbers(0x20000, 7))
+
+        def moof(at: int) -> bytes:
+            trun = M._box(b"trun", _numbers(0x205, len(part)), at.to_bytes(4, "big"), _numbers(0), _numbers(*map(len, part)))  # noqa: B023
+            return M._box(b"moof", M._full(b"mfhd", _numbers(1)), M._box(b"traf", tfhd, trun))  # noqa: B023
+
+        out += moof(len(moof(0)) + 8) + M._box(b"mdat", *part)
+    return out, samples
+
+
+def test_fragments_are_decoded():
+    file, samples = _fragmented()
+    (track,) = M.tracks(file)
+    assert (track.handler, track.codec, track.timescale, track.duration) == ("vide", "avc1", 100, 150)
+    assert [file[o : o + n] for o, n in zip(track.offsets, track.sizes, strict=True)] == samples
+    assert [file[o : o + n] for o, n in track.key_ranges] == [samples[0], samples[3]]
+    got = M.describe(file)
+    assert (got["duration_s"], got["n_samples"], len(got["tracks"]), got["error"]) == (1.5, 6, 1, None)
+
+
+@pytest.mark.parametrize("bits", [4, 8, 16])
+def test_short_sample_sizes(bits):
+    sizes = [3, 15, 0, 7, 9]
+    fields = {4: bytes([0x3F, 0x07, 0x90]), 8: bytes(sizes), 16: b"".join(x.to_bytes(2, "big") for x in sizes)}[bits]
+    data = M._full(b"stz2", _numbers(bits, len(sizes)), fields)
+    assert M._sizes(memoryview(data + bytes(40)), {b"stz2": (8, len(data))}).tolist() == sizes
+
+
+@pytest.mark.parametrize("value", [0, 1, 2**31, 2**32 - 1])
+def test_no_field_makes_a_file_fatal_or_large(value):
+    for whole in (M.build(b"x" * 3000), _fragmented()[0]):
+        skip = range(len(whole) - 700) if len(whole) > 3000 else ()
+        for at in range(len(skip), len(whole) - 3):
+            bad = whole[:at] + value.to_bytes(4, "big") + whole[at + 4 :]
+            got = M.describe(bad)
+            assert got["error"] or got["n_samples"] <= len(bad) + 1024
+
+
 # 3 packing
 
 
@@ -177,6 +233,19 @@ def test_packed_documents(spark, encoder):
     assert B.pack_documents(edge.empty(spark), PATH).count() == 0
 
 
+def test_equal_pieces_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(shared, "UNFOLD", 128)
+    rows = [(None, 0, 0, 100, 5)] * 3000 + [(1, 0, 0, 7, 5), (2, 0, 0, 2048, 1)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    told = shared.numbered(pieces).collect()
+    assert sorted(r.copy for r in told if r.doc_id is None) == list(range(1, 3001))
+    out = B.pack(pieces, 2048, 64).collect()
+    assert len(out) == 3002
+    assert len({r.sequence_id for r in out}) == 151
+    most = max(Counter(r.sequence_id for r in out if r.length == 100).values())
+    assert most == 20
+
+
 def test_buckets_exchange_what_fits_badly(spark):
     rng = random.Random(4)
     rows = [(k, 0, 0, rng.choice((rng.randint(1, 200), 2048, rng.randint(900, 1100))), k) for k in range(900)]
@@ -277,8 +346,8 @@ def test_expected_copies_are_the_rate():
 
     n, taken = 40, np.zeros(40)
     for seed in range(400):
-        g = pd.DataFrame({"doc_id": range(n), "copy": 1, "source": "a", "size": [1 + k % 4 for k in range(n)], "share": 0.3})
-        taken += X._settle(seed, False)(g).set_index("doc_id")["share"].sort_index().to_numpy()
+        g = pd.DataFrame({"name": [f"{k:02d}" for k in range(n)], "source": "a", "size": [1 + k % 4 for k in range(n)], "share": 0.3})
+        taken += X._settle(seed, False)(g).set_index("name")["share"].sort_index().to_numpy()
     assert abs(taken / 400 - 0.3).max() < 0.12
 
 
@@ -291,9 +360,70 @@ def test_mix_of_odd_rows(spark):
     assert [r.taken for r in blank] == [0, 0, 0]
 
 
+def test_rows_without_an_id_or_with_the_same_are_mixed_one_by_one(spark):
+    """20 rows with a null id, 20 that repeat one, 30 equal rows and rows of their own: as many as the targets say, none above three times."""
+    rows = [(None, f"no id {k} " + "w " * (k % 5), "en", "a", 0) for k in range(20)] + [(7, f"same id {k} " + "w " * (k % 5), "en", "b", 0) for k in range(20)]
+    rows += [(None, "equal in all", "en", "c", 0)] * 30 + [(100 + k, f"own {k}", "en", "d", 0) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sizes: dict = {}
+    for _, text, _, source, _ in rows:
+        sizes[source] = sizes.get(source, 0) + len(edge.words(text))
+    targets = _targets(sizes)
+    out = X.take(docs).collect()
+    copies: dict = {}
+    for r in out:
+        copies[r.text] = copies.get(r.text, 0) + 1
+    assert all(n <= 3 * sum(t == r[1] for r in rows) for t, n in copies.items())
+    for source, target in targets.items():
+        assert abs(sum(len(edge.words(r.text)) for r in out if r.source == source) - target) <= 7
+    mixed = X.mix(docs).collect()
+    assert len(mixed) == len(rows)
+    assert all(r.taken <= 3 * r.size for r in mixed)
+    assert {s: sum(r.taken for r in mixed if r.source == s) for s in sizes} == pytest.approx(targets, abs=7)
+
+
+def test_large_ids_stay_exact_beside_null_ones(spark):
+    ids = [2**62 + k for k in range(5)] + [None]
+    got = X.mix(spark.createDataFrame([(k, "a b", "s") for k in ids], "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted(ids, key=str)
+
+
 # 8 fingerprints
 
 
+def _plain_print(text: str) -> str:
+    """The fingerprint by Python's whole numbers: a polynomial of each run of 12 bytes, spread by three multiplications, a sixteenth kept."""
+    data, mask, base = text.encode(), 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def spread(x: int) -> int:
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    if len(data) < 12:
+        return base64.b64encode(b"".join((xxhash.xxh3_64_intdigest(data) >> 32).to_bytes(4, "little") for _ in range(bool(data)))).decode()
+    hashes = {spread(sum((c + 1) * pow(base, k, 2**64) for k, c in enumerate(data[a : a + 12])) & mask) for a in range(len(data) - 11)}
+    kept = {h for h in hashes if h < 2**60} or {min(hashes)}
+    return base64.b64encode(b"".join(x.to_bytes(4, "little") for x in sorted({(h * 16 & mask) >> 32 for h in kept}))).decode()
+
+
+def test_fingerprints_are_the_plain_ones(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "short text", "hello world foo bar", "stock prices fell", "ééé ßßß ñ\U0001f600 x"] + ["".join(rng.choice("abc de\u00e9") for _ in range(rng.randint(5, 300))) for _ in range(60)]
+    got = P.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.fingerprint for r in got} == {k: _plain_print(t) for k, t in enumerate(texts)}
+    compared = P.compare_with_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chains=5).collect()
+    for r in compared:
+        after = texts[r.doc_id - 1] if r.doc_id else texts[-1]
+        third = len(texts[r.doc_id]) // 3
+        new = texts[r.doc_id][: len(texts[r.doc_id]) - third] + after[:third]
+        prints = [{base64.b64decode(_plain_print(t))[k : k + 4] for k in range(0, len(base64.b64decode(_plain_print(t))), 4)} for t in (texts[r.doc_id], new, after)]
+        like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        assert (r.fingerprint, r.edited_fingerprint) == (_plain_print(texts[r.doc_id]), _plain_print(new))
+        assert (r.near_edited, r.near_next) == (like(prints[0], prints[1]), like(prints[0], prints[2]))
+    assert len(compared) == len(texts)
+
+
 def test_neighbours_are_compared_across_all_ranges(spark):
     docs = [(r[0], r[1]) for r in edge.rows() if r[0] not in (None, 11)] + [(k, f"document {k} " + "word " * (k % 7) * 9) for k in range(20, 60)]
     order = sorted(docs, key=lambda r: -r[0])

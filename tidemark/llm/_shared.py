@@ -6,17 +6,21 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}  # by application, where the session names no folder
 _LEFT: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary folder of this machine."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on one machine, as in tests, a temporary folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -50,6 +54,27 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Copies of a repeated row that one row is unfolded to at once.
+UNFOLD = 65_536
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The same rows with `copy`, which tells repeated ones apart: 1, 2 and so on.
+
+    Repeated rows are counted before they are shuffled, and unfolded again in parts that are dealt to all tasks.
+    """
+    counted = materialize(rows.groupBy(*rows.columns).agg(F.count("*").alias("__tm_n")), "counted")
+    once = counted.where("__tm_n = 1").select(*rows.columns, F.lit(1).cast("long").alias("copy"))
+    return once.unionByName(unfolded(counted.where("__tm_n > 1"), F.col("__tm_n"), "copy").drop("__tm_n"))
+
+
+def unfolded(rows: DataFrame, n: Column, name: str) -> DataFrame:
+    """Each row n times, with the numbers from 1 to n in the column `name`: in parts, which are dealt to all tasks."""
+    parts = rows.withColumn("__tm_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / UNFOLD))))
+    first = F.col("__tm_k") * UNFOLD + 1
+    return parts.repartition(*parts.columns).withColumn(name, F.explode(F.sequence(first, F.least(first + (UNFOLD - 1), n)))).drop("__tm_k")
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that materialize() wrote and that nothing reads any more."""
     for table in tables:

@@ -112,14 +112,14 @@ def _compared(columns: list[str], compare: Compare) -> Callable[[Iterable[pa.Rec
     return run
 
 
-def links_by_shared_keys(
+def groups_by_shared_keys(
     items: DataFrame,
     keys: DataFrame,
     may_match: Callable[[str, str], Column],
     confirm: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
     compare: Compare,
 ) -> DataFrame:
-    """Links (a, b) between items that share a key, may match and are confirmed, enough of them to connect what all would.
+    """The groups that links connect, as `connected_components` has them. Items are linked that share a key, may match and are confirmed.
 
     `items` has id (long) and the columns that `may_match` compares (given the two sides' prefixes), `keys` has key (long) and id.
     First each key's members are held against its smallest member only: a star has one edge a member. What those edges connect
@@ -137,12 +137,12 @@ def links_by_shared_keys(
     few = larger.limit(FEW + 1).count() <= FEW
     crowd = materialize(keys.join(F.broadcast(larger) if few else larger, "key").select("key", "id", "hub"), "crowd")
     stars = crowd.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).union(pairs.select("hub", "last")).distinct()
-    links = links_of_stars(items.withColumn("name", F.col("id")), stars, crowd.select("key", "id"), may_match, confirm, compare)
+    groups = materialize(groups_of_stars(items.withColumn("name", F.col("id")), stars, crowd.select("key", "id"), may_match, confirm, compare), "groups")
     forget(hubs, crowd)
-    return links
+    return groups
 
 
-def links_of_stars(
+def groups_of_stars(
     items: DataFrame,
     stars: DataFrame,
     crowd: DataFrame,
@@ -150,7 +150,7 @@ def links_of_stars(
     confirm: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
     compare: Compare,
 ) -> DataFrame:
-    """The links of `links_by_shared_keys` from its two parts: star edges (a, b), and the members (key, id) of keys with more than two.
+    """The groups of `groups_by_shared_keys` from its two parts: star edges (a, b), and the members (key, id) of keys with more than two.
 
     Star edges give the `name` that items have besides id; items of one name each take part.
     Of a key that star edges don't connect, the members outside its largest group are held against each other and against those inside it;
@@ -180,6 +180,11 @@ def links_of_stars(
     columns = [c for c in content.columns if c != "id"]
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id").select("key", "x", "y", "block", "id", "group", *columns)
     met = materialize(dealt.mapInArrow(_compared(columns, compare), "a long, b long").distinct(), "met")
-    more = materialize(check(met), "near")
-    forget(star, group, apart, met)
-    return near.union(more)
+    # what was found since connects groups, of which each is named by its smallest member
+    of = lambda x: group.select(F.col("id").alias(x), F.col("component").alias(f"{x}_group"))
+    more = check(met).join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
+    wider = materialize(connected_components(more), "wider")
+    forget(star, near, apart, met)
+    of = wider.select(F.col("id").alias("component"), F.col("component").alias("wider"))
+    inside = group.join(of, "component", "left").select("id", F.coalesce("wider", "component").alias("component"))
+    return inside.union(wider.join(group, "id", "left_anti").select("id", "component"))

@@ -122,6 +122,10 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of()
 
 
+#: Documents in a range of ids, about, and the most ranges: their bounds are in the plan.
+RANGE, MOST_RANGES = 4096, 4096
+
+
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chains: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text (see `edited`), and how like they and the next text's are.
 
@@ -129,25 +133,35 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     next. Rows that repeat an id follow each other in the order of their texts; rows with a null id come last. Null texts count as
     empty. Returns doc_id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents are dealt into ranges of ids, whose bounds are quantiles of the ids; the first document of each range is also sent,
-    as a guest, to the range before it, so that one shuffle of the texts is enough and no range depends on another.
+    Documents are dealt into ranges of ids, as many as their number asks for, whose bounds are quantiles of the ids; the first document of each
+    range is also sent, as a guest, to the range before it, so that one shuffle of the texts is enough and no range depends on another.
+    A range is read as a stream, in order; rows of one id, null included, are in one range.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = chains or 2 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 10_000).alias("cuts")).first().cuts or []
-    cuts = sorted(set(cuts))  # range k has the ids in [cuts[k - 1], cuts[k]), so that copies of an id stay together
-    place = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col("id")))) if cuts else F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.lit(0))
-    heads = rows.groupBy(place.alias("chain")).agg(F.max("id").alias("id"), F.count("*").alias("n")).collect()
+    n = chains or max(1, min(MOST_RANGES, -(-rows.count() // RANGE)))
+    cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 100_000).alias("cuts")).first().cuts or [] if n > 1 else []
+    cuts = sorted(set(cuts))  # range k has the ids in [cuts[k - 2], cuts[k - 1]), so that copies of an id stay together; 0 has the null ids
+    # a bound's place in two steps: among every `step`-th bound, then among those that follow it
+    step = max(1, round(len(cuts) ** 0.5))
+    upto = lambda bounds: F.array_size(F.filter(bounds, lambda x: x <= F.col("id")))
+    if cuts:
+        parts = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+        fine = F.array(*(F.array(*map(F.lit, p)) for p in parts))
+        coarse = upto(F.array(*(F.lit(p[0]) for p in parts)))
+        found = F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + upto(F.element_at(fine, F.greatest(coarse, F.lit(1)))))
+    else:
+        found = F.lit(0)
+    tagged = rows.withColumn("chain", F.when(F.col("id").isNull(), F.lit(0)).otherwise(found + 1))
+    heads = tagged.groupBy("chain").agg(F.max("id").alias("id")).collect()  # a row a range
+    if not heads:
+        return docs.sparkSession.createDataFrame([], _EDIT)
     ranges = sorted((r.chain for r in heads), reverse=True)
-    before = {c: ranges[k - 1] for k, c in enumerate(ranges)}  # the range that ends where c begins; the last one's is the first
     first = {r.chain: r.id for r in heads}
-    if not ranges:
-        return docs.sparkSession.createDataFrame([], _EDIT)
-    tagged = rows.withColumn("chain", place)
-    head = F.create_map(*[x for c in ranges for x in (F.lit(c), F.lit(first[c]).cast("long"))])[F.col("chain")]
-    guests = tagged.where(F.col("id").eqNullSafe(head))
+    before = {c: ranges[k - 1] for k, c in enumerate(ranges)}  # the range that ends where c begins; the last one's is the first
+    known = range(ranges[0] + 1)
+    at = lambda values, kind: F.element_at(F.array(*(F.lit(v).cast(kind) for v in values)), F.col("chain") + 1)
+    guests = tagged.where(F.col("id").eqNullSafe(at([first.get(c) for c in known], "long")))
     guests = guests.groupBy("chain").agg(F.min("text").alias("text"), F.first("id").alias("id"))
-    to = F.create_map(*[F.lit(x) for c in ranges for x in (c, before[c])])[F.col("chain")]
-    every = tagged.select("chain", "id", F.lit(False).alias("guest"), "text").union(guests.select(to, "id", F.lit(True), "text"))
-    dealt = every.repartition("chain").sortWithinPartitions("chain", "guest", F.col("id").desc_nulls_last(), "text")
+    every = tagged.select("chain", "id", F.lit(False).alias("guest"), "text").union(guests.select(at([before.get(c) for c in known], "int"), "id", F.lit(True), "text"))
+    dealt = every.repartitionById(len(known), F.col("chain").cast("int")).sortWithinPartitions("chain", "guest", F.col("id").desc_nulls_last(), "text")
     return dealt.select("chain", "id", "guest", "text").mapInArrow(_compare, _EDIT)

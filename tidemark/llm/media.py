@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import chunks
+
 #: Boxes that hold nothing but boxes.
 CONTAINERS = (b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"mvex", b"moof", b"traf", b"udta")
 RATE, FRAME, PER_CHUNK, KEY_EVERY = 8000, 1024, 8, 16  # samples a second; bytes in a frame; frames in a chunk; frames to a key frame
@@ -31,6 +33,7 @@ class Track:
     codec: str = ""
     timescale: int = 0
     duration: int = 0
+    number: int = 0
     offsets: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     sizes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
@@ -81,50 +84,160 @@ def _table(data: memoryview, at: int, end: int, columns: int, kind: str = ">u4")
     return np.frombuffer(data, kind, n * columns, at + 4).astype(np.int64).reshape(n, columns)
 
 
-def _samples(data: memoryview, tables: dict[bytes, tuple[int, int]], track: Track) -> None:
-    a, b = tables[b"stsz"]
+#: Samples that a file may name besides one for each of its bytes.
+_EMPTY = 1024
+
+
+def _sizes(data: memoryview, tables: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """Of `stsz`, or of `stz2` with fields of 4, 8 or 16 bits."""
+    a, b = tables.get(b"stsz") or tables[b"stz2"]
     same, n = struct.unpack_from(">II", data, a + 4)
-    track.sizes = np.full(n, same, np.int64) if same else _table(data, a + 8, b, 1)[:, 0]
+    if max(n, n * same if b"stsz" in tables else 0) > len(data) + _EMPTY:
+        raise ValueError("more samples than the file can hold")
+    if b"stsz" in tables:
+        return np.full(n, same, np.int64) if same else _table(data, a + 8, b, 1)[:, 0]
+    bits = same & 0xFF
+    if bits not in (4, 8, 16) or a + 12 + (n * bits + 7) // 8 > b:
+        raise ValueError("a table is longer than its box")
+    raw = np.frombuffer(data, np.uint8, (n * bits + 7) // 8, a + 12).astype(np.int64)
+    if bits == 4:
+        return np.stack((raw >> 4, raw & 15), axis=1).reshape(-1)[:n]
+    return raw if bits == 8 else raw[::2] * 256 + raw[1::2]
+
+
+def _samples(data: memoryview, tables: dict[bytes, tuple[int, int]], track: Track) -> None:
+    """Sizes, offsets, duration and key samples from a track's sample table; counts are held against the file before anything is made of them."""
+    track.sizes = _sizes(data, tables)
+    n = len(track.sizes)
     chunk = _table(data, tables[b"stco"][0] + 4, tables[b"stco"][1], 1)[:, 0] if b"stco" in tables else _table(data, tables[b"co64"][0] + 4, tables[b"co64"][1], 1, ">u8")[:, 0]
     runs = _table(data, tables[b"stsc"][0] + 4, tables[b"stsc"][1], 3)
     lengths = np.diff(np.append(runs[:, 0], len(chunk) + 1))
     if len(runs) and (runs[0, 0] != 1 or (lengths < 0).any()):
         raise ValueError("chunks are out of order")
-    held = np.repeat(runs[:, 1], lengths)
-    if held.sum() != n:
+    # both factors have 32 bits at most, and a file few enough chunks for the sum
+    if sum(int(x) * int(y) for x, y in zip(runs[:, 1], lengths, strict=True)) != n:
         raise ValueError("chunks and sizes name different numbers of samples")
+    held = np.repeat(runs[:, 1], lengths)
     first = np.cumsum(held) - held
     before = np.concatenate(([0], np.cumsum(track.sizes)))[:-1] if n else np.empty(0, np.int64)
     track.offsets = np.repeat(chunk, held) + before - np.repeat(before[np.minimum(first, max(n - 1, 0))] if n else first, held)
     times = _table(data, tables[b"stts"][0] + 4, tables[b"stts"][1], 2)
-    track.duration = int((times[:, 0] * times[:, 1]).sum())
+    track.duration = sum(int(x) * int(y) for x, y in times.tolist())
     track.keys = _table(data, tables[b"stss"][0] + 4, tables[b"stss"][1], 1)[:, 0] - 1 if b"stss" in tables else np.arange(n)
-    if n and ((track.offsets + track.sizes).max() > len(data) or (len(track.keys) and not 0 <= track.keys.min() <= track.keys.max() < n)):
+    if n and (track.offsets.min() < 0 or (track.offsets + track.sizes).max() > len(data)) or len(track.keys) and not 0 <= track.keys.min() <= track.keys.max() < n:
         raise ValueError("a sample lies outside the file")
 
 
+@dataclass
+class _Run:
+    """A track's part of a fragment: its base and defaults, and where its `trun` boxes are."""
+
+    number: int
+    base: int | None = None
+    duration: int = 0
+    size: int = 0
+    flags: int = 0
+    runs: list[tuple[int, int]] = field(default_factory=list)
+
+
+def _header(data: memoryview, a: int, defaults: dict[int, tuple[int, int, int]], moof: int) -> _Run:
+    """A fragment's `tfhd`: optional fields follow in the order of their flags."""
+    flags, number = struct.unpack_from(">II", data, a)
+    out = _Run(number, None, *defaults.get(number, (0, 0, 0)))
+    at = a + 8
+    if flags & 1:
+        out.base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+    elif flags & 0x20000:
+        out.base = moof
+    at += 4 if flags & 2 else 0
+    for bit, name in ((8, "duration"), (16, "size"), (32, "flags")):
+        if flags & bit:
+            setattr(out, name, struct.unpack_from(">I", data, at)[0])
+            at += 4
+    return out
+
+
+def _fragment(data: memoryview, run: _Run, moof: int, track: Track) -> None:
+    """Adds the samples of a fragment's `trun` boxes. A sample is a key sample if its flags don't say that it isn't a sync sample."""
+    place = moof if run.base is None else run.base
+    for a, b in run.runs:
+        flags, n = struct.unpack_from(">II", data, a)
+        flags &= 0xFFFFFF
+        at = a + 8
+        start = place
+        if flags & 1:
+            start, at = (moof if run.base is None else run.base) + struct.unpack_from(">i", data, at)[0], at + 4
+        first = None
+        if flags & 4:
+            first, at = struct.unpack_from(">I", data, at)[0], at + 4
+        names = [x for bit, x in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+        if n > len(data) + _EMPTY or at + 4 * n * len(names) > b:
+            raise ValueError("a run of samples is longer than its box")
+        table = np.frombuffer(data, ">u4", n * len(names), at).astype(np.int64).reshape(n, len(names))
+        column = lambda x, default: table[:, names.index(x)] if x in names else np.full(n, default, np.int64)  # noqa: B023, E731
+        sizes, marks = column("size", run.size), column("flags", run.flags).copy()
+        if first is not None and n:
+            marks[0] = first
+        place = start + int(sizes.sum())
+        if n and (start < 0 or place > len(data)):
+            raise ValueError("a sample lies outside the file")
+        track.keys = np.concatenate((track.keys, len(track.sizes) + np.flatnonzero(marks & 0x10000 == 0)))
+        track.offsets = np.concatenate((track.offsets, start + np.cumsum(sizes) - sizes))
+        track.sizes = np.concatenate((track.sizes, sizes))
+        track.duration += int(column("duration", run.duration).sum())
+
+
 def tracks(file: bytes) -> list[Track]:
-    """The tracks of a file. ValueError if it is damaged."""
-    data, found, tables = memoryview(file), [], []
+    """The tracks of a file, samples of its fragments included. ValueError if it is damaged.
+
+    Durations are those of the samples: edit lists and composition offsets, which say when samples are shown, are not applied. A fragment
+    whose header gives no base begins where its `moof` box does.
+    """
+    data, found, tables, defaults = memoryview(file), [], [], {}
+    pieces: list[tuple[int, _Run]] = []
+    moof = 0
     for path, a, b in walk(data):
         kind = path[-1]
-        if kind == b"trak":
+        if kind == b"moof":
+            moof = a - 8
+        elif kind == b"trak":
             found.append(Track())
             tables.append({})
-        elif not found or b"trak" not in path:
+        elif kind == b"trex" and path[-2:-1] == (b"mvex",):
+            number, _, *rest = struct.unpack_from(">5I", data, a + 4)
+            defaults[number] = tuple(rest)
+        elif path[-2:-1] == (b"traf",):
+            if kind == b"tfhd":
+                pieces.append((moof, _header(data, a, defaults, moof)))
+            elif kind == b"trun":
+                if not pieces or pieces[-1][0] != moof:
+                    raise ValueError("a run of samples without a header")
+                pieces[-1][1].runs.append((a, b))
+        elif b"trak" not in path:
             continue
+        elif kind == b"tkhd":
+            found[-1].number = struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
         elif kind == b"mdhd":
             found[-1].timescale = struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
-        elif kind == b"hdlr":
+        elif kind == b"hdlr" and path[-2] == b"mdia":
             found[-1].handler = bytes(data[a + 8 : a + 12]).decode("latin-1")
         elif kind == b"stsd" and struct.unpack_from(">I", data, a + 4)[0]:
             found[-1].codec = bytes(data[a + 12 : a + 16]).decode("latin-1")
         elif path[-2] == b"stbl":
             tables[-1][kind] = (a, b)
     for track, own in zip(found, tables, strict=True):
-        if not {b"stsz", b"stsc", b"stts"} <= own.keys() or not {b"stco", b"co64"} & own.keys():
+        if not {b"stsc", b"stts"} <= own.keys() or not {b"stsz", b"stz2"} & own.keys() or not {b"stco", b"co64"} & own.keys():
             raise ValueError("a sample table lacks a table")
         _samples(data, own, track)
+    by = {t.number: t for t in found}
+    total = sum(len(t.sizes) for t in found)
+    for at, run in pieces:
+        if run.number not in by:
+            raise ValueError(f"a fragment of a track {run.number} that isn't there")
+        total += sum(struct.unpack_from(">I", data, a + 4)[0] for a, _ in run.runs)
+        if total > len(data) + _EMPTY:
+            raise ValueError("more samples than the file can hold")
+        _fragment(data, run, at, by[run.number])
     return found
 
 
@@ -175,23 +288,28 @@ def build(data: bytes) -> bytes:
     return b"".join((head, _box(b"mdat", data), _box(b"moov", mvhd, _box(b"trak", tkhd, mdia))))
 
 
+def _columns_of(t: Track) -> dict[str, object]:
+    ranges = [{"offset": o, "length": n} for o, n in t.key_ranges]
+    return {"codec": t.codec, "handler": t.handler, "duration_s": t.duration / t.timescale if t.timescale else None, "n_samples": len(t.sizes), "key_ranges": ranges}
+
+
 def describe(file: bytes) -> dict[str, object]:
-    """Columns of a media file: codec, duration in seconds, samples, key sample byte ranges; of its first track.
+    """Columns of a media file: codec, handler, duration in seconds, samples, key sample byte ranges; of its first track, and of each in `tracks`.
 
     A null or damaged file has nulls and says in `error` why; a file without a track has no codec and no sample.
     """
     try:
         found = tracks(file)
-    except (ValueError, struct.error, KeyError, IndexError, TypeError) as e:
-        return {"codec": None, "handler": None, "duration_s": None, "n_samples": None, "key_ranges": None, "error": str(e) or "damaged"}
+    except (ValueError, struct.error, KeyError, IndexError, TypeError, OverflowError) as e:
+        return {"codec": None, "handler": None, "duration_s": None, "n_samples": None, "key_ranges": None, "tracks": None, "error": str(e) or "damaged"}
     if not found:
-        return {"codec": None, "handler": None, "duration_s": 0.0, "n_samples": 0, "key_ranges": [], "error": None}
-    t = found[0]
-    ranges = [{"offset": o, "length": n} for o, n in t.key_ranges]
-    return {"codec": t.codec, "handler": t.handler, "duration_s": t.duration / t.timescale if t.timescale else None, "n_samples": len(t.sizes), "key_ranges": ranges, "error": None}
+        return {"codec": None, "handler": None, "duration_s": 0.0, "n_samples": 0, "key_ranges": [], "tracks": [], "error": None}
+    own = [_columns_of(t) for t in found]
+    return own[0] | {"tracks": own, "error": None}
 
 
-DESCRIBED = "codec string, handler string, duration_s double, n_samples long, key_ranges array<struct<offset: long, length: long>>, error string"
+_TRACK = "codec: string, handler: string, duration_s: double, n_samples: long, key_ranges: array<struct<offset: long, length: long>>"
+DESCRIBED = f"codec string, handler string, duration_s double, n_samples long, key_ranges array<struct<offset: long, length: long>>, tracks array<struct<{_TRACK}>>, error string"
 
 
 def describe_files(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
@@ -200,8 +318,8 @@ def describe_files(files: DataFrame, id_col: str, content_col: str) -> DataFrame
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            content = batch.schema.names[1]
+            for part in chunks(iter([batch]), content):
                 yield pa.RecordBatch.from_pylist([{id_col: k.as_py()} | describe(x) for k, x in zip(part.column(0), part.column(1).to_pylist(), strict=True)], schema=shape)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -216,7 +334,7 @@ _STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in chunks(batches, "text"):
         rows = []
         for key, text in zip(batch.column("id").to_pylist(), batch.column("text").fill_null("").cast(pa.binary()).to_pylist(), strict=True):
             file = build(text + bytes(-len(text) % 64 or (0 if text else 64)))

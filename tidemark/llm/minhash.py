@@ -3,7 +3,7 @@
 Each text's distinct word shingles are hashed once and dealt into bins; a bin keeps its least hash, and an empty bin borrows
 from a full one that a hash of the bin's number and the attempt names (Shrivastava, "Optimal densification for fast and accurate
 minwise hashing", 2017). Bands of consecutive bins are the bucket keys. Documents with equal shingle sets are one item. Inside a
-bucket only star edges to its smallest member are candidates at first; see `links_by_shared_keys` for how nothing is lost by it.
+bucket only star edges to its smallest member are candidates at first; see `groups_by_shared_keys` for how nothing is lost by it.
 Four bits of each bin give a cheap estimate that drops hopeless pairs (six standard deviations below the threshold), and every
 remaining link is confirmed on full shingle sets.
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import forget, materialize
-from .components import connected_components, links_by_shared_keys
+from .components import groups_by_shared_keys
 from .text import chunks, mix, shingle_hashes, word_hashes
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -193,8 +193,8 @@ def near_duplicates(
 
         return full.select("id", "short").join(unique, "id"), check
 
-    links = links_by_shared_keys(unique.select("id", "n", "marks"), keys, _may_match(percent, bands * rows), confirm, _block_compare(percent, bands * rows))
-    group = connected_components(links).select(F.col("id").alias("rep"), "component")
+    found = groups_by_shared_keys(unique.select("id", "n", "marks"), keys, _may_match(percent, bands * rows), confirm, _block_compare(percent, bands * rows))
+    group = found.select(F.col("id").alias("rep"), "component")
     label = ids.join(group, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     out = drawn.select("id", "n").join(label, "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, unfolded
 
 #: Documents in a bucket, about, and groups that meet in one of the next level.
 BUCKET, FAN_IN = 16_384, 64
@@ -82,9 +82,9 @@ def _settle(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Settles a group's documents, source by source; one of each source may stay open, unless this is the last level."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["source", "size", "doc_id", "copy"], ascending=[True, False, True, True], na_position="last", ignore_index=True)
+        group = group.sort_values(["source", "size", "name"], ascending=[True, False, True], na_position="last", ignore_index=True)
         share, size = group["share"].tolist(), group["size"].tolist()
-        ids, copy, source = group["doc_id"].tolist(), group["copy"].tolist(), group["source"].tolist()
+        ids, source = group["name"].tolist(), group["source"].tolist()
         opened = [False] * len(share)
         loose: dict[object, list[int]] = {}
         source_of = lambda k: None if pd.isna(source[k]) else source[k]
@@ -96,7 +96,7 @@ def _settle(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
             if k == len(share) or (open_ >= 0 and source[k] != source[open_] and not (pd.isna(source[k]) and pd.isna(source[open_]))):
                 if open_ >= 0:
                     if last:
-                        _round_last(open_, _uniform(seed, ids[open_], copy[open_]), share, size, loose[source_of(open_)])
+                        _round_last(open_, _uniform(seed, ids[open_], size[open_]), share, size, loose[source_of(open_)])
                     else:
                         opened[open_] = True
                 open_ = -1
@@ -111,7 +111,7 @@ def _settle(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
             a, b, p, q = float(size[open_]), float(size[k]), share[open_], share[k]
             up = min(a * (1 - p), b * q)  # mass that may move to the open one
             down = min(a * p, b * (1 - q))  # and from it
-            if _uniform(seed, ids[open_], ids[k]) * (up + down) < down:
+            if _uniform(seed, f"{ids[open_]}|{size[open_]}", f"{ids[k]}|{size[k]}") * (up + down) < down:
                 full, p, q = a * (1 - p) <= b * q, p + up / a, q - up / b
                 p, q = (1.0, q) if full else (p, 0.0)
             else:
@@ -126,25 +126,24 @@ def _settle(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 0) -> DataFrame:
-    """How much of each document the mix takes: (id_col, size, source_size, source, target, copies, taken = copies * size).
+def _mixed(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
+    """(doc_id, source, size, n, source_size, target, base, more) of rows (doc_id, source, size).
 
-    A document's copies are the whole or the next whole number of its source's target by size, so never above `most`. The taken
-    words of a source differ from its target by less than one document. Equal seeds give equal results. Null texts and texts of white
-    space have size 0 and no copies beyond the whole ones, of nothing. The null source is a source; rows that repeat an id are
-    documents of their own. Other columns are ignored. Empty tables give empty tables.
+    Rows that are equal in all three count as one, which stands for n documents: `base` copies of each, and one more of `more` of them.
+    The first documents of such a group are rounded up as far as the sum of their shares is whole; what is left of it is settled with the other rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = materialize(rows, "sizes")
-    targets = materialize(source_targets(rows, weights, most), "targets")
+    rows = materialize(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
+    targets = materialize(source_targets(rows.select("source", (F.col("size") * F.col("n")).alias("size")), weights, most), "targets")
     each = rows.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    each = each.withColumn("rate", rate).withColumn("base", F.floor("rate")).withColumn("share", F.col("rate") - F.col("base"))
+    each = each.withColumn("rate", rate).withColumn("base", F.floor("rate").cast("long"))
+    due = F.when(F.col("size") > 0, (F.col("rate") - F.col("base")) * F.col("n")).otherwise(F.lit(0.0))
+    each = each.withColumn("whole", F.floor(due).cast("long")).withColumn("share", due - F.col("whole")).drop("rate")
+    # as text, so that a null id doesn't make the others floating-point numbers in pandas
+    each = each.withColumn("name", F.col("doc_id").cast("string")).drop("doc_id")
     buckets = max(1, -(-rows.count() // BUCKET))
-    # repeated ids are told apart by their place in the written table of sizes
-    each = each.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))))
-    each = each.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed)), F.lit(buckets)))
-    names = "doc_id long, source string, size long, source_size long, target double, rate double, base long, share double, copy int, bucket long"
+    each = each.withColumn("bucket", F.pmod(F.xxhash64("name", "source", "size", F.lit(seed)), F.lit(buckets)))
+    names = "source string, size long, n long, source_size long, target double, base long, whole long, share double, name string, bucket long"
     level, key, settled = each, ["bucket"], []
     while True:
         last = buckets == 1
@@ -156,12 +155,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         buckets = -(-buckets // FAN_IN)
         level = done.where("open").drop("open").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("long"))
         key = ["source", "bucket"]
-    out = reduce(DataFrame.union, settled)
-    copies = F.col("base") + F.round("share").cast("long")
-    return out.select(F.col("doc_id").alias(id_col), "size", "source_size", F.col("source").alias(source_col), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = reduce(DataFrame.union, settled).withColumn("doc_id", F.col("name").cast("long"))
+    return out.select("doc_id", "source", "size", "n", "source_size", "target", "base", (F.col("whole") + F.round("share").cast("long")).alias("more"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 0) -> DataFrame:
+    """How much of each document the mix takes: (id_col, size, source_size, source, target, copies, taken = copies * size).
+
+    A document's copies are the whole or the next whole number of its source's target by size, so never above `most`. The taken
+    words of a source differ from its target by less than one document. Equal seeds give equal results. Null texts and texts of white
+    space have size 0 and no copies beyond the whole ones, of nothing. The null source is a source; rows that repeat an id are
+    documents of their own, of which those of one source and size may change places; null ids are such an id. Other columns are ignored.
+    Empty tables give empty tables.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    found = _mixed(rows, tuple(weights), most, seed)
+    kept = ["doc_id", "size", "source_size", "source", "target"]
+    once = found.where("n = 1").select(*kept, (F.col("base") + F.col("more")).alias("copies"))
+    parts = unfolded(found.where("n > 1"), F.col("n"), "k")
+    again = parts.select(*kept, (F.col("base") + (F.col("k") <= F.col("more")).cast("long")).alias("copies"))
+    out = once.union(again)
+    return out.select(F.col("doc_id").alias(id_col), "size", "source_size", F.col("source").alias(source_col), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", **how: object) -> DataFrame:
-    """The rows of `docs`, all columns, each as many times as the mix takes it (see `mix`). Ids are expected not to repeat."""
-    copies = mix(docs, id_col, **how).where("copies > 0").select(F.col(id_col).alias("__tm_id"), F.explode(F.sequence(F.lit(1), "copies")).alias("__tm_n"))
-    return docs.join(copies, docs[id_col].eqNullSafe(copies["__tm_id"])).drop("__tm_id", "__tm_n")
+def take(docs: DataFrame, text_col: str = "text", source_col: str = "source", **how: object) -> DataFrame:
+    """The rows of `docs`, all columns, each as many times as the mix takes it (see `mix`).
+
+    Rows are numbered in a written table and mixed by that number, so nothing depends on ids, which may be null or repeat.
+    """
+    held = materialize(docs.withColumn("__tm_row", F.monotonically_increasing_id()), "rows")
+    copies = mix(held, "__tm_row", text_col, source_col, **how).where("copies > 0").select(F.col("__tm_row").alias("__tm_id"), "copies")
+    many = held.join(copies, F.col("__tm_row") == F.col("__tm_id"))
+    return many.withColumn("__tm_n", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*(held[c] for c in docs.columns))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, numbered
 from .text import WordwiseTokenizer, chunks
 
 #: Pieces in a bucket, about: the largest group that one task holds.
@@ -101,7 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
 
 def _packer(capacity: int, turn: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
+        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32", "copy"], ascending=[False, True, True, True, True], ignore_index=True)
         sizes = group["length"].to_numpy()
         bins, offsets, held = best_fit_decreasing(sizes, capacity)
         bound = lower_bound(sizes, capacity)
@@ -126,21 +126,25 @@ def pack(pieces: DataFrame, capacity: int = 2048, bucket: int = BUCKET) -> DataF
     the bucket that placed the row in its last turn and the least that any packing of that bucket's pieces has. Pieces with a null
     doc_id are packed like others. Without rows there are none.
     """
-    pieces = materialize(pieces, "pieces")
-    kinds = f"{_PIECE}, bucket long, sequence_id long, offset long, back boolean, bins long, bound long"
-    spread = F.xxhash64("doc_id", "piece", "ids_crc32")
+    # equal pieces, as those of empty texts without an id, would all meet in one bucket
+    pieces = materialize(numbered(pieces.select(*(x.split()[0] for x in _PIECE.split(", ")))), "pieces")
+    own = [c for c in pieces.columns if c != "copy"]
+    kinds = f"{_PIECE}, copy long, bucket long, sequence_id long, offset long, back boolean, bins long, bound long"
+    spread = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", "copy")
     whole = pieces.where(F.col("length") == capacity)
     alone = whole.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bins": F.lit(1).cast("long"), "bound": F.lit(1).cast("long")})
-    done = [alone]
-    rest, turn = pieces.where(F.col("length") < capacity), 0
+    done = [alone.select(*own, "sequence_id", "offset", "bins", "bound")]
+    rest, turn, count = pieces.where(F.col("length") < capacity), 0, 0
     while True:
         n = rest.count()
         if not n:
             break
-        count = -(-n // bucket)
+        # each exchange has fewer buckets than the one before, so that the last, of one bucket, is reached whatever comes back
+        count = min(-(-n // bucket), count * 7 // 8 if count else n)
+        count = max(1, count)
         dealt = rest.select(*pieces.columns, F.pmod(F.xxhash64(spread, F.lit(turn)), F.lit(count)).alias("bucket"))
-        placed = materialize(dealt.groupBy("bucket").applyInPandas(_packer(capacity, turn + 1, count == 1 or turn == 40), kinds), "placed")
-        done.append(placed.where("not back").select(*pieces.columns, "sequence_id", "offset", "bins", "bound"))
+        placed = materialize(dealt.groupBy("bucket").applyInPandas(_packer(capacity, turn + 1, count == 1), kinds), "placed")
+        done.append(placed.where("not back").select(*own, "sequence_id", "offset", "bins", "bound"))
         rest, turn = placed.where("back").select(*pieces.columns), turn + 1
     return reduce(DataFrame.union, done)
 
