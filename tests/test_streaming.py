@@ -78,6 +78,21 @@ def test_upsert_keeps_the_latest(spark, folder):
     assert {r.user: r.id for r in got} == {0: 117, 1: 118, 2: 119}
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_upsert_that_was_cut_off_loses_no_key(spark, tmp_path, whole):
+    """The driver ended after the old table was set aside, with the new one whole or not."""
+    table, rows = str(tmp_path / "t"), lambda *x: spark.createDataFrame(list(x), "user long, ts long")
+    write = S.upsert(table, ["user"], "ts")
+    write(rows((1, 1), (2, 1)), 0)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    rows((1, 5), (2, 1)).write.parquet(f"{table}.new")
+    if not whole:
+        (tmp_path / "t.new" / "_SUCCESS").unlink()
+    write(rows((3, 2)), 2)
+    assert {r.user: r.ts for r in spark.read.parquet(table).collect()} == {1: 5 if whole else 1, 2: 1, 3: 2}
+    assert not (tmp_path / "t.old").exists()
+
+
 def test_alerts_join_rules(spark, folder):
     tmp_path, df = folder
     rules = spark.createDataFrame([("m", ">", 117.0), ("x", "<", 0.0)], "name string, op string, threshold double")

@@ -14,18 +14,27 @@ _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared folder that spark.checkpoint.dir names: lineage ends here.
+def new_path(spark: SparkSession) -> str:
+    """A path of no other use in the shared folder that spark.checkpoint.dir names; deleted when the driver ends.
 
-    Where that is unset, as in tests, in a temporary folder of this machine.
+    Where that is unset and all runs on one machine, as in tests, in a temporary folder of this machine.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _OWN.setdefault(app, _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     path = f"{root.rstrip('/')}/tidemark/{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
+    return path
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder: lineage ends here."""
+    spark = df.sparkSession
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

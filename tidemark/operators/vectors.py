@@ -57,8 +57,11 @@ def blocked_pairs(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     return pairs.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", *, block: int = BLOCK) -> DataFrame:
-    """(a, b, score, rank): each query's `k` nearest rows of another id by cosine, exactly. A task gets a block of queries and one of rows."""
+def against(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, least: float | None = None, k: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, score) of each query a and each row b of another id with cosine `least` or more; or of its `k` nearest rows. Exact.
+
+    A task gets a block of queries and one of rows: queries aren't held against each other, nor rows.
+    """
 
     def side(table: DataFrame, asks: bool) -> tuple[DataFrame, int]:
         rows = table.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.lit(asks).alias("asks"))
@@ -76,12 +79,21 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
         v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
         p, o = np.flatnonzero(asks), np.flatnonzero(~asks)
         score = np.where(ids[p][:, None] == ids[o][None, :], -2.0, np.round(v[p] @ v[o].T, 12))
-        out = [(ids[p[i]], ids[o[t]], near[t]) for i, near in enumerate(score) for t in np.lexsort((ids[o], -near))[:k] if near[t] > -2]
-        a, b, s = (np.array(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
+        if least is not None:
+            i, j = np.nonzero(score >= least)
+        else:
+            tops = [np.lexsort((ids[o], -near))[:k] for near in score]
+            i, j = np.repeat(np.arange(len(p)), [len(t) for t in tops]), np.concatenate([*tops, np.empty(0, np.int64)]).astype(np.int64)
+            i, j = i[score[i, j] > -2], j[score[i, j] > -2]
+        return pa.table({"a": pa.array(ids[p[i]], pa.int64()), "b": pa.array(ids[o[j]], pa.int64()), "score": pa.array(score[i, j], pa.float64())})
+
+    return dealt.groupBy("x", "y").applyInArrow(run, "a long, b long, score double")
 
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", *, block: int = BLOCK) -> DataFrame:
+    """(a, b, score, rank): each query's `k` nearest rows of another id by cosine, exactly (see `against`)."""
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-    return dealt.groupBy("x", "y").applyInArrow(run, "a long, b long, score double").withColumn("rank", rank).where(F.col("rank") <= k)
+    return against(queries, vectors, id_col, vec_col, k=k, block=block).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def components(pairs: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
@@ -146,10 +158,7 @@ def drift(steps: DataFrame, by: str, order: str, vec_col: str, threshold: float
 
 def near_existing(new: DataFrame, old: DataFrame, least: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id_col, duplicate_of): the smallest stored id within reach of each new vector; null if there is none."""
-    both = new.select(F.col(id_col), F.col(vec_col)).unionByName(old.select(F.col(id_col), F.col(vec_col)))
-    pairs = blocked_pairs(both, id_col, vec_col, least=least)
-    links = pairs.select(F.col("a").alias("n"), F.col("b").alias("o")).union(pairs.select("b", "a"))
-    found = links.join(old.select(F.col(id_col).alias("o")), "o").groupBy(F.col("n").alias(id_col)).agg(F.min("o").alias("duplicate_of"))
+    found = against(new, old, id_col, vec_col, least=least).groupBy(F.col("a").alias(id_col)).agg(F.min("b").alias("duplicate_of"))
     return new.select(id_col).join(found, id_col, "left")
 
 

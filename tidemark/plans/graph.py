@@ -11,21 +11,26 @@ from ..operators import sessions as N
 from ..sources.tables import FACTS_SQL, MESSAGES_SQL, facts, load, messages
 from .registry import query
 
-# Suppliers and parts as a graph: an edge from a supplier to a part for each pair of an order, parts at 100000 and up.
-_EDGES = "SELECT DISTINCT l_suppkey AS source_id, 100000 + l_partkey % 300 AS target_id, CASE WHEN l_linenumber % 2 = 0 THEN 'SUPPLIES' ELSE 'OFFERS' END AS type, 0.5 AS weight FROM lineitem WHERE l_orderkey % 40 = 0"
+# Suppliers and kinds of parts as a graph: an edge from a supplier to each kind that a line of an order has from it. Kinds are 100000 and up; some of
+# them have no node, and some nodes no edge. Searches start from all suppliers whose key is divisible by 20.
+_EDGES = "SELECT DISTINCT l_suppkey AS source_id, 100000 + l_partkey % 300 AS target_id, CASE WHEN l_linenumber % 2 = 0 THEN 'SUPPLIES' ELSE 'OFFERS' END AS type, 0.5 AS weight FROM lineitem"
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "lineitem").where("l_orderkey % 40 = 0")
+    rows = load(spark, d, "lineitem")
     kind = F.when(F.col("l_linenumber") % 2 == 0, "SUPPLIES").otherwise("OFFERS")
     return rows.select(F.col("l_suppkey").alias("source_id"), (F.lit(100000) + F.col("l_partkey") % 300).alias("target_id"), kind.alias("type"), F.lit(0.5).alias("weight")).distinct()
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "supplier").select(F.col("s_suppkey").alias("id")).union(spark.range(100000, 100290))
+    return load(spark, d, "supplier").select(F.col("s_suppkey").alias("id")).union(spark.range(100010, 100310))
 
 
-_NODES = "SELECT s_suppkey AS id FROM supplier UNION ALL SELECT * FROM range(100000, 100290)"
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("id"))
+
+
+_NODES = "SELECT s_suppkey AS id FROM supplier UNION ALL SELECT * FROM range(100010, 100310)"
 
 
 @query(f"WITH e AS ({_EDGES}), n AS ({_NODES}) SELECT source_id, target_id, type FROM e WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n)")
@@ -48,81 +53,22 @@ def orphan_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.orphans(_nodes(spark, d), _edges(spark, d))[1].select("source_id", "target_id", "type")
 
 
-@query(f"WITH e AS ({_EDGES}), s AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey < 20) SELECT source_id AS id, target_id AS neighbor, type FROM e WHERE source_id IN (SELECT id FROM s) UNION ALL SELECT target_id, source_id, type FROM e WHERE target_id IN (SELECT id FROM s)")
+@query(f"WITH e AS ({_EDGES}), s AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 20 = 0) SELECT source_id AS id, target_id AS neighbor, type FROM e WHERE source_id IN (SELECT id FROM s) UNION ALL SELECT target_id, source_id, type FROM e WHERE target_id IN (SELECT id FROM s)")
 def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    seeds = load(spark, d, "supplier").where("s_suppkey < 20").select(F.col("s_suppkey").alias("id"))
-    return G.neighbors(_edges(spark, d), seeds).select("id", "neighbor", "type")
+    return G.neighbors(_edges(spark, d), _seeds(spark, d)).select("id", "neighbor", "type")
 
 
-@query(f"WITH e AS ({_EDGES}) SELECT source_id, target_id, type FROM e WHERE source_id < 50 AND target_id < 100100")
+@query(f"WITH e AS ({_EDGES}) SELECT source_id, target_id, type FROM e WHERE source_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND target_id IN (SELECT * FROM range(100010, 100310))")
 def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    ids = _nodes(spark, d).where("id < 50").union(spark.range(100000, 100100))
+    solvent = load(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))
+    ids = solvent.union(spark.range(100010, 100310))
     return G.induced(_edges(spark, d), ids).select("source_id", "target_id", "type")
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT source_id AS x, target_id AS y FROM e UNION SELECT target_id, source_id FROM e), r AS (SELECT s_suppkey AS seed, s_suppkey AS id, 0 AS hops FROM supplier WHERE s_suppkey < 5 UNION SELECT seed, y, hops + 1 FROM r JOIN b ON x = id WHERE hops < 3)
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT source_id AS x, target_id AS y FROM e UNION SELECT target_id, source_id FROM e), r AS (SELECT s_suppkey AS seed, s_suppkey AS id, 0 AS hops FROM supplier WHERE s_suppkey % 20 = 0 UNION SELECT seed, y, hops + 1 FROM r JOIN b ON x = id WHERE hops < 3)
   SELECT seed, id, min(hops) AS hops FROM r GROUP BY 1, 2""")
 def k_hop_related(spark: SparkSession, d: str) -> DataFrame:
-    return G.k_hop(_edges(spark, d), load(spark, d, "supplier").where("s_suppkey < 5").select(F.col("s_suppkey").alias("id")), 3)
-
-
-# The same over every order, with all suppliers divisible by 20 as seeds; the queries above keep their SQL.
-_WHOLE_EDGES = _EDGES.replace(" WHERE l_orderkey % 40 = 0", "")
-
-
-def _whole_edges(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("l_linenumber") % 2 == 0, "SUPPLIES").otherwise("OFFERS")
-    return load(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), (F.lit(100000) + F.col("l_partkey") % 300).alias("target_id"), kind.alias("type"), F.lit(0.5).alias("weight")).distinct()
-
-
-def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("id"))
-
-
-@query(f"WITH e AS ({_WHOLE_EDGES}), n AS ({_NODES}) SELECT source_id, target_id, type FROM e WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n)")
-def edge_endpoint_validation_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.valid_edges(_nodes(spark, d), _whole_edges(spark, d)).select("source_id", "target_id", "type")
-
-
-@query(f"WITH e AS ({_WHOLE_EDGES}) SELECT source_id, target_id, min(type) AS type FROM e GROUP BY 1, 2")
-def first_edge_per_pair_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.first_edges(_whole_edges(spark, d), "type").select("source_id", "target_id", "type")
-
-
-@query(f"WITH e AS ({_WHOLE_EDGES}), n AS ({_NODES}) SELECT id FROM n WHERE id NOT IN (SELECT source_id FROM e UNION SELECT target_id FROM e)")
-def orphan_nodes_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.orphans(_nodes(spark, d), _whole_edges(spark, d))[0]
-
-
-@query(f"WITH e AS ({_WHOLE_EDGES}), n AS ({_NODES}) SELECT source_id, target_id, type FROM e WHERE target_id NOT IN (SELECT id FROM n) OR source_id NOT IN (SELECT id FROM n)")
-def orphan_edges_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.orphans(_nodes(spark, d), _whole_edges(spark, d))[1].select("source_id", "target_id", "type")
-
-
-@query(f"WITH e AS ({_WHOLE_EDGES}), s AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 20 = 0) SELECT source_id AS id, target_id AS neighbor, type FROM e WHERE source_id IN (SELECT id FROM s) UNION ALL SELECT target_id, source_id, type FROM e WHERE target_id IN (SELECT id FROM s)")
-def graph_neighbors_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.neighbors(_whole_edges(spark, d), _seeds(spark, d)).select("id", "neighbor", "type")
-
-
-@query(f"WITH e AS ({_WHOLE_EDGES}), n AS ({_NODES}) SELECT source_id, target_id, type FROM e WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n)")
-def induced_subgraph_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.induced(_whole_edges(spark, d), _nodes(spark, d)).select("source_id", "target_id", "type")
-
-
-@query(f"""WITH RECURSIVE e AS ({_WHOLE_EDGES}), b AS (SELECT source_id AS x, target_id AS y FROM e UNION SELECT target_id, source_id FROM e), r AS (SELECT s_suppkey AS seed, s_suppkey AS id, 0 AS hops FROM supplier WHERE s_suppkey % 20 = 0 UNION SELECT seed, y, hops + 1 FROM r JOIN b ON x = id WHERE hops < 3)
-  SELECT seed, id, min(hops) AS hops FROM r GROUP BY 1, 2""")
-def k_hop_related_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.k_hop(_whole_edges(spark, d), _seeds(spark, d), 3)
-
-
-@query()
-def graph_statistics_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.stats(_nodes(spark, d), _whole_edges(spark, d)).withColumns({"avg_degree": F.round("avg_degree", 6), "density": F.round("density", 6)})
-
-
-@query(f"WITH e AS ({_WHOLE_EDGES}), x AS (SELECT source_id AS id FROM e UNION ALL SELECT target_id FROM e), g AS (SELECT id, count(*) AS degree FROM x GROUP BY 1) SELECT id, degree, round(degree / max(degree) OVER (), 6) AS centrality FROM g")
-def degree_centrality_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.degree_centrality(_whole_edges(spark, d)).withColumn("centrality", F.round("centrality", 6))
+    return G.k_hop(_edges(spark, d), _seeds(spark, d), 3)
 
 
 _FLOW = "SELECT o_custkey % 200 AS source_id, o_orderkey % 200 AS target_id, min(o_totalprice) / 500000 AS weight FROM orders WHERE o_custkey % 200 <> o_orderkey % 200 GROUP BY 1, 2"
@@ -133,10 +79,10 @@ def _flow(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source_id", "target_id").agg((F.min("o_totalprice") / 500000).alias("weight")).withColumn("type", F.lit("FLOW"))
 
 
-@query(f"""WITH RECURSIVE e AS ({_FLOW}), r AS (SELECT 3::BIGINT AS seed, 3::BIGINT AS id, 0.0::DOUBLE AS cost, 0 AS hops UNION ALL (SELECT seed, target_id, min(cost + weight), hops + 1 FROM r JOIN e ON source_id = id WHERE hops < 3 GROUP BY seed, target_id, hops))
+@query(f"""WITH RECURSIVE e AS ({_FLOW}), r AS (SELECT range AS seed, range AS id, 0.0::DOUBLE AS cost, 0 AS hops FROM range(0, 200, 20) UNION ALL (SELECT seed, target_id, min(cost + weight), hops + 1 FROM r JOIN e ON source_id = id WHERE hops < 3 GROUP BY seed, target_id, hops))
   SELECT seed, id, round(min(cost), 6) AS cost FROM r GROUP BY 1, 2""")
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    seeds = spark.range(3, 4)
+    seeds = spark.range(0, 200, 20)
     return G.shortest_paths(_flow(spark, d), seeds, 3).select("seed", "id", F.round("cost", 6).alias("cost"))
 
 
@@ -153,12 +99,12 @@ def degree_centrality(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE e AS ({_FLOW}), o AS (SELECT source_id, sum(weight) AS total FROM e GROUP BY 1), s AS (SELECT e.source_id, target_id, weight / total AS share FROM e JOIN o USING (source_id)), n AS (SELECT DISTINCT id FROM (SELECT source_id AS id FROM e UNION SELECT target_id FROM e)),
-  r AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank, 0 AS k FROM n UNION ALL SELECT n.id, 0.15::DOUBLE / (SELECT count(*) FROM n) + 0.85::DOUBLE * coalesce(sum(r.rank * s.share), 0), max(t.k) + 1 FROM (SELECT DISTINCT k FROM r) t CROSS JOIN n LEFT JOIN s ON s.target_id = n.id LEFT JOIN r ON r.id = s.source_id WHERE t.k < 5 GROUP BY n.id)
-  SELECT id, round(rank, 8) AS rank FROM r WHERE k = 5""")
+  r AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank, 0 AS k FROM n UNION ALL SELECT n.id, 0.15::DOUBLE / (SELECT count(*) FROM n) + 0.85::DOUBLE * coalesce(sum(r.rank * s.share), 0), max(t.k) + 1 FROM (SELECT DISTINCT k FROM r) t CROSS JOIN n LEFT JOIN s ON s.target_id = n.id LEFT JOIN r ON r.id = s.source_id WHERE t.k < 20 GROUP BY n.id)
+  SELECT id, round(rank, 8) AS rank FROM r WHERE k = 20""")
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
     e = _flow(spark, d)
     nodes = e.select(F.col("source_id").alias("id")).union(e.select("target_id"))
-    return G.pagerank(nodes, e, turns=5, tolerance=0.0).withColumn("rank", F.round("rank", 8))
+    return G.pagerank(nodes, e, turns=20, tolerance=0.0).withColumn("rank", F.round("rank", 8))
 
 
 @query(f"""WITH m AS ({MESSAGES_SQL}), l AS (SELECT id AS source_id, lead(id) OVER w AS target_id, date_sub('second', ts, lead(ts) OVER w) / 60 AS gap FROM m WINDOW w AS (PARTITION BY chat ORDER BY ts, id)) SELECT source_id, target_id, round(1 - gap / 60, 6) AS weight FROM l WHERE target_id IS NOT NULL AND gap <= 60""")

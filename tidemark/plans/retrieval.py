@@ -18,11 +18,10 @@ from .registry import query
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "events").groupBy((F.col("user_id") % 200).alias("id")).agg(F.round(F.avg("value") / 100, 6).alias("score"), F.max("ts").alias("ts"))
-    return rows.where("id < 50")
+    return load(spark, d, "events").groupBy((F.col("user_id") % 200).alias("id")).agg(F.round(F.avg("value") / 100, 6).alias("score"), F.max("ts").alias("ts"))
 
 
-_CAND = "SELECT user_id % 200 AS id, round(avg(value) / 100, 6) AS score, max(ts) AS ts FROM events WHERE user_id % 200 < 50 GROUP BY 1"
+_CAND = "SELECT user_id % 200 AS id, round(avg(value) / 100, 6) AS score, max(ts) AS ts FROM events GROUP BY 1"
 
 
 @query()
@@ -40,17 +39,17 @@ def beam_search(spark: SparkSession, d: str) -> DataFrame:
     return R.beam(_flow(spark, d), _candidates(spark, d))
 
 
-@query(f"""WITH RECURSIVE e AS ({_FLOW}), b AS (SELECT source_id AS x, target_id AS y FROM e UNION SELECT target_id, source_id FROM e), r AS (SELECT 7::BIGINT AS id, 0 AS h UNION SELECT y, h + 1 FROM r JOIN b ON x = id WHERE h < 2), m AS (SELECT id, min(h) AS h FROM r GROUP BY 1 HAVING min(h) > 0), c AS ({_CAND})
+@query(f"""WITH RECURSIVE e AS ({_FLOW}), b AS (SELECT source_id AS x, target_id AS y FROM e UNION SELECT target_id, source_id FROM e), r AS (SELECT range AS seed, range AS id, 0 AS h FROM range(0, 200, 20) UNION SELECT seed, y, h + 1 FROM r JOIN b ON x = id WHERE h < 2), m AS (SELECT id, min(h) AS h FROM (SELECT seed, id, min(h) AS h FROM r GROUP BY 1, 2) WHERE h > 0 GROUP BY 1), c AS ({_CAND})
   SELECT id, round(score * CASE h WHEN 1 THEN 1.3 WHEN 2 THEN 1.2 ELSE 1 END + coalesce(0.1 / h, 0), 6) AS score FROM c LEFT JOIN m USING (id)""")
 def graph_boost(spark: SparkSession, d: str) -> DataFrame:
-    hops = G.k_hop(_flow(spark, d), spark.range(7, 8), 2)
+    hops = G.k_hop(_flow(spark, d), spark.range(0, 200, 20), 2)
     # a seed is at no hops; a longer way back to it doesn't count
     return R.boost(_candidates(spark, d), hops).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH e AS ({_FLOW}), b AS (SELECT source_id AS id, target_id AS neighbor, weight FROM e UNION ALL SELECT target_id, source_id, weight FROM e), m AS (SELECT id, neighbor, max(weight) AS weight FROM b WHERE id < 20 GROUP BY 1, 2) SELECT id, neighbor, round(weight, 6) AS weight, CAST(p AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, neighbor) AS p FROM m) WHERE p <= 5")
+@query(f"WITH e AS ({_FLOW}), b AS (SELECT source_id AS id, target_id AS neighbor, weight FROM e UNION ALL SELECT target_id, source_id, weight FROM e), m AS (SELECT id, neighbor, max(weight) AS weight FROM b WHERE id % 20 = 0 GROUP BY 1, 2) SELECT id, neighbor, round(weight, 6) AS weight, CAST(p AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, neighbor) AS p FROM m) WHERE p <= 5")
 def related_entities(spark: SparkSession, d: str) -> DataFrame:
-    return R.related(_flow(spark, d), spark.range(0, 20)).withColumn("weight", F.round("weight", 6))
+    return R.related(_flow(spark, d), spark.range(0, 200, 20)).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH e AS ({_FLOW}), b AS (SELECT source_id AS id, target_id AS n, weight FROM e UNION ALL SELECT target_id, source_id, weight FROM e), m AS (SELECT id, n, max(weight) AS w FROM b WHERE id < 25 AND weight > 0.3 GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, n) AS p FROM m), l AS (SELECT id, string_agg('n' || CAST(n AS VARCHAR), ' ' ORDER BY p) AS more FROM p WHERE p <= 5 GROUP BY 1) SELECT n_nationkey AS query_id, n_name || coalesce(' ' || more, '') AS text FROM nation LEFT JOIN l ON l.id = n_nationkey")

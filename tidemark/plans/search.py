@@ -157,9 +157,9 @@ def result_confidence(spark: SparkSession, d: str) -> DataFrame:
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE / sqrt(list_dot_product(list_transform(embedding, lambda w: w::DOUBLE), list_transform(embedding, lambda w: w::DOUBLE)))) AS v FROM embeddings)"
 
 
-@query(f"WITH {_UNIT} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.6")
+@query(f"WITH {_UNIT} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4")
 def similarity_join(spark: SparkSession, d: str) -> DataFrame:
-    return V.blocked_pairs(load(spark, d, "embeddings"), least=0.6).withColumn("score", F.round("score", 6))
+    return V.blocked_pairs(load(spark, d, "embeddings"), least=0.4).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_UNIT}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 12) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id) SELECT a, b, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM p) WHERE rank <= 5")
@@ -174,16 +174,16 @@ def knn_search_each(spark: SparkSession, d: str) -> DataFrame:
     return V.nearest(e.where("vec_id % 20 = 0"), e, 10).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH RECURSIVE {_UNIT}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.6),
+@query(f"""WITH RECURSIVE {_UNIT}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4),
   r AS (SELECT vec_id AS id, vec_id AS reach FROM u UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach) SELECT id AS vec_id, min(reach) AS component FROM r GROUP BY 1""")
 def threshold_components(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "embeddings")
-    return V.components(V.blocked_pairs(e, least=0.6), e, "vec_id")
+    return V.components(V.blocked_pairs(e, least=0.4), e, "vec_id")
 
 
 @query()
 def star_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return V.star_clusters(load(spark, d, "embeddings"), 0.6)
+    return V.star_clusters(load(spark, d, "embeddings"), 0.4)
 
 
 @query("""SELECT label, max(n) AS n, list(x ORDER BY pos) AS centroid FROM (SELECT label, pos, count(*) AS n, round(avg(x::DOUBLE), 5) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, 64)) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY 1""")
@@ -202,10 +202,10 @@ def drift_cusum(spark: SparkSession, d: str) -> DataFrame:
     return V.drift(load(spark, d, "embeddings"), "label", "vec_id", "embedding").withColumn("cusum", F.round("cusum", 5))
 
 
-@query(f"WITH {_UNIT} SELECT n.vec_id, min(o.vec_id) FILTER (list_dot_product(n.v, o.v) >= 0.6) AS duplicate_of FROM u n CROSS JOIN u o WHERE n.vec_id % 5 = 0 AND o.vec_id % 5 <> 0 GROUP BY 1")
+@query(f"WITH {_UNIT} SELECT n.vec_id, min(o.vec_id) FILTER (list_dot_product(n.v, o.v) >= 0.4) AS duplicate_of FROM u n CROSS JOIN u o WHERE n.vec_id % 5 = 0 AND o.vec_id % 5 <> 0 GROUP BY 1")
 def near_duplicate_vectors(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "embeddings")
-    return V.near_existing(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0"), 0.6)
+    return V.near_existing(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0"), 0.4)
 
 
 @query()

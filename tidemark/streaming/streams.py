@@ -97,18 +97,36 @@ def split_invalid(df: DataFrame, valid: Column, good: Callable[[DataFrame], None
 
 
 def upsert(table: str, key: list[str], version: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a table of the latest row of each key, written beside the old one and put in its place."""
+    """For foreachBatch: a table of the latest row of each key, written beside the old one and put in its place.
+
+    The old table is set aside, not deleted, until the new one has its name, so a driver may end between any two steps: the next batch
+    first puts the newest whole table in place. A batch that comes again changes nothing. Each batch rewrites the table, so
+    this is for tables that are small beside the stream; a reader may find no table for a moment.
+    """
     from ..operators.dedup import upsert as merged
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(table)
+        at, new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table + x) for x in ("", ".new", ".old"))
         fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        old = spark.read.schema(batch.schema).parquet(table) if fs.exists(at) else batch.limit(0)
-        merged(old, batch, key, version).write.mode("overwrite").parquet(f"{table}.new")
-        fs.delete(at, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(f"{table}.new"), at)
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}.new/_SUCCESS")
+
+        def place() -> None:
+            if fs.exists(at):
+                fs.delete(old, True)
+                fs.rename(at, old)
+            if not fs.rename(new, at):
+                raise OSError(f"{table}.new can't be renamed")
+            fs.delete(old, True)
+
+        if not fs.exists(at) and fs.exists(old):
+            if fs.exists(done):
+                place()
+            else:
+                fs.rename(old, at)
+        before = spark.read.schema(batch.schema).parquet(table) if fs.exists(at) else batch.limit(0)
+        merged(before, batch, key, version).write.mode("overwrite").parquet(f"{table}.new")
+        place()
 
     return write
 
