@@ -292,12 +292,52 @@ def test_a_commit_that_died_is_not_read(spark):
     from pyspark.sql import functions as F
 
     ledger = C.Ledger(spark, new_path(spark, "ledger"))
-    C.changes(edge.frame(spark), 1, F.lit(1), F.lit("v")).write.parquet(f"{ledger.folder}/staged/b1")
+    deltas = C.changes(edge.frame(spark), 1, F.lit(1), F.lit("v"))
+    ledger._write("b1", deltas)
     assert ledger.totals().count() == 0
-    assert ledger.commit("b1", C.changes(edge.frame(spark), 1, F.lit(1), F.lit("v")))
+    assert ledger.commit("b1", deltas)
     assert ledger.totals().groupBy().sum("documents").first()[0] == len(edge.rows())
 
 
+def test_of_two_writers_of_a_name_one_wins(spark):
+    """Both have written their tables before either commits; and a writer that died within its commit counts."""
+    from pyspark.sql import functions as F
+
+    ledger, other = (C.Ledger(spark, f) for f in [new_path(spark, "ledger")] * 2)
+    deltas = C.changes(edge.frame(spark), 1, F.lit(1), F.lit("v"))
+    tables = [x._write("b1", deltas) for x in (ledger, other)]
+    assert [ledger._settle("b1", tables[0]), other._settle("b1", tables[1])] == [True, False]
+    assert other.totals().groupBy().sum("documents").first()[0] == len(edge.rows())
+    ledger._write("b2", deltas)
+    assert ledger._create(f"{ledger.folder}/committed/b2", "")
+    assert not other.commit("b2", deltas)
+    assert other.totals().groupBy().sum("documents").first()[0] == 2 * len(edge.rows())
+
+
+def test_compaction_changes_no_total(spark):
+    from pyspark.sql import functions as F
+
+    ledger = C.Ledger(spark, new_path(spark, "ledger"))
+    assert ledger.totals().count() == 0
+    for k in range(3):
+        ledger.commit(f"b{k}", C.changes(edge.frame(spark), 1, F.lit(k), F.lit("v")))
+    before = sorted(ledger.totals().collect(), key=str)
+    assert ledger.compact() == 3
+    assert sorted(ledger.totals().collect(), key=str) == before
+    assert not ledger.commit("b1", C.changes(edge.frame(spark), 1, F.lit(9), F.lit("v")))
+    assert ledger.commit("b3", C.changes(edge.frame(spark), -1, F.lit(0), F.lit("v")))
+    after = {(r.source, r.lang): (r.documents, r.tokens, r.batches) for r in ledger.totals().collect()}
+    assert after == {(r.source, r.lang): (r.documents * 2 // 3, r.tokens, 4) for r in before}
+    assert ledger.compact() == 4
+    assert {(r.source, r.lang): (r.documents, r.tokens, r.batches) for r in ledger.totals().collect()} == after
+
+
+def test_tokens_of_a_real_tokenizer(spark, encoder):
+    got = C.with_token_counts(edge.frame(spark), PATH, "tokens").collect()
+    assert all(r.tokens == len(encoder.encode(r.text or "", add_special_tokens=False).ids) for r in got)
+    assert C.with_token_counts(edge.empty(spark), PATH, "tokens").count() == 0
+
+
 # 6 mixing
 
 
@@ -518,6 +558,46 @@ def test_odd_rows_get_a_language_or_none(spark):
     assert {r.lang_pred for r in G.identify(edge.frame(spark, unlabelled)).collect()} == {"und"}
 
 
+def _plain_grams(text: str) -> Counter:
+    """Letters, and pairs and triples of letters and word ends (0) in a word with its ends, as tuples that sort as codes do."""
+    out: Counter = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        whole = [0, *map(ord, word), 0]
+        out.update((1, c) for c in whole[1:-1])
+        for n in (2, 3):
+            out.update((n, *whole[k : k + n]) for k in range(len(whole) - n + 1))
+    return out
+
+
+def _ranked(counts: Counter, size: int) -> list:
+    return sorted(counts, key=lambda g: (-counts[g], g))[:size]
+
+
+@pytest.mark.parametrize("size", [15, 400])
+def test_predictions_are_the_plain_ones(spark, size):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(size)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 40)))
+    rows = [(k, say("abcde" if k % 3 else "cdefg"), "xx" if k % 3 else "yy") for k in range(60)] + [(60, "", "xx"), (61, "12 !", "yy"), (62, None, "xx"), (63, "abc", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles: dict = {}
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            profiles.setdefault(lang, Counter()).update(_plain_grams(text))
+    profiles = {x: {g: k for k, g in enumerate(_ranked(c, size))} for x, c in sorted(profiles.items())}
+    got = {r.doc_id: r for r in G.predict(docs, G.learn(docs, F.col("lang"), size=size), ["doc_id"]).collect()}
+    for key, text, _ in rows:
+        own = _ranked(_plain_grams(text or ""), size)
+        if not own:
+            assert (got[key].lang_pred, got[key].score) == ("und", 0.0)
+            continue
+        away = {x: sum(min(abs(p[g] - k), size) if g in p else size for k, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(away, key=lambda x: (away[x], x))
+        assert got[key].lang_pred == best
+        assert got[key].score == pytest.approx(1 - away[best] / (size * len(own)))
+
+
 # 10 token files
 
 

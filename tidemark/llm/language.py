@@ -105,7 +105,8 @@ def learn(docs: DataFrame, lang: Column, text_col: str = "text", size: int = SIZ
     """
     rows = docs.select(lang.cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    # codes are numbers without a sign: those that a long shows as negative are the largest
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram") < 0, "gram"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= size).collect()
     names = tuple(sorted({r.lang for r in top}))
     codes, ranks = [], []
