@@ -362,3 +362,23 @@ def test_nearest_of_many_queries_is_the_same_in_small_blocks(spark):
     for block in (7, 2048):
         got = V.nearest(df.where("vec_id % 20 = 0"), df, 5, block=block).collect()
         assert {(r.a, r.b, r["rank"]) for r in got} == want
+
+
+def test_the_index_finds_nine_of_ten_neighbours(spark, data_dir):
+    """Recall against brute force; all cells together are exact."""
+    from tidemark.plans import QUERIES
+
+    found, exact = ({(r.a, r.b) for r in QUERIES[n](spark, data_dir).collect()} for n in ("approximate_search", "knn_search_each"))
+    assert len(found & exact) >= 0.9 * len(exact)
+    e = spark.read.parquet(f"{data_dir}/embeddings.parquet")
+    centers = V.cells(e, 5)
+    assert V.indexed(e, centers).count() == e.count()
+    every = V.approximate(e.where("vec_id % 20 = 0"), V.indexed(e, centers), centers, 10, len(centers))
+    assert {(r.a, r.b) for r in every.collect()} == exact
+
+
+def test_new_vectors_are_held_against_stored_ones_only(spark):
+    new = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None)], "vec_id long, embedding array<double>")
+    old = spark.createDataFrame([(7, [2.0, 0.1]), (5, [3.0, 0.0]), (9, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.duplicate_of for r in V.near_existing(new, old, 0.9).collect()}
+    assert got == {1: 5, 2: 5, 3: None, 4: None}

@@ -96,6 +96,68 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
     return against(queries, vectors, id_col, vec_col, k=k, block=block).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Rows that cells are fitted on at most: a bounded sample, of the smallest hashes of ids. Every row is indexed.
+SAMPLE = 20_000
+
+
+def cells(vectors: DataFrame, n: int, id_col: str = "vec_id", vec_col: str = "embedding", *, turns: int = 10, seed: int = 0) -> list[list[float]]:
+    """Unit centers of `n` cells at most, by k-means on directions over at most `SAMPLE` rows."""
+    chosen = vectors.where(F.col(vec_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"), F.col(vec_col).cast("array<double>").alias("v")).orderBy("h").limit(SAMPLE)
+    v = np.array([r.v for r in chosen.collect()], float)
+    if not len(v):
+        return []
+    v = v[np.linalg.norm(v, axis=1) > 0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    centers = np.unique(v[np.random.default_rng(seed).permutation(len(v))[:n]], axis=0)
+    for _ in range(turns):
+        own = (v @ centers.T).argmax(axis=1)
+        for k in range(len(centers)):
+            mean = v[own == k].sum(axis=0)
+            if np.linalg.norm(mean) > 0:
+                centers[k] = mean / np.linalg.norm(mean)
+    return centers.tolist()
+
+
+def _nearest_cells(rows: DataFrame, centers: list[list[float]], probes: int) -> DataFrame:
+    """Rows (id, v) with a row for each of their `probes` nearest cells; v as a unit vector, and none for a zero vector."""
+    middle = np.array(centers, float)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.array(batch.column("v").to_pylist(), float)
+            size = np.linalg.norm(v, axis=1)
+            some = np.flatnonzero(size > 0)
+            v = v[some] / size[some, None]
+            near = np.argsort(-(v @ middle.T), axis=1, kind="stable")[:, :probes]
+            row = np.repeat(np.arange(len(some)), near.shape[1])
+            ids = batch.column("id").to_numpy()[some][row]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near.reshape(-1), pa.int32()), pa.array(list(v[row]), pa.list_(pa.float64()))], names=["id", "cell", "v"])
+
+    return rows.mapInArrow(run, "id long, cell int, v array<double>")
+
+
+def indexed(vectors: DataFrame, centers: list[list[float]], id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """The index: (id, cell, v) of every row that has a direction; to be written and kept, with its centers."""
+    return _nearest_cells(vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")), centers, 1)
+
+
+def approximate(queries: DataFrame, index: DataFrame, centers: list[list[float]], k: int, probes: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(a, b, score, rank): each query's `k` nearest rows of another id among those in its `probes` nearest cells.
+
+    More probes find more of the true neighbours and look at more rows; as many as there are cells is exact. Cells meet queries in a join that
+    is split where a cell is large.
+    """
+    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    asked = _nearest_cells(asked, centers, probes).select(F.col("id").alias("a"), "cell", F.col("v").alias("q"))
+    met = asked.join(index.select(F.col("id").alias("b"), "cell", "v"), "cell").where("a <> b")
+    score = F.round(F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 12)
+    scored = met.select("a", "b", score.alias("score"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def components(pairs: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
     """(id_col, component: the smallest id that links lead to)."""
     from .graph import connected_components

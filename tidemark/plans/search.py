@@ -174,6 +174,14 @@ def knn_search_each(spark: SparkSession, d: str) -> DataFrame:
     return V.nearest(e.where("vec_id % 20 = 0"), e, 10).withColumn("score", F.round("score", 6))
 
 
+@query()
+def approximate_search(spark: SparkSession, d: str) -> DataFrame:
+    """All rows whose id is divisible by 20 as queries, through an index of 8 cells of which 6 are looked at."""
+    e = load(spark, d, "embeddings")
+    centers = V.cells(e, 8)
+    return V.approximate(e.where("vec_id % 20 = 0"), V.indexed(e, centers), centers, 10, 6).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH RECURSIVE {_UNIT}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4),
   r AS (SELECT vec_id AS id, vec_id AS reach FROM u UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach) SELECT id AS vec_id, min(reach) AS component FROM r GROUP BY 1""")
 def threshold_components(spark: SparkSession, d: str) -> DataFrame:
