@@ -309,10 +309,32 @@ def test_filters_from_dicts(spark):
     assert ids({}) == [1, 2, 3]
 
 
-def test_numbers_and_tokens(spark):
-    got = one(spark, X.rewrite_numbers(F.lit("10 000 руб, $5 и 3,5% за 2k")), X.word_tokens(F.lit("The price is 3,5% and 10 000 руб")))
-    assert got[0] == "10000 rub, 5 usd и 3.5 percent за 2000"
-    assert got[1] == ["price", "3.5", "percent", "10000", "rub"]
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("paid $1,200.50 now", "paid MONEY_USD AMOUNT_1200.50 now"),
+        ("€30 and ₽1,000,000", "MONEY_EUR AMOUNT_30 and MONEY_RUB AMOUNT_1000000"),
+        ("цена 1 200,50 долларов", "цена MONEY_USD AMOUNT_1200.50"),
+        ("10 000 руб. и 5 раз", "MONEY_RUB AMOUNT_10000 и 5 раз"),
+        ("7 евро, 1,234,567 usd", "MONEY_EUR AMOUNT_7, MONEY_USD AMOUNT_1234567"),
+        ("2,5 млрд и 3 миллиона", "BILLION VALUE_25 и MILLION VALUE_3"),
+        ("40 тыс штук, 12.5 %", "THOUSAND VALUE_40 штук, PERCENTAGE VALUE_12.5"),
+        ("nothing 12 here", "nothing 12 here"),
+    ],
+)
+def test_amounts_are_rewritten(spark, text, want):
+    assert one(spark, X.rewrite_numbers(F.lit(text)))[0] == want
+
+
+def test_tokens_variants_and_names(spark):
+    rows = spark.createDataFrame([(1, "The price is $5 at Acme North today"), (2, None), (3, "of it")], "id long, text string").withColumn("tokens", X.word_tokens(F.col("text")))
+    assert {r.id: r.tokens for r in rows.collect()}[1] == ["price", "money_usd", "amount_5", "acme", "north", "today"]
+    forms = spark.createDataFrame([("price", "cost"), ("price", "rate"), ("x", "y")], "word string, form string")
+    got = {r.id: r.variants for r in X.with_variants(rows, forms, "tokens").collect()}
+    assert got == {1: ["acme", "amount_5", "cost", "money_usd", "north", "price", "rate", "today"], 2: [], 3: []}
+    names = spark.createDataFrame([("acme", "org"), ("acme north", "org"), ("north", "place"), ("south", "place")], "name string, kind string")
+    found = {(r.id, r.kind, r.name, r.n) for r in X.named_entities(rows, names, "id", "tokens").collect()}
+    assert found == {(1, "org", "acme", 1), (1, "org", "acme north", 1), (1, "place", "north", 1)}
 
 
 def test_routing_and_normalising(spark):

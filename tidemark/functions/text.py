@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns that must equal the reference's for right results.
@@ -225,17 +225,61 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 STOP_WORDS = ("и", "в", "не", "на", "что", "с", "по", "это", "как", "а", "то", "из", "у", "за", "к", "the", "a", "an", "and", "or", "of", "to", "in", "is", "it", "that")
 
 
+#: Signs and words of currencies, and words of large numbers.
+CURRENCIES = (("USD", r"\$", "usd|доллар(?:ов)?|бакс(?:ов)?"), ("EUR", "€", "eur|евро"), ("RUB", "₽", r"rub|руб(?:ля|лей)?\.?|р\."))
+SCALES = (("BILLION", "млрд|миллиард(?:а|ов)?"), ("MILLION", "млн|миллион(?:а|ов)?"), ("THOUSAND", "тыс|тысяч(?:а|и)?"))
+
+
 def rewrite_numbers(text: Column) -> Column:
-    """Figures in one form: no blanks between thousands, a point for decimals, currencies and percent as words after the number."""
+    """Amounts as a kind and a value: MONEY_USD AMOUNT_x, BILLION, MILLION and THOUSAND VALUE_x, PERCENTAGE VALUE_x.
+
+    Commas between digits go; before a currency's word blanks go too, and an only comma without a point is a decimal one. A currency's or
+    number's word ends where its letters end, and the amount begins at a digit.
+    """
+    whole, decimal, end = "\x01", "\x02", "\x03"  # around values that are still to be cleaned
+    for code, sign, _ in CURRENCIES:
+        text = F.regexp_replace(text, sign + r"([\d,]+(?:\.\d{2})?)", f"MONEY_{code} AMOUNT_{whole}$1{end}")
+    for code, _, words in CURRENCIES:
+        text = F.regexp_replace(text, rf"(?iu)(?<![_\d{whole}{decimal}])(\d[\d\s\u00a0,.]*?)[\s\u00a0]*(?:{words})(?![a-zа-яё])", f"MONEY_{code} AMOUNT_{decimal}$1{end}")
+    number = r"(?<![_\d,.\x01\x02])(\d[\d,]*(?:\.\d+)?)\s*"
+    for name, words in SCALES:
+        text = F.regexp_replace(text, rf"(?iu){number}(?:{words})(?![a-zа-яё])", f"{name} VALUE_{whole}$1{end}")
+    text = F.regexp_replace(text, f"{number}%", f"PERCENTAGE VALUE_{whole}$1{end}")
     for pattern, to in (
-        (r"(?<=\d)[\u00a0 ](?=\d{3}\b)", ""), (r"(\d),(\d)", "$1.$2"), (r"\$\s*(\d+(?:\.\d+)?)", "$1 usd"), (r"€\s*(\d+(?:\.\d+)?)", "$1 eur"), (r"(\d)\s*\$", "$1 usd"), (r"(\d)\s*€", "$1 eur"),
-        (r"(\d)\s*₽", "$1 rub"), (r"(?i)(\d)\s*руб(?:лей|ля|ль|\.)?(?![а-яё])", "$1 rub"), (r"(\d)\s*%", "$1 percent"), (r"(?i)(\d)\s*k\b", "$1000"),
+        (rf"(?<={decimal}[\d\s\u00a0,.]{{0,60}})[\s\u00a0]", ""), (rf"{decimal}(\d+),(\d+){end}", f"{whole}$1.$2{end}"),
+        (rf"(?<=[{whole}{decimal}][\d,.]{{0,60}}),", ""), (f"[{whole}{decimal}{end}]", ""),
     ):
         text = F.regexp_replace(text, pattern, to)
     return text
 
 
-def word_tokens(text: Column) -> Column:
-    """Lower-case words and figures of a text with its figures rewritten, without stop words; a word's form stays as it is."""
-    found = extract_all(F.lower(rewrite_numbers(text)), r"[\p{L}\p{N}_]+(?:\.\d+)?")
-    return F.filter(found, lambda x: ~x.isin(*STOP_WORDS))
+def word_tokens(text: Column, least: int = 3, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Lower-case tokens of a text with its amounts rewritten, of `least` characters or more and without stop words; a word's form stays as it is."""
+    found = extract_all(F.lower(rewrite_numbers(text)), r"money_[a-z]+|(?:amount|value)_[a-z0-9.]+|[а-яё]+|[a-z]+|\d+")
+    return F.filter(found, lambda x: (F.length(x) >= least) & ~x.isin(*stop))
+
+
+def with_variants(rows: DataFrame, forms: DataFrame, tokens: str) -> DataFrame:
+    """Adds variants: the distinct tokens of a row and their dictionary forms. `forms` has (word, form); words without one stay alone."""
+    each = rows.select(F.monotonically_increasing_id().alias("__tm_id"), "*")
+    words = each.select("__tm_id", F.explode(F.array_distinct(tokens)).alias("word"))
+    found = words.join(forms.select("word", "form").distinct(), "word", "left").select("__tm_id", F.explode(F.array_compact(F.array("word", "form"))).alias("v"))
+    sets = found.groupBy("__tm_id").agg(F.array_sort(F.collect_set("v")).alias("variants"))
+    return each.join(sets, "__tm_id", "left").withColumn("variants", F.coalesce("variants", F.array().cast("array<string>"))).drop("__tm_id")
+
+
+def named_entities(rows: DataFrame, gazetteer: DataFrame, id_col: str, tokens: str, longest: int = 4) -> DataFrame:
+    """(id_col, kind, name, n): how often names of a gazetteer (name: lower-case words joined by blanks, kind) occur in a row's tokens.
+
+    Runs of up to `longest` tokens are looked up; a name within a longer one counts as well.
+    """
+    size = F.size(tokens)
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), size - n), lambda k: F.array_join(F.slice(tokens, k + 1, n), " "))
+
+    runs = [runs_of(n) for n in range(1, longest + 1)]
+    every = F.flatten(F.array(*(F.when(size >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 1))))
+    found = rows.select(id_col, F.explode(every).alias("name")).join(gazetteer.select("name", "kind").distinct(), "name")
+    return found.groupBy(id_col, "kind", "name").agg(F.count("*").alias("n"))
+
