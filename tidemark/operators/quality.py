@@ -158,3 +158,17 @@ def cluster_metadata(sessions_: DataFrame, by: str, n: int = 5) -> DataFrame:
     topics = topic.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("topics"))
     days = F.timestamp_diff("SECOND", F.col("first"), F.col("last")) / 86400
     return base.join(chats, by, "left").join(topics, by, "left").withColumn("days", days)
+
+
+def importance_summary(scores: DataFrame, value: str) -> DataFrame:
+    """One row: n, and average, least and largest score to three digits."""
+    r = lambda c: F.round(c, 3)
+    return scores.agg(F.count(value).alias("n"), r(F.avg(value)).alias("average"), r(F.min(value)).alias("least"), r(F.max(value)).alias("largest"))
+
+
+def comparison(analyses: DataFrame, by: str, ts: str, score: str, *ties: str) -> DataFrame:
+    """(by, n, first, last, change, trend): the first against the last analysis of each key; improved, declined or stable."""
+    order = F.struct(ts, *ties)
+    out = analyses.groupBy(by).agg(F.count("*").alias("n"), F.min_by(score, order).alias("first"), F.max_by(score, order).alias("last"))
+    change = F.col("last") - F.col("first")
+    return out.withColumn("change", change).withColumn("trend", F.when(change > 0, "improved").when(change < 0, "declined").otherwise("stable"))

@@ -228,3 +228,19 @@ def hybrid_groups(df: DataFrame, by: str, ts: str, size: str, *ties: str, window
     rows = df.withColumn("period", period).withColumn("__tm_key", F.concat_ws("|", F.col(by).cast("string"), "period"))
     cut = within_budget(rows, "__tm_key", ts, size, most, "part_no") if not ties else fold(rows, "__tm_key", [ts, *ties], lambda r: {"n": r[size]}, lambda s, r: s["n"] + r[size] > most, lambda s, r: s.update(n=s["n"] + r[size]), [size], "part_no")
     return cut.groupBy(by, "period", "part_no").agg(F.count("*").alias("n"), F.sum(size).alias("size"))
+
+
+def expanded_days(df: DataFrame, by: str, ts: str, *ties: str, break_hours: float = 4, least: int = 5) -> DataFrame:
+    """(by, day, part_no, parent_id, child_id, n, start, end): each day's messages by natural breaks, small neighbours merged until they hold `least`.
+
+    A parent is a day; children number its parts from 1.
+    """
+    day = F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd")
+    rows = df.withColumn("day", day).withColumn("__tm_key", F.concat_ws("|", F.col(by).cast("string"), "day"))
+    cut = day_groups(rows, "__tm_key", ts, *ties, break_hours=break_hours)
+    parts = cut.groupBy(by, "day", "__tm_key", "session_no").agg(F.count("*").alias("n"), F.min(ts).alias("start"), F.max(ts).alias("end"))
+    merged = until_minimum(parts, "__tm_key", "session_no", "n", least, "part_no")
+    out = merged.groupBy(by, "day", "part_no").agg(F.sum("n").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    number = F.row_number().over(Window.partitionBy(by, "day").orderBy("part_no"))
+    parent = F.concat_ws("-", F.col(by).cast("string"), "day")
+    return out.select(by, "day", number.alias("part_no"), parent.alias("parent_id"), F.format_string("%s-%02d", parent, number).alias("child_id"), "n", "start", "end")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup as D
+from ..operators import quality as Q
 from ..operators import search as S
 from ..operators import sessions as N
 from ..operators import vectors as V
@@ -276,3 +277,70 @@ def batch_update_status(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT label, vec_id FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50)")
 def sized_clusters(spark: SparkSession, d: str) -> DataFrame:
     return V.sized_clusters(load(spark, d, "embeddings"), "label").select("label", "vec_id")
+
+
+# Exchange snapshots, archives, summaries
+
+
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as an exchange's day statistics: JSON of text figures."""
+    text = lambda c: F.col(c).cast("string")
+    body = F.to_json(F.struct(
+        F.concat(F.lit("P"), text("p_partkey")).alias("symbol"), text("p_retailprice").alias("lastPrice"), F.lit("-1.5").alias("priceChange"), F.lit("x").alias("priceChangePercent"),
+        text("p_retailprice").alias("highPrice"), text("p_size").alias("volume"), text("p_size").alias("quoteVolume"), F.col("p_size").alias("count"), text("p_size").alias("openInterest"),
+    ))
+    return load(spark, d, "part").select(F.concat(F.lit("P"), text("p_partkey")).alias("symbol"), body.alias("body"), F.lit(datetime(2024, 3, 1)).cast("timestamp_ntz").alias("ts"))
+
+
+@query("SELECT 'P' || CAST(p_partkey AS VARCHAR) AS symbol, p_retailprice AS price, -1.5::DOUBLE AS price_change, NULL::DOUBLE AS price_change_percent, p_retailprice AS high, NULL::DOUBLE AS low, p_size::DOUBLE AS volume, p_size::DOUBLE AS quote_volume, p_size::BIGINT AS trade_count FROM part")
+def day_tickers(spark: SparkSession, d: str) -> DataFrame:
+    return R.tickers(_bodies(spark, d))
+
+
+@query("SELECT 'P' || CAST(p_partkey AS VARCHAR) AS symbol, p_size::DOUBLE AS open_interest, NULL::DOUBLE AS funding_rate, p_size::DOUBLE AS cvd, TIMESTAMP '2024-03-01' AS ts FROM part")
+def derivative_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return R.derivatives(_bodies(spark, d))
+
+
+_TRADES = "SELECT o_orderpriority AS symbol, o_orderkey AS trade_id, o_totalprice AS price FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')"
+
+
+def _trades(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "orders").select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderkey").alias("trade_id"), F.col("o_totalprice").alias("price"))
+
+
+@query(f"SELECT symbol, trade_id, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_id DESC) AS p FROM ({_TRADES})) WHERE p <= 20")
+def public_trades_batch(spark: SparkSession, d: str) -> DataFrame:
+    return R.symbols_batch(_trades(spark, d), ["1-urgent", "5-LOW", "1-URGENT"], 20, F.desc("trade_id"))
+
+
+@query(f"SELECT symbol, ts, close FROM ({CANDLES_SQL}) WHERE symbol IN ('1-URGENT', '2-HIGH')")
+def klines_batch(spark: SparkSession, d: str) -> DataFrame:
+    return R.symbols_batch(candles(spark, d), ["1-urgent", "2-high"]).select("symbol", "ts", "close")
+
+
+@query("SELECT 'v' || CAST(vec_id AS VARCHAR) AS text, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+def archive_restore(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark)
+    e = load(spark, d, "embeddings")
+    e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("text"), "embedding").write.json(path)
+    back = R.restored(spark, path, 64)
+    return back.select("text", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+@query("SELECT count(value) AS n, round(avg(value), 3) AS average, round(min(value), 3) AS least, round(max(value), 3) AS largest FROM events")
+def importance_summary(spark: SparkSession, d: str) -> DataFrame:
+    return Q.importance_summary(load(spark, d, "events"), "value")
+
+
+@query("""WITH f AS (SELECT user_id, count(*) AS n, arg_min(value, (ts, event_id)) AS first, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY 1)
+  SELECT user_id, n, first, last, round(last - first, 6) AS change, CASE WHEN last > first THEN 'improved' WHEN last < first THEN 'declined' ELSE 'stable' END AS trend FROM f""")
+def analysis_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return Q.comparison(load(spark, d, "events"), "user_id", "ts", "value", "event_id").withColumn("change", F.round("change", 6))
+
+
+@query(f"SELECT chat, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, min(ts) AS start, max(ts) AS \"end\" FROM ({MESSAGES_SQL}) GROUP BY 1, 2")
+def expanded_day_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of each day, put together again: nothing is lost or moved to another day."""
+    parts = N.expanded_days(messages(spark, d), "chat", "ts", "id")
+    return parts.groupBy("chat", "day").agg(F.sum("n").cast("long").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))

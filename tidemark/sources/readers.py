@@ -73,6 +73,43 @@ def klines(rows: DataFrame, values: str = "kline") -> DataFrame:
     return rows.select(*rest, time("open_time").alias("open_time"), *map(price, ("open", "high", "low", "close", "volume")), time("close_time").alias("close_time"), F.coalesce(at("trades").cast("long"), F.lit(0)).alias("trades"))
 
 
+#: The exchange's field, the column and its type.
+TICKER = (
+    ("symbol", "symbol", "string"), ("lastPrice", "price", "double"), ("priceChange", "price_change", "double"), ("priceChangePercent", "price_change_percent", "double"),
+    ("highPrice", "high", "double"), ("lowPrice", "low", "double"), ("volume", "volume", "double"), ("quoteVolume", "quote_volume", "double"), ("count", "trade_count", "long"),
+)
+
+
+def tickers(rows: DataFrame, body: str = "body") -> DataFrame:
+    """Day statistics of symbols, one or all, from an exchange's JSON: typed columns, null where a figure is missing or no figure."""
+    return rows.select(*(F.get_json_object(body, f"$.{field}").try_cast(kind).alias(name) for field, name, kind in TICKER))
+
+
+def derivatives(rows: DataFrame, body: str = "body") -> DataFrame:
+    """(symbol, open_interest, funding_rate, cvd, ts) from a ticker's JSON, whose fields come in two spellings; `cvd` is the quote volume. ts is a column of `rows`."""
+    figure = lambda *names: F.coalesce(*(F.get_json_object(body, f"$.{n}").try_cast("double") for n in names))
+    pairs = {"open_interest": ("open_interest", "openInterest"), "funding_rate": ("funding_rate", "fundingRate"), "cvd": ("quote_volume", "quoteVolume")}
+    return rows.select("symbol", *(figure(*names).alias(c) for c, names in pairs.items()), "ts")
+
+
+def symbols_batch(rows: DataFrame, wanted: list[str], n: int | None = None, *order: Column) -> DataFrame:
+    """Rows of a list of symbols, in any case and named once or more: one scan. With `n`, the first so many of each symbol in an order."""
+    from pyspark.sql import Window
+
+    if not wanted or not all(wanted) or (n is not None and n <= 0):
+        raise ValueError("symbols and a number above 0 are needed")
+    out = rows.where(F.col("symbol").isin(sorted({w.upper() for w in wanted})))
+    if n is None:
+        return out
+    return out.withColumn("__tm_p", F.row_number().over(Window.partitionBy("symbol").orderBy(*order))).where(F.col("__tm_p") <= n).drop("__tm_p")
+
+
+def restored(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """An archive's rows (text, embedding) from JSON lines, those without a whole vector left out; the archive stays as it is."""
+    rows = spark.read.schema("text string, embedding array<float>").json(path)
+    return rows.where(F.size("embedding") == dim).select(F.coalesce("text", F.lit("")).alias("text"), "embedding")
+
+
 def order_book(rows: DataFrame) -> DataFrame:
     """(symbol, side, level, price, qty) from (symbol, bids, asks), arrays of (price, qty)."""
     side = lambda name: rows.select("symbol", F.lit(name[:-1]).alias("side"), F.posexplode(name).alias("level", "q")).select("symbol", "side", "level", F.col("q")[0].cast("decimal(20,8)").alias("price"), F.col("q")[1].cast("decimal(20,8)").alias("qty"))
