@@ -17,6 +17,7 @@ import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._shared import delete, hadoop_fs
 from .text import WordwiseTokenizer, chunks
@@ -43,7 +44,7 @@ def with_token_counts(docs: DataFrame, tokenizer: str, name: str, text_col: str
             ends, _ = encoder.encode(batch.column(text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(ends), pa.int64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema.add(name, "long"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def changes(rows: DataFrame, sign: int, tokens: Column, tokenizer: Column) -> DataFrame:
