@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import market as M
+from .ranks import ranked
 
 
 def series(by: str = "symbol", ts: str = "ts") -> WindowSpec:
@@ -107,7 +108,7 @@ def grid(df: DataFrame, fasts: list[int], slows: list[int]) -> DataFrame:
 
 def leaderboard(results: DataFrame, by: str = "total_return", *ties: str) -> DataFrame:
     """rank from 1, best first."""
-    return results.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), *ties)))
+    return ranked(results, F.desc(by), *ties).withColumn("rank", F.col("rank").cast("int"))
 
 
 def bollinger(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .ranks import ranked as placed
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, only: list[str] | None = None) -> DataFrame:
@@ -123,9 +124,8 @@ def best_of(*lists: DataFrame) -> DataFrame:
 
 def rank_similarity(scores: DataFrame) -> DataFrame:
     """Adds similarity: (n - rank + 1) / n over the whole list."""
-    whole = Window.partitionBy()
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
-    return scores.withColumn("similarity", (F.count(F.lit(1)).over(whole) - rank + 1) / F.count(F.lit(1)).over(whole))
+    places = placed(scores, F.desc("score"), "id", out="__tm_r", total="__tm_t")
+    return places.withColumn("similarity", (F.col("__tm_t") - F.col("__tm_r") + 1) / F.col("__tm_t")).drop("__tm_r", "__tm_t")
 
 
 def min_max(scores: DataFrame, invert: bool = True) -> DataFrame:
