@@ -124,8 +124,8 @@ def best_of(*lists: DataFrame) -> DataFrame:
 
 def rank_similarity(scores: DataFrame) -> DataFrame:
     """Adds similarity: (n - rank + 1) / n over the whole list."""
-    places = placed(scores, F.desc("score"), "id", out="__tm_r", total="__tm_t")
-    return places.withColumn("similarity", (F.col("__tm_t") - F.col("__tm_r") + 1) / F.col("__tm_t")).drop("__tm_r", "__tm_t")
+    places = placed(scores, F.desc("score"), "id", out="__tm_r", total="__tm_all")
+    return places.withColumn("similarity", (F.col("__tm_all") - F.col("__tm_r") + 1) / F.col("__tm_all")).drop("__tm_r", "__tm_all")
 
 
 def min_max(scores: DataFrame, invert: bool = True) -> DataFrame:
