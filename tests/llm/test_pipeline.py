@@ -120,6 +120,33 @@ def test_one_of_exact_copies_with_short_lines_leaves(spark):
     assert [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, lines, "").collect()] == [(0, text)]
 
 
+def test_null_and_repeated_ids_pass_every_stage(spark, tmp_path):
+    """20 documents without an id and 20 of one id, all with texts of their own: only the repeats of the id go, in near-dedup; no text comes over three times."""
+    rng = random.Random(6)
+    letters = "etaoinshrdlu"
+    say = lambda: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(20, 40)))
+    rows = [(None if k < 20 else 5 if k < 40 else k, say(), "en", f"s{k % 3}") for k in range(60)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    counts = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "").write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        counts.append(docs.count())
+        if k == 2:
+            kept = {r.text for r in docs.collect()}
+            assert {r[1] for r in rows if r[0] != 5} <= kept
+            assert len(kept) == 41
+        if k == 3:
+            times: dict = {}
+            for r in docs.collect():
+                times[r.text] = times.get(r.text, 0) + 1
+            assert set(times) <= kept
+            assert max(times.values()) <= 3
+            assert sum(times.values()) < 3 * 41
+    assert counts[:3] == [60, 60, 41]
+    assert counts[4] == counts[3]
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

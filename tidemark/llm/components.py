@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import forget, materialize
+from .text import release
 
 #: Of the keys and columns of some members, and the places of pairs of them: the places of those worth a check.
 Compare = Callable[[np.ndarray, dict[str, pa.Array], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -99,6 +100,8 @@ def _compared(columns: list[str], compare: Compare) -> Callable[[Iterable[pa.Rec
                 rest = rest.slice(starts[-1])
         if rest is not None:
             yield from whole(rest.combine_chunks(), np.zeros(1, np.int64))
+        rest = None
+        release()
 
     def whole(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(starts, append=table.num_rows)
