@@ -41,6 +41,7 @@ def test_groups_are_those_of_all_pairs(spark, n):
 
 def test_blocks_and_later_turns_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK", 4)
+    monkeypatch.setattr(C, "TASK", 20)
     docs = _corpus(9)
     got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2, bands=32).collect()
     assert {r.doc_id: r.component_id for r in got} == {k: v for k, (_, v) in edge.components(docs, 2).items()}
@@ -80,8 +81,22 @@ def test_signatures_estimate_similarity():
     assert (one[1] == 0).all()
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("task", [0, 30, 200_000])
+def test_components_of_chains_and_stars(spark, monkeypatch, task):
+    """By written turns alone, by turns and then one task, and by one task."""
+    monkeypatch.setattr(C, "TASK", task)
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 199), (199, 200)]
     got = {r.id: r.component for r in C.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)} | {199: 199, 200: 199}
     assert C.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_least_reached_is_the_plain_one():
+    for seed in range(100):
+        rng = random.Random(seed)
+        links = [(rng.randint(0, 40) * 3, rng.randint(0, 40) * 3) for _ in range(rng.randint(1, 40))]
+        groups = edge.Union({x for link in links for x in link})
+        for a, b in links:
+            groups.join(a, b)
+        nodes, to = C.least_reached(*(np.array(x) for x in zip(*links, strict=True)))
+        assert dict(zip(nodes.tolist(), to.tolist(), strict=True)) == {x: groups.find(x) for x in groups.up}

@@ -17,18 +17,52 @@ from .text import release
 Compare = Callable[[np.ndarray, dict[str, pa.Array], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+#: Links that one task takes in (16 bytes each); more go through turns that are written.
+TASK = 200_000
+
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links, and the smallest node that each reaches."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    one, two = place[: len(a)], place[len(a) :]
+    to = np.arange(len(nodes))
+    while True:
+        before = to.copy()
+        np.minimum.at(to, one, before[two])
+        np.minimum.at(to, two, before[one])
+        while (to[to] != to).any():
+            to = to[to]
+        # a place's own label follows those of its members
+        np.minimum.at(to, before, to.copy())
+        if (to == before).all():
+            return nodes, nodes[to]
+
+
+def _in_one_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    columns = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if columns:
+        a, b = (np.concatenate(x) for x in zip(*columns, strict=True))
+        nodes, to = least_reached(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(to, pa.int64())], names=["id", "to"])
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """Each node of `links` (a, b) with the smallest node that it reaches: (id, component).
 
     Every turn each node moves to the least of itself and its neighbours, links are drawn anew between the places they moved
     to, and those inside one place go. The first turn compares ids, which ends stars around their smallest member at once;
     later turns compare hashes of a new seed, so that no chain takes more than logarithmically many turns in expectation.
-    Self-links and repeated links are allowed. Nodes without links aren't returned.
+    As soon as the links that are left fit one task, one task ends it. Self-links and repeated links are allowed. Nodes without links aren't returned.
     """
     live = materialize(links.where("a != b").select("a", "b").distinct(), "links")
     moves: list[DataFrame] = []
     for turn in count():
-        if live.isEmpty():
+        few = live.count()
+        if few == 0:
+            forget(live)
+            break
+        if few <= TASK:
+            moves.append(materialize(live.coalesce(1).mapInArrow(_in_one_task, "id long, to long"), "moves"))
             forget(live)
             break
         rank = (lambda x: F.lit(0).cast("long")) if turn == 0 else (lambda x, seed=turn: F.xxhash64(x, F.lit(seed)))
