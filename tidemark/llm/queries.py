@@ -131,6 +131,119 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_documents(spark, sf_dir), _tokenizer(), end_id=1))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_documents(spark, sf_dir), least=30, top=50)
+
+
+#: Every group, every term, every pair of a language's sources.
+OP11_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS MATERIALIZED (SELECT id, lang, source, unnest(terms) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+a AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS all_n
+      FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT *, count(*) OVER (PARTITION BY lang, source) AS v, sum(n) OVER (PARTITION BY lang, source) AS total,
+             sum(all_n) OVER (PARTITION BY lang, source) AS all_total FROM a),
+p AS MATERIALIZED (
+  SELECT lang, source, term, n, 1 + CAST((1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS BIGINT) AS p,
+         1 + CAST((1000000000::HUGEINT * (all_n + 5)) // (all_total + 5 * v) AS BIGINT) AS q FROM s),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+      FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+      FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+      UNION ALL
+      SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_documents(spark, sf_dir), least=100, percent=100, top=2000)
+
+
+#: All phrases of one to five words, each cut of each candidate, and all longer candidates around each.
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: list_slice(ws, i, i + m - 1))) AS words
+      FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(ws) >= m),
+f AS MATERIALIZED (SELECT lang, m, words, array_to_string(words, ' ') AS phrase, count(*) AS a FROM g GROUP BY lang, m, words HAVING count(*) >= 100),
+inner_of AS (SELECT lang, a, unnest(flatten(list_transform(range(2, m), lambda k: list_transform(range(1, m - k + 2), lambda i: array_to_string(list_slice(words, i, i + k - 1), ' '))))) AS phrase
+             FROM f WHERE m > 2),
+covered AS (SELECT lang, phrase, max(a) AS longer FROM inner_of GROUP BY ALL),
+cuts AS (SELECT f.lang, f.phrase, f.a, unnest(range(1, m)) AS k, words FROM f LEFT JOIN covered c ON c.lang = f.lang AND c.phrase = f.phrase
+         WHERE m > 1 AND (c.longer IS NULL OR c.longer < f.a)),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, t.n,
+                  CAST((1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+           FROM cuts c JOIN total t ON t.lang = c.lang
+           JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.words, 1, c.k), ' ')
+           JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.words, c.k + 1, len(c.words)), ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM scored),
+o AS (SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score FROM best WHERE pick = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
+    return judge(pages, labels)
+
+
+#: All subsets of the labelled URLs' tokens instead of FP-growth; only tokens that are frequent enough in URLs to block can be in a rule.
+OP13_SQL = r"""
+WITH cut AS (
+  SELECT page_id, url, contains(coalesce(url, ''), '://') AS has, regexp_replace(coalesce(url, ''), '^.*?://', '', 's') AS rest FROM pages),
+parts AS (
+  SELECT page_id, url, has, CASE WHEN has THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN has THEN regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') ELSE '' END AS path,
+         translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM cut),
+marked AS (
+  SELECT page_id, url, host, path,
+         list_transform(string_split_regex(host, '[.\-]'), lambda x: CASE WHEN x <> '' THEN 'h:' || x END) AS h,
+         list_transform(string_split(regexp_replace(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '#', 'g'), '/'), lambda x: CASE WHEN x <> '' THEN 'p:' || x END) AS p,
+         list_transform(string_split(regexp_replace(regexp_extract(low, '^[^?#]*\?([^#]*)', 1), '=[^&]*', '', 'g'), '&'), lambda x: CASE WHEN x <> '' THEN 'q:' || x END) AS q,
+         list_transform(string_split(regexp_extract(low, '#(.*)$', 1), ' '), lambda x: CASE WHEN x <> '' THEN 'f:' || x END) AS f, has
+  FROM parts),
+page AS MATERIALIZED (
+  SELECT page_id, url, host, path, CASE WHEN has THEN list_sort(list_distinct(list_filter(list_concat(h, p, q, f), lambda x: x IS NOT NULL))) ELSE [] END AS items FROM marked),
+labelled AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, items, coalesce(toxic = 1, FALSE) OR coalesce(quality = 0, FALSE) AS bad FROM page JOIN labels ON page_id = doc_id
+  WHERE toxic = 1 OR quality = 0 OR (toxic IS NOT NULL AND quality IS NOT NULL)),
+least AS (SELECT greatest(CAST(ceil(0.01 * count(*) - 1e-9) AS BIGINT), 5) AS least FROM labelled),
+token AS (SELECT id, bad, unnest(items) AS t FROM labelled),
+single AS MATERIALIZED (SELECT t, count(*) AS freq, count(*) FILTER (bad) AS bad_freq FROM token GROUP BY t),
+small AS (SELECT id, bad, list_sort(list(t)) AS items FROM token JOIN single USING (t), least WHERE bad_freq >= least GROUP BY ALL),
+masks AS (SELECT id, bad, items, unnest(range(1, CAST(power(2, len(items)) AS BIGINT))) AS mask FROM small),
+sets AS (SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS rule, count(*) AS freq, count(*) FILTER (bad) AS support FROM masks GROUP BY 1),
+mined AS MATERIALIZED (SELECT rule, support, CAST(support AS DOUBLE) / CAST(freq AS DOUBLE) AS confidence FROM sets, least WHERE support >= least AND CAST(support AS DOUBLE) / CAST(freq AS DOUBLE) >= CAST(0.6 AS DOUBLE)),
+kept AS (SELECT * FROM mined r WHERE NOT EXISTS (SELECT 1 FROM mined s WHERE len(s.rule) < len(r.rule) AND s.confidence >= r.confidence AND list_has_all(r.rule, s.rule))),
+met AS (SELECT page_id, array_to_string(rule, ' ') AS text, confidence, support FROM page, kept WHERE list_has_all(items, rule)),
+best AS (SELECT page_id, count(*) AS n, min({'c': -confidence, 's': -support, 'text': text}) AS b FROM met GROUP BY page_id),
+rules AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) v(name, start, verdict)),
+fits AS (SELECT page_id, arg_max({'rule': name || start, 'verdict': verdict}, length(name || start)) AS r FROM page, rules
+         WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id)
+SELECT page.page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN n IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+       b.text AS mined, -b.c AS confidence, coalesce(n, 0) AS n_mined
+FROM page LEFT JOIN fits ON fits.page_id = page.page_id LEFT JOIN best ON best.page_id = page.page_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -148,4 +261,4 @@ SELECT doc_id, slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 2, '0') AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_maglev_sharding": _op1_sql(), "op4_minhash_near_dedup": OP4_SQL, "op5_token_count_rollup": OP5_SQL}
+    return {"op1_maglev_sharding": _op1_sql(), "op4_minhash_near_dedup": OP4_SQL, "op5_token_count_rollup": OP5_SQL, "op11_source_divergence": OP11_SQL, "op12_collocations": OP12_SQL, "op13_url_rules": OP13_SQL}
