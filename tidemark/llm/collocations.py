@@ -30,6 +30,8 @@ WORDS = lowered(BREAKS + b"\x20\x09")
 #: The tables: a row each for words, pairs and triples, 2**22 slots; 12 MB a task and 1.5 MB broadcast.
 ROWS, BITS = 3, 22
 UNKNOWN = "und"
+#: Bytes of text of a shard; rows that a task gathers before it adds them up.
+SHARD_BYTES, GATHER = 8 << 20, 800_000
 LONGEST = 5
 #: Phrases of a language, as dealt to tasks before the last ranking.
 DEALT = 64
@@ -141,17 +143,29 @@ def _sketcher(bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """Counts of equal phrases of a language as one."""
+    return pa.concat_tables(tables).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "words", "phrase", "n"])
+
+
 def _counter(reached: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's shards, their phrases added up before they leave it, as long as that makes fewer of them."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        held: list[pa.Table] = []
+        for batch in chunks(batches, "text", SHARD_BYTES):
             shard = Shard(batch)
             names, totals = shard.totals()
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int32()), pa.array([""] * len(names), pa.string()), pa.array(totals, pa.int64())], names=["lang", "words", "phrase", "n"])
+            held.append(pa.table([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int32()), pa.array([""] * len(names), pa.string()), pa.array(totals, pa.int64())], names=["lang", "words", "phrase", "n"]))
             for n, at, count in shard.phrases(shard.lengths(reached)):
-                for a in range(0, len(at), 100_000):
-                    some = at[a : a + 100_000]
-                    lang = shard.langs.take(pa.array(shard.lang[shard.ids[some] - 1]))
-                    yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(some), n, np.int32)), shard.texts(n, some), pa.array(count[a : a + 100_000])], names=["lang", "words", "phrase", "n"])
+                lang = shard.langs.take(pa.array(shard.lang[shard.ids[at] - 1]))
+                held.append(pa.table([lang, pa.array(np.full(len(at), n, np.int32)), shard.texts(n, at), pa.array(count)], names=["lang", "words", "phrase", "n"]))
+            if sum(t.num_rows for t in held) > GATHER:
+                held = [_added(held)]
+                if held[0].num_rows > GATHER // 2:
+                    yield from held.pop().to_batches(max_chunksize=50_000)
+        if held:
+            yield from _added(held).to_batches(max_chunksize=50_000)
 
     return run
 
