@@ -2,51 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def new_path(spark: SparkSession) -> str:
-    """A path of no other use in the shared folder that spark.checkpoint.dir names; deleted when the driver ends.
-
-    Where that is unset and all runs on one machine, as in tests, in a temporary folder of this machine.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        root = _OWN.setdefault(app, _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    path = f"{root.rstrip('/')}/tidemark/{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
-def materialized(df: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared folder: lineage ends here."""
-    spark = df.sparkSession
-    path = new_path(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001, PERF203  the session has ended before
-            return
+from ..shared import forget, materialized, new_path  # noqa: F401  (others take new_path from here)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -56,14 +17,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     live = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
     live = materialized(live)
-    label = materialized(live.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    label = turn = materialized(live.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     for _ in count():
         near = live.join(label, live["b"] == label["id"]).groupBy("a").agg(F.min("component").alias("near"))
         best = label.join(near, label["id"] == near["a"]).select("id", F.least("component", "near").alias("best"), F.col("component").alias("old"))
         jump = label.select(F.col("id").alias("best"), F.col("component").alias("jump"))
         new = materialized(best.join(jump, "best", "left").select("id", F.least(F.col("best"), F.coalesce("jump", "best")).alias("component"), "old"))
-        label = new.select("id", "component")
+        forget(turn)
+        turn, label = new, new.select("id", "component")
         if new.where("component <> old").isEmpty():
+            forget(live)
             return label
 
 
@@ -124,18 +87,24 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, most_hops: int = 5, cost:
     for _ in range(most_hops):
         moved = best.join(step, "id").select("seed", F.col("to").alias("id"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops"))
         least = best.unionByName(moved).groupBy("seed", "id").agg(F.min(F.struct("cost", "hops")).alias("m"))
-        best = materialized(least.select("seed", "id", "m.cost", "m.hops"))
+        new = materialized(least.select("seed", "id", "m.cost", "m.hops"))
+        forget(best)
+        best = new
     return best
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, avg_degree, density, components."""
+    """One row: nodes, edges, avg_degree, density, components.
+
+    Components are those of all ids: of nodes, and of ends of edges, which need not be nodes. A node that no edge reaches is one.
+    """
     counts = nodes.agg(F.count("*").alias("n_nodes")).crossJoin(edges.agg(F.count("*").alias("n_edges")))
     found = connected_components(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
-    linked = found.agg(F.count_distinct("component").alias("c"), F.count("*").alias("m"))
+    alone = nodes.select("id").distinct().join(found, "id", "left_anti").agg(F.count("*").alias("alone"))
+    linked = found.agg(F.count_distinct("component").alias("c")).crossJoin(alone)
     n, e = F.col("n_nodes"), F.col("n_edges")
     return counts.crossJoin(linked).select(
-        n, e, F.when(n > 0, 2 * e / n).otherwise(0.0).alias("avg_degree"), F.when(n > 1, e / (n * (n - 1))).otherwise(0.0).alias("density"), (F.col("c") + n - F.col("m")).alias("components")
+        n, e, F.when(n > 0, 2 * e / n).otherwise(0.0).alias("avg_degree"), F.when(n > 1, e / (n * (n - 1))).otherwise(0.0).alias("density"), (F.col("c") + F.col("alone")).alias("components")
     )
 
 
@@ -152,12 +121,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, turns: i
     share = materialized(edges.join(out, "source_id").where("total > 0").groupBy("source_id", "target_id", "total").agg(F.sum("weight").alias("w")).select("source_id", "target_id", (F.col("w") / F.col("total")).alias("share")))
     ids = nodes.select("id").distinct()
     n = ids.count()
-    rank = materialized(ids.select("id", F.lit(1.0 / max(n, 1)).alias("rank")))
+    rank = turn = materialized(ids.select("id", F.lit(1.0 / max(n, 1)).alias("rank")))
     for _ in range(turns):
         got = rank.join(share, rank["id"] == share["source_id"]).groupBy("target_id").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = rank.join(got, rank["id"] == got["target_id"], "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
         new = materialized(new)
-        rank = new.select("id", "rank")
+        forget(turn)
+        turn, rank = new, new.select("id", "rank")
         if (new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tolerance:
             break
     return rank

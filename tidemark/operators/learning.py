@@ -44,18 +44,22 @@ def patterns(facts: DataFrame) -> DataFrame:
     return grouped.select(
         "correlation_id", kind.alias("pattern_type"), "plan_steps", (F.col("errors") > 0).alias("has_errors"), F.greatest(F.lit(0), F.col("runs") - F.col("plan_steps")).alias("retry_count"), rate.alias("success_rate"),
         F.col("errors").alias("error_count"), F.when(F.col("plan_steps") > 0, F.col("runs") / F.col("plan_steps")).otherwise(0.0).alias("completion_rate"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("runs") / 10) - 0.1 * F.col("errors")).alias("confidence"),
+        (F.greatest(F.lit(0), F.least(F.lit(10), F.col("runs")) - F.col("errors")) / 10).alias("confidence"),
     )
 
 
 def pattern_groups(found: DataFrame, least_frequency: int = 5, least_confidence: float = 0.6) -> DataFrame:
-    """Patterns by their conditions: frequency, mean outcomes and confidence; the type is that of the first group. Rare and unsure ones go."""
+    """Patterns by their conditions: frequency, mean outcomes and confidence; the type is that of the first group. Rare and unsure ones go.
+
+    Confidences are tenths: they are added up as such, so that a mean at the threshold isn't lost to a last digit.
+    """
+    tenths = F.sum(F.round(F.col("confidence") * 10).cast("long"))
     out = found.groupBy("plan_steps", "has_errors", "retry_count").agg(
         F.count("*").alias("frequency"), F.min_by("pattern_type", "correlation_id").alias("pattern_type"), F.avg("success_rate").alias("success_rate"), F.avg("error_count").alias("error_count"),
-        F.avg("completion_rate").alias("completion_rate"), F.avg("confidence").alias("confidence"),
+        F.avg("completion_rate").alias("completion_rate"), (tenths / (10 * F.count("*"))).alias("confidence"), (tenths / 10 >= F.round(F.count("*") * least_confidence, 9)).alias("__tm_sure"),
     )
     named = F.substring(F.md5(F.to_json(F.struct("plan_steps", "has_errors", "retry_count")).cast("binary")), 1, 8)
-    return out.where((F.col("frequency") >= least_frequency) & (F.col("confidence") >= least_confidence)).withColumn("pattern_id", named)
+    return out.where((F.col("frequency") >= least_frequency) & F.col("__tm_sure")).drop("__tm_sure").withColumn("pattern_id", named)
 
 
 def forest(features: DataFrame, columns: list[str], label: str = "label", trees: int = 20, depth: int = 5, seed: int = 42):  # noqa: ANN201  (a fitted model)

@@ -329,3 +329,14 @@ def average_cost(trades_: DataFrame, by: str, ts: str, *ties: str) -> DataFrame:
 
     out = trades_.groupBy(by).agg(ordered.alias("o")).select(by, F.aggregate("o", start, step).alias("e"))
     return out.select(by, F.col("e.q").alias("remaining"), F.col("e.c").alias("cost"), F.try_divide(F.col("e.c"), F.col("e.q")).alias("entry_price"))
+
+
+def day_stats(candles: DataFrame, by: str = "symbol") -> DataFrame:
+    """(by, day_high, day_low, day_volume, day_change: in percent of the open) of each symbol's last candle."""
+    last = candles.groupBy(by).agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "ts").alias("c"))
+    return last.select(by, F.col("c.high").alias("day_high"), F.col("c.low").alias("day_low"), F.col("c.volume").alias("day_volume"), (F.try_divide(F.col("c.close") - F.col("c.open"), F.col("c.open")) * 100).alias("day_change"))
+
+
+def tickers_with_stats(tickers: DataFrame, stats: DataFrame, by: str = "symbol") -> DataFrame:
+    """Each ticker with its symbol's statistics; null where there are none."""
+    return tickers.join(stats, by, "left")

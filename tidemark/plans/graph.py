@@ -80,15 +80,22 @@ def _flow(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE e AS ({_FLOW}), r AS (SELECT range AS seed, range AS id, 0.0::DOUBLE AS cost, 0 AS hops FROM range(0, 200, 20) UNION ALL (SELECT seed, target_id, min(cost + weight), hops + 1 FROM r JOIN e ON source_id = id WHERE hops < 3 GROUP BY seed, target_id, hops))
-  SELECT seed, id, round(min(cost), 6) AS cost FROM r GROUP BY 1, 2""")
+  SELECT seed, id, round(min(cost), 8) AS cost FROM r GROUP BY 1, 2""")
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Weights are multiples of 2e-8, and so are costs: at eight digits nothing is halfway."""
     seeds = spark.range(0, 200, 20)
-    return G.shortest_paths(_flow(spark, d), seeds, 3).select("seed", "id", F.round("cost", 6).alias("cost"))
-
-
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT source_id AS x, target_id AS y FROM e UNION SELECT target_id, source_id FROM e), n AS ({_NODES}), g AS (SELECT x AS id, x AS reach FROM b UNION SELECT g.id, b.y FROM g JOIN b ON b.x = g.reach), c AS (SELECT id, min(reach) AS k FROM g GROUP BY 1),
-  t AS (SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, (SELECT count(DISTINCT k) FROM c) + (SELECT count(*) FROM n) - (SELECT count(*) FROM c) AS components)
-  SELECT n_nodes, n_edges, round(2 * n_edges / n_nodes, 6) AS avg_degree, round(n_edges / (n_nodes * (n_nodes - 1)), 6) AS density, components FROM t""")
+    return G.shortest_paths(_flow(spark, d), seeds, 3).select("seed", "id", F.round("cost", 8).alias("cost"))
+
+
+# Components by definition: each id, a node or the end of an edge, and all that it reaches.
+@query(f"""
+WITH RECURSIVE e AS ({_EDGES}), n AS ({_NODES}),
+  b AS (SELECT source_id AS x, target_id AS y FROM e UNION SELECT target_id, source_id FROM e),
+  every AS (SELECT id FROM n UNION SELECT x FROM b),
+  g AS (SELECT id, id AS reach FROM every UNION SELECT g.id, b.y FROM g JOIN b ON b.x = g.reach),
+  c AS (SELECT id, min(reach) AS k FROM g GROUP BY id),
+  t AS (SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, (SELECT count(DISTINCT k) FROM c) AS components)
+SELECT n_nodes, n_edges, round(2 * n_edges / n_nodes, 6) AS avg_degree, round(n_edges / (n_nodes * (n_nodes - 1)), 6) AS density, components FROM t""")
 def graph_statistics(spark: SparkSession, d: str) -> DataFrame:
     return G.stats(_nodes(spark, d), _edges(spark, d)).withColumns({"avg_degree": F.round("avg_degree", 6), "density": F.round("density", 6)})
 
@@ -214,7 +221,7 @@ def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 _P = f"""{_F}, g AS (SELECT correlation_id, count(*) FILTER (kind = 'Fact:Execution') AS n, coalesce(arg_min(plan_steps, (ts, id)) FILTER (kind = 'Fact:Plan'), 0) AS ps, count(*) FILTER (kind = 'Fact:Plan') AS pl, count(*) FILTER (kind = 'Fact:Error') AS er, count(*) FILTER (kind = 'Fact:Execution' AND success) AS good FROM f GROUP BY 1 HAVING pl > 0),
-  p AS (SELECT correlation_id, CASE WHEN n = 0 THEN 'neutral' WHEN good >= n * 0.8 THEN 'success' WHEN er > 0 OR good < n * 0.5 THEN 'failure' ELSE 'neutral' END AS pattern_type, ps AS plan_steps, er > 0 AS has_errors, greatest(0, n - ps) AS retry_count, CASE WHEN n > 0 THEN good / n ELSE 0 END AS success_rate, er AS error_count, CASE WHEN ps > 0 THEN n / ps ELSE 0 END AS completion_rate, greatest(0, least(1, n / 10) - 0.1 * er) AS confidence FROM g)"""
+  p AS (SELECT correlation_id, CASE WHEN n = 0 THEN 'neutral' WHEN good >= n * 0.8 THEN 'success' WHEN er > 0 OR good < n * 0.5 THEN 'failure' ELSE 'neutral' END AS pattern_type, ps AS plan_steps, er > 0 AS has_errors, greatest(0, n - ps) AS retry_count, CASE WHEN n > 0 THEN good / n ELSE 0 END AS success_rate, er AS error_count, CASE WHEN ps > 0 THEN n / ps ELSE 0 END AS completion_rate, greatest(0, least(10, n) - er) AS tenths FROM g)"""
 
 
 @query(f"WITH {_P} SELECT correlation_id, pattern_type, plan_steps, has_errors, retry_count, round(success_rate, 6) AS success_rate, error_count, round(completion_rate, 6) AS completion_rate FROM p")
@@ -222,7 +229,7 @@ def pattern_identification(spark: SparkSession, d: str) -> DataFrame:
     return L.patterns(_facts(spark, d)).drop("confidence").withColumns({"success_rate": F.round("success_rate", 6), "completion_rate": F.round("completion_rate", 6)})
 
 
-@query(f"WITH {_P} SELECT plan_steps, has_errors, retry_count, count(*) AS frequency, arg_min(pattern_type, correlation_id) AS pattern_type, round(avg(success_rate), 6) AS success_rate FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND avg(confidence) >= 0.1")
+@query(f"WITH {_P} SELECT plan_steps, has_errors, retry_count, count(*) AS frequency, arg_min(pattern_type, correlation_id) AS pattern_type, round(avg(success_rate), 6) AS success_rate FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND sum(tenths) >= count(*)")
 def pattern_aggregation(spark: SparkSession, d: str) -> DataFrame:
     out = L.pattern_groups(L.patterns(_facts(spark, d)), 5, 0.1)
     return out.select("plan_steps", "has_errors", "retry_count", "frequency", "pattern_type", F.round("success_rate", 6).alias("success_rate"))

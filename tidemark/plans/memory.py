@@ -11,11 +11,12 @@ from ..functions import json as J
 from ..functions import market as M
 from ..functions import text as X
 from ..functions import time as TM
+from ..operators import market as K
 from ..operators import quality as Q
 from ..operators import sessions as N
 from ..operators import telemetry as T
 from ..sources.readers import strip_html as strip
-from ..sources.tables import MESSAGES_SQL, SIGNALS_SQL, load, messages, signals
+from ..sources.tables import CANDLES_SQL, MESSAGES_SQL, SIGNALS_SQL, candles, load, messages, signals
 from .registry import query
 
 _MENTIONS = "SELECT event_type AS type, CAST(json_extract(props, '$.k') AS VARCHAR) AS value, 'chat' || CAST(user_id % 10 AS VARCHAR) AS chat, ts FROM events"
@@ -84,13 +85,16 @@ def summary_quality_score(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.round(Q.summary_score(F.col("n_chars"), k % 5, k % 4, k % 3, k % 3, F.col("lang") == "en"), 4).alias("score"))
 
 
-@query("""SELECT o_custkey, round(sum(o_totalprice), 2) AS invested, round(sum(o_totalprice * (o_orderkey % 21 - 10) / 100) + 1e-5, 2) AS pnl, arg_max(o_orderkey, (o_orderkey % 21 - 10, o_orderkey)) AS best, arg_min(o_orderkey, (o_orderkey % 21 - 10, o_orderkey)) AS worst,
-  CASE WHEN count(*) > 5 THEN 'high' WHEN count(*) > 3 THEN 'medium' ELSE 'low' END AS risk FROM orders GROUP BY 1""")
+@query("""
+SELECT o_custkey, round(sum(o_totalprice), 2) AS invested, round(sum(o_totalprice * (o_orderkey % 21 - 10) / 100) + 1e-5, 2) AS pnl,
+       round(sum(o_totalprice * (o_orderkey % 21 - 10) / 100) / sum(o_totalprice) * 100, 6) AS pnl_pct,
+       CASE WHEN count(*) > 5 THEN 'high' WHEN count(*) > 3 THEN 'medium' ELSE 'low' END AS risk
+FROM orders GROUP BY 1""")
 def portfolio_summary(spark: SparkSession, d: str) -> DataFrame:
     move = F.col("o_orderkey") % 21 - 10
-    rows = load(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("symbol"), F.col("o_totalprice").alias("invested"), move.alias("move"))
-    out = rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("invested"), 2).alias("invested"), F.round(F.sum(F.col("invested") * F.col("move") / 100) + 1e-5, 2).alias("pnl"), F.max_by("symbol", F.struct("move", "symbol")).alias("best"), F.min_by("symbol", F.struct("move", "symbol")).alias("worst"))
-    return out.select("o_custkey", "invested", "pnl", "best", "worst", F.when(F.col("n") > 5, "high").when(F.col("n") > 3, "medium").otherwise("low").alias("risk"))
+    rows = load(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("symbol"), F.col("o_totalprice").alias("invested"), (F.col("o_totalprice") + F.col("o_totalprice") * move / 100).alias("value"))
+    out = Q.portfolio_summary(rows, "o_custkey")
+    return out.select("o_custkey", F.round("invested", 2).alias("invested"), F.round(F.col("pnl") + 1e-5, 2).alias("pnl"), F.round("pnl_pct", 6).alias("pnl_pct"), "risk")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 41 - 20 <= -10 THEN 'close_loss' WHEN o_orderkey % 41 - 20 >= 15 THEN 'close_profit' ELSE 'hold' END AS action FROM orders")
@@ -282,7 +286,13 @@ def window_duration(spark: SparkSession, d: str) -> DataFrame:
     return T.last_days(load(spark, d, "events"), datetime(2024, 1, 20), "2d").select("event_id")
 
 
-@query("SELECT n_name, s.n AS suppliers, c.n AS customers FROM nation LEFT JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON s.k = n_nationkey LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c ON c.k = n_nationkey")
+@query(f"""
+WITH c AS ({CANDLES_SQL}),
+  day AS (SELECT symbol, arg_max(high, ts) AS day_high, arg_max(low, ts) AS day_low, arg_max(volume, ts) AS day_volume, arg_max((close - open) / open * 100, ts) AS day_change FROM c GROUP BY symbol)
+SELECT o_orderkey, o_orderpriority AS symbol, o_totalprice / 1000 + 1000 AS price, round(day_high, 6) AS day_high, round(day_low, 6) AS day_low, day_volume, round(day_change, 6) AS day_change
+FROM orders LEFT JOIN day ON symbol = o_orderpriority""")
 def tickers_with_stats(spark: SparkSession, d: str) -> DataFrame:
-    count = lambda t, key, name: load(spark, d, t).groupBy(F.col(key).alias("n_nationkey")).agg(F.count("*").alias(name))
-    return load(spark, d, "nation").join(count("supplier", "s_nationkey", "suppliers"), "n_nationkey", "left").join(count("customer", "c_nationkey", "customers"), "n_nationkey", "left").select("n_name", "suppliers", "customers")
+    """Prices of orders as tickers of their priority, with its last day's statistics."""
+    tickers = load(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("symbol"), (F.col("o_totalprice") / 1000 + 1000).alias("price"))
+    out = K.tickers_with_stats(tickers, K.day_stats(candles(spark, d)))
+    return out.select("o_orderkey", "symbol", "price", *(F.round(c, 6).alias(c) for c in ("day_high", "day_low")), "day_volume", F.round("day_change", 6).alias("day_change"))

@@ -216,6 +216,14 @@ def near_duplicate_vectors(spark: SparkSession, d: str) -> DataFrame:
     return V.near_existing(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0"), 0.4)
 
 
+@query()
+def hdbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters by density, of five vectors or more; tests hold the labels against a plain version."""
+    from ..operators import density
+
+    return density.hdbscan(load(spark, d, "embeddings"), 5)
+
+
 @query()
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.clustering import KMeans

@@ -213,12 +213,21 @@ def embedding_parts(spark: SparkSession, d: str) -> DataFrame:
     return N.embedding_groups(messages(spark, d), "chat", ["ts", "id"], 30, 20).select("id", "chat", F.col("part_no").cast("long").alias("part_no"))
 
 
-@query(f"SELECT chat, strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS size FROM ({MESSAGES_SQL}) GROUP BY 1, 2")
+@query(f"""
+WITH RECURSIVE m AS (
+  SELECT chat, strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, length(text) AS size,
+         row_number() OVER (PARTITION BY chat, date_trunc('week', ts) ORDER BY ts, id) AS k FROM ({MESSAGES_SQL})),
+  r AS (
+  SELECT chat, period, k, size AS held, size, 0 AS part_no FROM m WHERE k = 1
+  UNION ALL
+  SELECT m.chat, m.period, m.k, CASE WHEN held + m.size > 2000 THEN m.size ELSE held + m.size END, m.size, CASE WHEN held + m.size > 2000 THEN part_no + 1 ELSE part_no END
+  FROM r JOIN m ON m.chat = r.chat AND m.period = r.period AND m.k = r.k + 1)
+SELECT chat, period, CAST(part_no AS BIGINT) AS part_no, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM r GROUP BY ALL""")
 def hybrid_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Weeks, cut where they pass a budget; the parts of a week together are the week again."""
+    """The parts of weeks, cut where they pass a budget."""
     rows = messages(spark, d).withColumn("size", F.length("text").cast("long"))
     parts = N.hybrid_groups(rows, "chat", "ts", "size", "id", window="week", most=2000)
-    return parts.groupBy("chat", "period").agg(F.sum("n").cast("long").alias("n"), F.sum("size").cast("long").alias("size"))
+    return parts.select("chat", "period", F.col("part_no").cast("long").alias("part_no"), F.col("n").cast("long").alias("n"), F.col("size").cast("long").alias("size"))
 
 
 @query(f"SELECT id, (date_sub('second', p, ts) > 86400) OR (CAST(p AS DATE) <> CAST(ts AS DATE) AND date_sub('second', p, ts) > 7200) AS is_new FROM (SELECT id, ts, lag(ts) OVER (PARTITION BY chat ORDER BY ts, id) AS p FROM ({MESSAGES_SQL})) WHERE p IS NOT NULL")
@@ -339,8 +348,19 @@ def analysis_comparison(spark: SparkSession, d: str) -> DataFrame:
     return Q.comparison(load(spark, d, "events"), "user_id", "ts", "value", "event_id").withColumn("change", F.round("change", 6))
 
 
-@query(f"SELECT chat, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, min(ts) AS start, max(ts) AS \"end\" FROM ({MESSAGES_SQL}) GROUP BY 1, 2")
+@query(f"""
+WITH RECURSIVE m AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM ({MESSAGES_SQL})),
+  g AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) > 14400000000 THEN 1 ELSE 0 END AS nw FROM m WINDOW w AS (PARTITION BY chat, day ORDER BY ts, id)),
+  s AS (SELECT *, sum(nw) OVER (PARTITION BY chat, day ORDER BY ts, id) AS natural_no FROM g),
+  p AS (SELECT chat, day, natural_no, count(*) AS n, min(ts) AS b, max(ts) AS e, row_number() OVER (PARTITION BY chat, day ORDER BY natural_no) AS k FROM s GROUP BY chat, day, natural_no),
+  r AS (
+  SELECT chat, day, k, n, b, e, n AS held, 1 AS part_no FROM p WHERE k = 1
+  UNION ALL
+  SELECT p.chat, p.day, p.k, p.n, p.b, p.e, CASE WHEN held >= 5 THEN p.n ELSE held + p.n END, CASE WHEN held >= 5 THEN part_no + 1 ELSE part_no END
+  FROM r JOIN p ON p.chat = r.chat AND p.day = r.day AND p.k = r.k + 1)
+SELECT chat, day, CAST(part_no AS INTEGER) AS part_no, chat || '-' || day || '-' || lpad(CAST(part_no AS VARCHAR), 2, '0') AS child_id,
+       CAST(sum(n) AS BIGINT) AS n, min(b) AS start, max(e) AS "end" FROM r GROUP BY ALL""")
 def expanded_day_groups(spark: SparkSession, d: str) -> DataFrame:
-    """The parts of each day, put together again: nothing is lost or moved to another day."""
+    """The parts of each day."""
     parts = N.expanded_days(messages(spark, d), "chat", "ts", "id")
-    return parts.groupBy("chat", "day").agg(F.sum("n").cast("long").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return parts.select("chat", "day", "part_no", "child_id", F.col("n").cast("long").alias("n"), "start", "end")

@@ -33,10 +33,10 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query(r"""SELECT page_id, list_distinct(regexp_extract_all(html, 'https?://[^\s<>"{}|\\^`\[\]]+')).len() AS n_urls, CAST(len(list_distinct(regexp_extract_all(html, '@([0-9A-Za-z_]+)', 1))) AS BIGINT) AS n_mentions FROM pages""")
+@query(r"""SELECT page_id, list_distinct(regexp_extract_all(html, 'https?://[^\s<>"{}|\\^`\[\]]+')).len() AS n_urls, CAST(len(list_distinct(list_transform(regexp_extract_all(html, '@([0-9A-Za-z_]+)', 1), lambda x: lower(x)))) AS BIGINT) AS n_mentions FROM pages""")
 def extract_urls_mentions(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("html")
-    return _pages(spark, d).select("page_id", F.size(X.urls(h)).cast("long").alias("n_urls"), F.size(F.array_distinct(X.extract_all(h, X.MENTION, 1))).cast("long").alias("n_mentions"))
+    return _pages(spark, d).select("page_id", F.size(X.urls(h)).cast("long").alias("n_urls"), F.size(X.mentions(h)).cast("long").alias("n_mentions"))
 
 
 @query(r"""SELECT page_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, 'https?://[^\s<>"{}|\\^`\[\]]+'), lambda u: regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), lambda x: x <> ''))) AS domains FROM pages""")
@@ -44,10 +44,19 @@ def extract_domains(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", F.array_sort(X.domains(X.urls(F.col("html")))).alias("domains"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\d+')) AS BIGINT) AS runs, CAST(len(regexp_extract_all(text, '(?i)[\w\-]+\.(?:jpg|jpeg|png|gif|pdf|doc|docx|xls|xlsx|zip|rar|mp4|mp3|wav)')) AS BIGINT) AS files FROM documents""")
+@query(r"""
+WITH n AS (
+  SELECT doc_id, regexp_extract_all(text, '(?i)\b(\d+(?:[.,]\d+)?)\s*([%$€₽¥£]|USD|EUR|RUB|TON|BTC|ETH)?\b', 1) AS originals,
+         list_filter(regexp_extract_all(text, '(?i)\b(\d+(?:[.,]\d+)?)\s*([%$€₽¥£]|USD|EUR|RUB|TON|BTC|ETH)?\b', 2), lambda x: x <> '') AS units,
+         regexp_extract_all(text, '(?i)\b[\w\-]+\.(jpg|jpeg|png|gif|pdf|doc|docx|xls|xlsx|zip|rar|mp4|mp3|wav)\b') AS files FROM documents)
+SELECT doc_id, originals, units, list_max(list_transform(originals, lambda x: CAST(replace(x, ',', '.') AS DOUBLE))) AS largest, list_sort(list_distinct(files)) AS files FROM n
+""")
 def extract_numbers_files(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return load(spark, d, "documents").select("doc_id", F.size(X.extract_all(t, r"\d+")).cast("long").alias("runs"), F.size(X.extract_all(t, r"[\w\-]+\.(?:jpg|jpeg|png|gif|pdf|doc|docx|xls|xlsx|zip|rar|mp4|mp3|wav)", 0, True)).cast("long").alias("files"))
+    found = load(spark, d, "documents").select("doc_id", X.numbers(t).alias("n"), F.array_sort(X.files(t)).alias("files"))
+    largest = F.array_max(F.transform("n", lambda x: x["value"]))
+    units = F.array_compact(F.transform("n", lambda x: x["unit"]))
+    return found.select("doc_id", F.transform("n", lambda x: x["original"]).alias("originals"), units.alias("units"), largest.alias("largest"), "files")
 
 
 @query()
