@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._shared import materialize
 from .runs import coded, lowered, name_hashes, runs, salted
 from .sketch import SCHEMA, Counts, merged
-from .text import chunks
+from .text import chunks, feature_hashes
 
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 WORDS = lowered(BREAKS + b"\x20\x09")
@@ -148,7 +148,20 @@ def _added(tables: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(tables).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "words", "phrase", "n"])
 
 
-def _counter(reached: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packs(table: pa.Table, parts: int) -> pa.RecordBatch:
+    """A row for each part of phrases, by hash: lists of languages, words, phrases and counts."""
+    table = table.combine_chunks()
+    columns = [table.column(c).combine_chunks() for c in ("lang", "words", "phrase", "n")]
+    key = salted(salted(feature_hashes(columns[2]), name_hashes(columns[0])), 1)
+    part = (key % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    begins = np.flatnonzero(np.diff(part[order], prepend=-1))
+    offsets = pa.array(np.append(begins, len(order)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, c.take(pa.array(order))) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(part[order[begins]].astype(np.int32)), *lists], names=["part", "lang", "words", "phrase", "n"])
+
+
+def _counter(reached: Broadcast, parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's shards, their phrases added up before they leave it, as long as that makes fewer of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,19 +176,41 @@ def _counter(reached: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterato
             if sum(t.num_rows for t in held) > GATHER:
                 held = [_added(held)]
                 if held[0].num_rows > GATHER // 2:
-                    yield from held.pop().to_batches(max_chunksize=50_000)
+                    yield _packs(held.pop(), parts)
+        if held:
+            yield _packs(_added(held), parts)
+
+    return run
+
+
+def _total(least: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All packs of a part added up, as they come; what stays below `least` ends here."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(pa.table({c: batch.column(c).flatten() for c in ("lang", "words", "phrase", "n")}))
+            size += held[-1].num_rows
+            if size > 2 * GATHER:
+                held = [_added(held)]
+                size = held[0].num_rows - GATHER  # so that what is distinct isn't added up again at once
         if held:
-            yield from _added(held).to_batches(max_chunksize=50_000)
+            every = _added(held)
+            yield from every.filter(pc.or_(pc.equal(every.column("words"), 0), pc.greater_equal(every.column("n"), least))).to_batches(max_chunksize=50_000)
 
     return run
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, bits: int = BITS) -> DataFrame:
-    """(lang, words, phrase, n): phrases of 1 to 5 words that occur `least` times or more; and with 0 words all words of the language."""
+    """(lang, words, phrase, n): phrases of 1 to 5 words that occur `least` times or more; and with 0 words all words of the language.
+
+    Tasks' counts travel in packs, by hash of language and phrase, to the task that adds them up: four packs a task for each partition of a shuffle.
+    """
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
     reached = merged(docs.mapInArrow(_sketcher(bits), SCHEMA), ROWS, bits, least)
-    found = docs.mapInArrow(_counter(reached), "lang string, words int, phrase string, n long")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= least))
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packs = docs.mapInArrow(_counter(reached, parts), "part int, lang array<string>, words array<int>, phrase array<string>, n array<long>")
+    return packs.repartition("part").mapInArrow(_total(least), "lang string, words int, phrase string, n long")
 
 
 def collocations(docs: DataFrame, least: int = 100, percent: int = 100, top: int = 2000, bits: int = BITS) -> DataFrame:
