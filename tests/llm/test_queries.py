@@ -31,7 +31,8 @@ KIND = {c: k for k, cs in KINDS.items() for c in cs.split()}
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_rows_are_those_of_duckdb(spark, data_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data_dir}/documents.parquet'")
+    for t in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data_dir}/{t}.parquet'")
     want = con.sql(Q.oracle_sql()[name]).df()
     got = Q.queries()[name](spark, data_dir).toPandas()
     rows = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(df)].itertuples(index=False))
@@ -47,5 +48,5 @@ def test_columns_and_rows(spark, data_dir, name):
     assert out.select("doc_id").distinct().count() == n
 
 
-def test_all_ten_are_there():
-    assert [sum(name.startswith(f"op{n}_") for name in Q.queries()) for n in range(1, 11)] == [1] * 10
+def test_all_thirteen_are_there():
+    assert [sum(name.startswith(f"op{n}_") for name in Q.queries()) for n in range(1, 14)] == [1] * 13
