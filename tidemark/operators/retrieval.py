@@ -48,6 +48,28 @@ def retrieval(edges: DataFrame, candidates: DataFrame, n: int = 20) -> DataFrame
     return f.select("id", final.alias("final")).orderBy(F.desc("final"), "id").limit(n)
 
 
+def composed(edges: DataFrame, candidates: DataFrame, n: int = 20, most: int = 50, width: int = 5, depth: int = 2, keep: float = 0.7) -> DataFrame:
+    """(id, place, fast, final): the whole pipeline over candidates (id, score, ts, embedding, and `cross`, a second score, if there is one).
+
+    The best `most` by score are candidates. Each gets `fast` (see `retrieval`) from the graph that they span; beams over that graph take
+    those on the best ways; `final` adds the second score; the n results are chosen in turn for 0.7 final less 0.3 the largest cosine to
+    those before. All but the scan of candidates and edges is bounded by `most`. Ties: the smaller id.
+    """
+    from .search import mmr
+
+    few = materialized(candidates.orderBy(F.desc("score"), "id").limit(most))
+    ids = few.select("id")
+    own = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    own = materialized(own)
+    f = candidate_features(own, few)
+    fast = materialized(f.select("id", (0.55 * F.col("score") + 0.20 * F.col("ppr") + 0.15 * F.col("recency") + 0.10 * F.col("centrality")).alias("fast")))
+    way = beam(own, fast.select("id", F.round("fast", 9).alias("score")), width, depth)
+    cross = F.coalesce("cross", F.lit(0.0)) if "cross" in few.columns else F.lit(0.0)
+    ranked = few.join(fast, "id").join(way.select("id"), "id", "left_semi").select("id", "embedding", "fast", (F.col("fast") + cross).alias("final"))
+    chosen = mmr(ranked.select("id", F.round("final", 9).alias("score"), "embedding"), n, most, keep)
+    return chosen.join(ranked.select("id", "fast", "final"), "id").select("id", "place", "fast", "final")
+
+
 def beam(edges: DataFrame, scores: DataFrame, width: int = 5, depth: int = 2) -> DataFrame:
     """(id, place): candidates (id, score) on the best paths: from the best `width`, each turn the best `width` new neighbours among candidates.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import learning as L
+from ..operators import paths as P
 from ..operators import sessions as N
 from ..sources.tables import FACTS_SQL, MESSAGES_SQL, facts, load, messages
 from .registry import query
@@ -105,6 +106,48 @@ def degree_centrality(spark: SparkSession, d: str) -> DataFrame:
     return G.degree_centrality(_edges(spark, d)).withColumn("centrality", F.round("centrality", 6))
 
 
+# Walks by length: those of the least length between two nodes are their shortest paths. A node is on as many of them as the product of
+# the paths from either end, where the distances add up. Suppliers and kinds are never more than six steps apart.
+@query(f"""
+WITH RECURSIVE e AS ({_EDGES}), n AS ({_NODES}),
+  b AS MATERIALIZED (SELECT source_id AS x, target_id AS y FROM e UNION SELECT target_id, source_id FROM e),
+  every AS (SELECT id FROM n UNION SELECT x FROM b),
+  w AS (SELECT x AS s, x AS t, 0 AS h, 1.0::DOUBLE AS k FROM (SELECT DISTINCT x FROM b)
+        UNION ALL
+        SELECT s, y, h + 1, sum(k) FROM w JOIN b ON x = t WHERE h < 6 GROUP BY s, y, h),
+  p AS MATERIALIZED (SELECT s, t, min(h) AS far, arg_min(k, h) AS paths FROM w GROUP BY s, t),
+  v AS (SELECT i.t AS id, sum(i.paths * o.paths / p.paths) AS share
+        FROM p i JOIN p o ON o.s = i.t JOIN p ON p.s = i.s AND p.t = o.t AND p.far = i.far + o.far
+        WHERE i.s <> i.t AND o.s <> o.t AND i.s <> o.t GROUP BY 1)
+SELECT every.id, round(coalesce(share, 0) / ((SELECT count(*) FROM every) - 1) / ((SELECT count(*) FROM every) - 2), 8) AS betweenness
+FROM every LEFT JOIN v ON v.id = every.id""")
+def betweenness_centrality(spark: SparkSession, d: str) -> DataFrame:
+    return P.betweenness(_nodes(spark, d), _edges(spark, d)).withColumn("betweenness", F.round("betweenness", 8))
+
+
+_BONDS = """SELECT l_suppkey AS source_id, 100000 + l_partkey % 300 AS target_id, max(l_returnflag) AS type, max(l_discount) + 0.5 AS weight FROM lineitem GROUP BY 1, 2"""
+
+
+# All ways of one and of three steps (both ends are of different kinds, so that there are none of two), the best three of each pair.
+@query(f"""
+WITH e AS MATERIALIZED ({_BONDS}),
+  pair AS (SELECT s_suppkey AS s, 100000 + s_suppkey % 300 AS t FROM supplier WHERE s_suppkey % 20 = 0),
+  p AS (
+  SELECT s, t, 1 AS length, weight AS strength, [s, t] AS nodes, [type] AS types FROM pair JOIN e ON source_id = s AND target_id = t
+  UNION ALL
+  SELECT s, t, 3, a.weight * b.weight * c.weight, [s, a.target_id, b.source_id, t], [a.type, b.type, c.type]
+  FROM pair JOIN e a ON a.source_id = s JOIN e b ON b.target_id = a.target_id JOIN e c ON c.source_id = b.source_id AND c.target_id = t
+  WHERE a.target_id <> t AND b.source_id <> s),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY s, t ORDER BY length, round(strength, 9) DESC, nodes) AS INTEGER) AS rank FROM p)
+SELECT s AS source, t AS target, rank, length, round(strength, 6) AS strength, nodes, types FROM r WHERE rank <= 3""")
+def best_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The three best ways from each twentieth supplier to a kind of part, over suppliers and kinds alike."""
+    rows = load(spark, d, "lineitem")
+    bonds = rows.groupBy(F.col("l_suppkey").alias("source_id"), (F.lit(100000) + F.col("l_partkey") % 300).alias("target_id")).agg(F.max("l_returnflag").alias("type"), (F.max("l_discount") + 0.5).alias("weight"))
+    pairs = _seeds(spark, d).select(F.col("id").alias("source"), (F.lit(100000) + F.col("id") % 300).alias("target"))
+    return P.find_paths(bonds, pairs, directed=False).withColumn("strength", F.round("strength", 6))
+
+
 @query(f"""WITH RECURSIVE e AS ({_FLOW}), o AS (SELECT source_id, sum(weight) AS total FROM e GROUP BY 1), s AS (SELECT e.source_id, target_id, weight / total AS share FROM e JOIN o USING (source_id)), n AS (SELECT DISTINCT id FROM (SELECT source_id AS id FROM e UNION SELECT target_id FROM e)),
   r AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank, 0 AS k FROM n UNION ALL SELECT n.id, 0.15::DOUBLE / (SELECT count(*) FROM n) + 0.85::DOUBLE * coalesce(sum(r.rank * s.share), 0), max(t.k) + 1 FROM (SELECT DISTINCT k FROM r) t CROSS JOIN n LEFT JOIN s ON s.target_id = n.id LEFT JOIN r ON r.id = s.source_id WHERE t.k < 20 GROUP BY n.id)
   SELECT id, round(rank, 8) AS rank FROM r WHERE k = 20""")

@@ -26,6 +26,15 @@ _CAND = "SELECT user_id % 200 AS id, round(avg(value) / 100, 6) AS score, max(ts
 
 @query()
 def retrieval_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates, the graph that they span, beams and a choice of unlike ones; tests hold it against a plain version."""
+    vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = R.composed(_flow(spark, d), _candidates(spark, d).join(vectors, "id"))
+    return found.withColumns({"fast": F.round("fast", 6), "final": F.round("final", 6)})
+
+
+@query()
+def retrieval_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The best candidates by the weighted score alone."""
     return R.retrieval(_flow(spark, d), _candidates(spark, d)).withColumn("final", F.round("final", 6))
 
 

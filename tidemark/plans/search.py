@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import search as S
 from ..operators import vectors as V
+from ..operators.neighbors import NeighborIndex
+from ..shared import new_path
 from ..sources.tables import load
 from .registry import query
 
@@ -176,10 +178,14 @@ def knn_search_each(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def approximate_search(spark: SparkSession, d: str) -> DataFrame:
-    """All rows whose id is divisible by 20 as queries, through an index of 8 cells of which 6 are looked at."""
+    """All rows whose id is divisible by 20 as queries, through an index of sqrt(n) cells.
+
+    The given vectors have no clusters: three quarters of the cells are ranked by codes, and 100 rows a query are scored.
+    """
     e = load(spark, d, "embeddings")
-    centers = V.cells(e, 8)
-    return V.approximate(e.where("vec_id % 20 = 0"), V.indexed(e, centers), centers, 10, 6).withColumn("score", F.round("score", 6))
+    index = NeighborIndex.build(e, new_path(spark, "index"))
+    probes = -(-3 * len(index.cells.fine) // 4)
+    return index.search(e.where("vec_id % 20 = 0"), 10, probes, 100).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH RECURSIVE {_UNIT}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4),
@@ -218,10 +224,11 @@ def near_duplicate_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hdbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters by density, of five vectors or more; tests hold the labels against a plain version."""
+    """Clusters by density of the vectors' first two numbers, five or more; tests hold the labels against a plain version."""
     from ..operators import density
 
-    return density.hdbscan(load(spark, d, "embeddings"), 5)
+    e = load(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("embedding"))
+    return density.hdbscan(e, 5)
 
 
 @query()
