@@ -111,23 +111,68 @@ def running_mean(df: DataFrame, by: str, order: list[str], value: str) -> DataFr
     return df.withColumn("n", F.count(value).over(w)).withColumn("mean", F.avg(value).over(w))
 
 
+def folds(rows: DataFrame, by: str, n: int = 3) -> DataFrame:
+    """Adds `fold`, from 0: by the hash of a group, so that no group is in two folds. (CRC-32 of the group as text, modulo n.)"""
+    return rows.withColumn("fold", F.pmod(F.crc32(F.coalesce(F.col(by).cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int"))
+
+
+#: Trees, depths and least rows of a leaf that are tried: twelve combinations. (Spark's forests are at most 30 deep.)
+TREES, DEPTHS, LEAVES = (100, 200), (5, 10, 30), (1, 2)
+
+
+def cross_validated(features: DataFrame, columns: list[str], by: str, label: str = "label", n: int = 3, trees: tuple[int, ...] = TREES, depths: tuple[int, ...] = DEPTHS, leaves: tuple[int, ...] = LEAVES, seed: int = 42) -> tuple[DataFrame, dict]:
+    """(rows with `fold` and `prediction`, what was chosen): each row is predicted by a forest that has seen no row of its fold.
+
+    Spark's cross-validator chooses the combination of trees, depth and leaves with the best mean accuracy over the folds; then one forest a
+    fold is fitted on the other folds. Groups (`by`) stay together. The choice has trees, depth, leaf, accuracy and `tried`, all means.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from ..shared import materialized
+
+    rows = materialized(folds(features.select(by, *(c for c in columns if c != by), label), by, n), "folds")
+    made = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(rows)
+    tree = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed)
+    some = ParamGridBuilder().addGrid(tree.numTrees, list(trees)).addGrid(tree.maxDepth, list(depths)).addGrid(tree.minInstancesPerNode, list(leaves)).build()
+    judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    fitted = CrossValidator(estimator=tree, estimatorParamMaps=some, evaluator=judge, foldCol="fold", numFolds=n, parallelism=4).fit(made)
+    place = max(range(len(some)), key=lambda k: (fitted.avgMetrics[k], -k))
+    best = some[place]
+    out = None
+    for k in range(n):
+        model = tree.copy(best).fit(made.where(F.col("fold") != k))
+        one = model.transform(made.where(F.col("fold") == k)).select(*rows.columns, F.col("prediction").cast("int").alias("prediction"))
+        out = one if out is None else out.unionByName(one)
+    chosen = {"trees": best[tree.numTrees], "depth": best[tree.maxDepth], "leaf": best[tree.minInstancesPerNode], "accuracy": fitted.avgMetrics[place], "tried": list(fitted.avgMetrics)}
+    return out, chosen
+
+
 def permutation_importance(model, data: DataFrame, columns: list[str], label: str = "label", repeats: int = 5, seed: int = 42) -> dict[str, float]:  # noqa: ANN001
-    """How much accuracy a model loses, on average, when a column's values are dealt out anew among the rows."""
+    """How much accuracy a model loses, on average, when a column's values are dealt out anew among the rows.
+
+    Rows and values are numbered by ranges (see `ranks.ranked`), values in the order of a hash: no task sees them all.
+    """
     from pyspark.ml.feature import VectorAssembler
 
+    from ..shared import materialized
+    from .ranks import ranked
+
     assemble = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
 
     def accuracy(df: DataFrame) -> float:
         return model.transform(assemble.transform(df)).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0] or 0.0
 
-    rows = data.select(*columns, label).withColumn("__tm_n", F.monotonically_increasing_id())
-    number = lambda df, order: df.withColumn("__tm_k", F.row_number().over(Window.orderBy(*order)))
-    base, whole = number(rows, ["__tm_n"]), accuracy(data)
+    rows = materialized(data.select(*columns, label).withColumn("__tm_row", F.monotonically_increasing_id()), "rows")
+    base, whole = ranked(rows, "__tm_row", out="__tm_at"), accuracy(rows)
     lost = {}
     for column in columns:
         drops = []
         for k in range(repeats):
-            other = number(rows.select(column, "__tm_n"), [F.xxhash64("__tm_n", F.lit(seed + k))]).select("__tm_k", F.col(column).alias("__tm_v"))
-            drops.append(whole - accuracy(base.join(other, "__tm_k").withColumn(column, F.col("__tm_v"))))
+            dealt = rows.select(F.col(column).alias("__tm_v"), F.xxhash64("__tm_row", F.lit(seed + k)).alias("__tm_h"), "__tm_row")
+            other = ranked(dealt, "__tm_h", "__tm_row", out="__tm_at").select("__tm_at", "__tm_v")
+            drops.append(whole - accuracy(base.join(other, "__tm_at").withColumn(column, F.col("__tm_v"))))
         lost[column] = sum(drops) / repeats
     return lost

@@ -93,17 +93,33 @@ def backtest_summary(frame: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def tried(df: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """The moving average backtest of pairs of lengths (fast, slow): (symbol, fast, slow, and what `backtest_summary` has).
+
+    One pass over the candles makes the means of all lengths that occur; then each bar is a row for each pair, and a series of
+    (symbol, fast, slow) is simulated by itself.
+    """
+    if not pairs:
+        raise ValueError("no pairs of lengths")
+    used = {(a, b): (max(2, a), max(max(2, a) + 1, b)) for a, b in pairs}
+    lengths = sorted({n for p in used.values() for n in p})
+    means = df.select("symbol", "ts", "close", *(rolling(F.avg, "close", n).alias(f"__tm_{n}") for n in lengths))
+    entry = lambda p, s: F.struct(F.lit(p[0]).alias("fast"), F.lit(p[1]).alias("slow"), s.alias("s"))
+    listed = sorted(used)
+    crossed = F.array(*(entry(p, F.signum(F.col(f"__tm_{used[p][0]}") - F.col(f"__tm_{used[p][1]}"))) for p in listed))
+    first = F.array(*(entry(p, F.lit(None).cast("double")) for p in listed))
+    before = means.select("symbol", "ts", "close", crossed.alias("p")).withColumn("p", F.coalesce(F.lag("p").over(series()), first))
+    rows = before.select("symbol", "ts", "close", F.explode("p").alias("p")).select(F.struct("symbol", "p.fast", "p.slow").alias("symbol"), "ts", "close", F.coalesce("p.s", F.lit(0.0)).alias("position"))
+    out = backtest_summary(simulate(rows), "symbol")
+    return out.select("symbol.symbol", "symbol.fast", "symbol.slow", "total_return", "sharpe", "max_drawdown", "trades")
+
+
 def grid(df: DataFrame, fasts: list[int], slows: list[int]) -> DataFrame:
-    """The moving average backtest of each pair of lengths, one run over all: (symbol, fast, slow, and what `backtest_summary` has)."""
-    out = None
-    for fast in sorted(set(fasts)):
-        for slow in sorted(set(slows)):
-            if slow > fast:
-                one = backtest_summary(simulate(sma_signal(df, fast, slow)), "symbol").select("symbol", F.lit(fast).alias("fast"), F.lit(slow).alias("slow"), "total_return", "sharpe", "max_drawdown", "trades")
-                out = one if out is None else out.unionByName(one)
-    if out is None:
+    """All pairs of lengths whose slow one is above the fast one, in one pass (see `tried`)."""
+    pairs = [(fast, slow) for fast in sorted(set(fasts)) for slow in sorted(set(slows)) if slow > fast]
+    if not pairs:
         raise ValueError("no pair has a slow length above its fast one")
-    return out
+    return tried(df, pairs)
 
 
 def leaderboard(results: DataFrame, by: str = "total_return", *ties: str) -> DataFrame:

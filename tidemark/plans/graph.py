@@ -193,6 +193,18 @@ def message_chunks(spark: SparkSession, d: str) -> DataFrame:
     return N.chunks(rows, "chat", "ts", "id", most_tokens=60, gap_minutes=30).select("id", "chat", "chunk_no")
 
 
+@query()
+def chunks_by_table_function(spark: SparkSession, d: str) -> DataFrame:
+    """The same chunks, by a table function in SQL; tests hold it against the operator."""
+    from ..operators import indexing
+
+    indexing.register(spark, "tidemark_chunks", most_tokens=60, gap_minutes=30)
+    messages(spark, d).withColumn("reply_to", F.when(F.col("id") % 5 == 0, F.col("id") - 10)).createOrReplaceTempView("tidemark_messages")
+    return spark.sql("""
+        SELECT chat, chunk_no, size(ids) AS n, start, end, md5(text) AS digest
+        FROM tidemark_chunks(TABLE(SELECT chat, id, ts, author, text, reply_to FROM tidemark_messages) PARTITION BY chat ORDER BY (ts, id))""")
+
+
 @query(f"""WITH m AS (SELECT *, length(text) <= 16 AS short FROM ({MESSAGES_SQL})), j AS (SELECT *, CASE WHEN short AND lag(short) OVER w AND date_diff('microsecond', lag(ts) OVER w, ts) <= 3600000000 THEN 0 ELSE 1 END AS nw FROM m WINDOW w AS (PARTITION BY chat ORDER BY ts, id)),
   r AS (SELECT *, sum(nw) OVER (PARTITION BY chat ORDER BY ts, id) AS run FROM j) SELECT chat, min(ts) AS ts, trim(string_agg(text, ' ' ORDER BY ts, id)) AS text, count(*) AS n FROM r GROUP BY chat, run""")
 def merge_short_messages(spark: SparkSession, d: str) -> DataFrame:
@@ -280,12 +292,10 @@ def pattern_aggregation(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def random_forest_predictions(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
+    """Groups of facts, each predicted by a forest that has seen no group of its fold."""
     columns = ["plan_steps", "avg_duration", "error_count", "retry_count", "outcome_success"]
-    data = L.feature_matrix(_facts(spark, d))
-    model = L.forest(data, columns)
-    return model.transform(VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(data)).select("correlation_id", "label", F.col("prediction").cast("int").alias("prediction"))
+    rows, _ = L.cross_validated(L.feature_matrix(_facts(spark, d)), columns, "correlation_id", trees=(5, 10), depths=(3, 5, 8), leaves=(1, 2))
+    return rows.select("correlation_id", "label", "fold", "prediction")
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:

@@ -67,6 +67,14 @@ def strategy_leaderboard(spark: SparkSession, d: str) -> DataFrame:
     return K.leaderboard(out, "total_return", "symbol")
 
 
+@query()
+def parameter_search(spark: SparkSession, d: str) -> DataFrame:
+    """Four rounds of six pairs of lengths; tests hold each trial against the grid."""
+    from ..operators.tuning import search_lengths
+
+    return search_lengths(candles(spark, d), range(3, 16), range(10, 61, 5), value="sharpe").withColumn("value", F.round("value", 6))
+
+
 @query()
 def parameter_grid(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(K.grid(candles(spark, d), [5, 10], [20, 40]))

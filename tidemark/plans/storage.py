@@ -94,12 +94,13 @@ def kline_arrays(spark: SparkSession, d: str) -> DataFrame:
     return found.select("symbol", zone_free("open_time").alias("ts"), *map(price, ("open", "high", "low", "close", "volume")), zone_free("close_time").alias("close_time"), "trades")
 
 
-@query("SELECT CAST(o_custkey % 5 AS VARCHAR) AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, row_number() OVER (PARTITION BY o_custkey % 5, o_orderkey % 2 ORDER BY o_orderkey) - 1 AS level, round(o_totalprice, 4) AS price FROM orders")
+@query("SELECT CAST(o_custkey AS VARCHAR) AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) - 1 AS level, round(o_totalprice, 4) AS price FROM orders")
 def order_book_levels(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as a book: books are as long as exchanges send them, however many customers there are."""
     o = load(spark, d, "orders")
     level = F.struct("o_orderkey", F.format_string("%.8f", F.col("o_totalprice")).alias("p"))
     listed = lambda even: F.transform(F.array_sort(F.collect_list(F.when((F.col("o_orderkey") % 2 == 0) == F.lit(even), level))), lambda x: F.array(x["p"], F.lit("1")))
-    books = o.groupBy((F.col("o_custkey") % 5).cast("string").alias("symbol")).agg(listed(True).alias("bids"), listed(False).alias("asks"))
+    books = o.groupBy(F.col("o_custkey").cast("string").alias("symbol")).agg(listed(True).alias("bids"), listed(False).alias("asks"))
     return R.order_book(books).select("symbol", "side", F.col("level").cast("long").alias("level"), F.round(F.col("price").cast("double"), 4).alias("price"))
 
 
@@ -364,3 +365,20 @@ def expanded_day_groups(spark: SparkSession, d: str) -> DataFrame:
     """The parts of each day."""
     parts = N.expanded_days(messages(spark, d), "chat", "ts", "id")
     return parts.select("chat", "day", "part_no", "child_id", F.col("n").cast("long").alias("n"), "start", "end")
+
+
+@query(f"""
+SELECT symbol, ts, round(open, 5) AS open, round(high, 5) AS high, round(low, 5) AS low, round(close, 5) AS close, volume
+FROM ({CANDLES_SQL}) WHERE symbol IN ('1-URGENT', '2-HIGH', '5-LOW') AND close > 1100""")
+def klines_source(spark: SparkSession, d: str) -> DataFrame:
+    """Candles written as arrays, a file for each symbol and task, and read again through the data source: three symbols' files are opened."""
+    from ..sources import klines
+
+    at, path = F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), new_path(spark)
+    row = F.array(at, *(F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")))
+    month = F.date_trunc("month", F.col("ts").cast("timestamp"))
+    sent = candles(spark, d).groupBy("symbol", month.alias("month")).agg(F.to_json(F.collect_list(row)).alias("value"))
+    sent.select("value", "symbol", F.lit("1d").alias("interval")).write.partitionBy("symbol", "interval").text(path)
+    klines.register(spark)
+    found = spark.read.format("klines").option("glob", "*.txt").load(path).where(F.col("symbol").isin("1-URGENT", "2-HIGH", "5-LOW") & (F.col("close") > 1100))
+    return found.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), *(F.round(c, 5).alias(c) for c in ("open", "high", "low", "close")), "volume")
