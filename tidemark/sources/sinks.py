@@ -67,3 +67,18 @@ def without_chat(nodes: DataFrame, chat: str) -> DataFrame:
     """Nodes (id, tags, properties) that don't belong to a chat: by tag, by property or by id."""
     own = F.coalesce(F.array_contains("tags", chat), F.lit(False)) | F.coalesce(F.get_json_object("properties", "$.chat") == chat, F.lit(False)) | F.col("id").contains(f":{chat}:")
     return nodes.where(~own)
+
+
+def graphml_parts(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph of any size as GraphML in a folder: `1-head`, `2-nodes`, `3-edges` and `4-tail` hold text files of whole lines, written by tasks.
+
+    The files one after the other, by folder and name, are one GraphML document.
+    """
+    escaped = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    spark = nodes.sparkSession
+    text = lambda line: spark.range(1, numPartitions=1).select(F.lit(line).alias("value"))
+    text('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="weight" for="edge" attr.name="weight" attr.type="double"/><graph edgedefault="directed">').write.text(f"{path}/1-head")
+    nodes.select(F.concat(F.lit('<node id="'), escaped("id"), F.lit('"/>')).alias("value")).write.text(f"{path}/2-nodes")
+    ends = (F.lit('<edge source="'), escaped("source_id"), F.lit('" target="'), escaped("target_id"), F.lit('"><data key="weight">'), F.coalesce(F.col("weight").cast("string"), F.lit("")), F.lit("</data></edge>"))
+    edges.select(F.concat(*ends).alias("value")).write.text(f"{path}/3-edges")
+    text("</graph></graphml>").write.text(f"{path}/4-tail")
