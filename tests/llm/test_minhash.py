@@ -100,3 +100,12 @@ def test_least_reached_is_the_plain_one():
             groups.join(a, b)
         nodes, to = C.least_reached(*(np.array(x) for x in zip(*links, strict=True)))
         assert dict(zip(nodes.tolist(), to.tolist(), strict=True)) == {x: groups.find(x) for x in groups.up}
+
+
+def test_of_rows_that_repeat_an_id_the_first_by_hash_stays(spark):
+    rows = [(1, f"text number {k} of a document with one id", f"s{k}") for k in range(12)] + [(2, "another document altogether, of other words", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = min(df.where("doc_id = 1").selectExpr("xxhash64(doc_id, text, source) AS h", "text", "source").collect())
+    for turn in range(3):
+        got = {r.doc_id: (r.text, r.source) for r in drop_near_duplicates(df.repartition(turn + 1)).collect()}
+        assert got == {1: (first.text, first.source), 2: rows[-1][1:]}

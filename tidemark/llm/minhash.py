@@ -210,5 +210,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = near_duplicates(docs, id_col, text_col, **how)
     keep = materialize(found.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__tm_id")).distinct(), "kept")
-    stay = docs.join(keep, docs[id_col] == keep["__tm_id"], "left_semi").dropDuplicates([id_col])
+    held = docs.join(keep, docs[id_col] == keep["__tm_id"], "left_semi")
+    first = F.struct(F.xxhash64(*docs.columns), text_col)
+    stay = held.groupBy(F.col(id_col).alias("__tm_id")).agg(F.min_by(F.struct(*docs.columns), first).alias("__tm_row")).select("__tm_row.*")
     return stay.unionByName(docs.where(F.col(id_col).isNull()))
