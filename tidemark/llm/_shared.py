@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -51,7 +52,9 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """The same rows from a written table: lineage ends here, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._tidemark_path = path
+    return table
 
 
 #: Copies of a repeated row that one row is unfolded to at once.
@@ -84,6 +87,25 @@ def forget(*tables: DataFrame) -> None:
                 delete(table.sparkSession, root)
 
 
+def made() -> int:
+    """How many paths new_path() has given out: what `forget_made` takes."""
+    return len(_LEFT)
+
+
+def forget_made(since: int, *keep: DataFrame) -> None:
+    """Deletes all that was written since then, but for the tables to keep: for an operator whose result is a table of its own."""
+    held = {getattr(table, "_tidemark_path", None) for table in keep}
+    for spark, path in _LEFT[since:]:
+        if path not in held:
+            delete(spark, path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over: it does so when the driver's JVM finds that nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _LEFT:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import forget, materialize
+from ._shared import forget, forget_made, made, materialize, release_shuffles
 from .components import groups_by_shared_keys
 from .text import chunks, mix, shingle_hashes, word_hashes
 
@@ -208,8 +208,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows without words and rows with a null id all stay. Of rows that repeat an id, one stays: the first by all columns' hash.
     """
+    before = made()
     found = near_duplicates(docs, id_col, text_col, **how)
     keep = materialize(found.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__tm_id")).distinct(), "kept")
+    forget_made(before, keep)
+    release_shuffles(docs.sparkSession)
     held = docs.join(keep, docs[id_col] == keep["__tm_id"], "left_semi")
     first = F.struct(F.xxhash64(*docs.columns), text_col)
     stay = held.groupBy(F.col(id_col).alias("__tm_id")).agg(F.min_by(F.struct(*docs.columns), first).alias("__tm_row")).select("__tm_row.*")
