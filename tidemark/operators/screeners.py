@@ -57,7 +57,7 @@ def alert_thresholds(positions: DataFrame, rules: DataFrame) -> DataFrame:
     pairs = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("double").alias("value")) for k, c in zip(kinds, columns, strict=True)))
     long = positions.select("symbol", F.explode(pairs).alias("p")).select("symbol", "p.kind", "p.value")
     hit = F.when(F.col("kind") == "drawdown", F.col("value") <= -F.abs("threshold")).when(F.col("kind") == "rsi_extreme", (F.col("value") >= F.col("threshold")) | (F.col("value") <= 100 - F.col("threshold"))).otherwise(F.col("value") >= F.col("threshold"))
-    return long.join(F.broadcast(rules), "kind").where(hit).select("symbol", "kind", "value")
+    return long.join(rules, "kind").where(hit).select("symbol", "kind", "value")
 
 
 def first_available(*frames: DataFrame) -> DataFrame:

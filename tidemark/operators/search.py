@@ -210,9 +210,9 @@ def match(tokens: Column, terms: list[str]) -> Column:
 INTENTS = {"informational": (0.5, 0.5, 15), "transactional": (0.7, 0.3, 10), "navigational": (0.8, 0.2, 5), "analytical": (0.4, 0.6, 20)}
 
 
-def confidence(results: DataFrame) -> DataFrame:
-    """One row: 0.7 times the mean score plus 0.3 times the number of results by 10, both at most 1."""
-    return results.agg(F.least(F.lit(1.0), F.coalesce(F.avg("score"), F.lit(0.0)) * 0.7 + F.least(F.count("*") / 10, F.lit(1.0)) * 0.3).alias("confidence"))
+def confidence(results: DataFrame, *by: str) -> DataFrame:
+    """0.7 times the mean score plus 0.3 times the number of results by 10, both at most 1: one row, or one for each key."""
+    return results.groupBy(*by).agg(F.least(F.lit(1.0), F.coalesce(F.avg("score"), F.lit(0.0)) * 0.7 + F.least(F.count("*") / 10, F.lit(1.0)) * 0.3).alias("confidence"))
 
 
 def max_normalised(df: DataFrame, weights: dict[str, float]) -> DataFrame:

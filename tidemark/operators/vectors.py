@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .search import distance
@@ -258,3 +258,89 @@ def sized_clusters(members: DataFrame, cluster: str, least: int = 2, most: int =
     """Members of clusters of a size within bounds."""
     sizes = members.groupBy(cluster).agg(F.count("*").alias("__tm_n")).where(F.col("__tm_n").between(least, most))
     return members.join(sizes.select(cluster), cluster, "left_semi")
+
+
+def kmeans(rows: DataFrame, id_col: str, features: Column, k: int | None = None, turns: int = 100, seed: int = 0) -> DataFrame:
+    """(id_col, cluster) by k-means of features (arrays of numbers), k-means|| first; the root of the number of rows unless k is given.
+
+    Rows with a null feature have no cluster. Fewer rows than k make fewer clusters; no rows, none.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    v = features.cast("array<double>")
+    whole = v.isNotNull() & ~F.coalesce(F.exists(v, lambda x: x.isNull()), F.lit(True))
+    known = rows.select(id_col, v.alias("v")).where(whole.isNotNull() & whole).select(id_col, array_to_vector("v").alias("features"))
+    n = known.count()
+    if not n:
+        return rows.select(id_col, F.lit(None).cast("int").alias("cluster"))
+    model = KMeans(k=max(2, min(n, round(n**0.5) if k is None else k)), seed=seed, maxIter=turns, initMode="k-means||").fit(known) if n > 1 else None
+    found = known.select(id_col, F.lit(0).alias("cluster")) if model is None else model.transform(known).select(id_col, F.col("prediction").alias("cluster"))
+    return rows.select(id_col).join(found, id_col, "left")
+
+
+#: Members of a cluster that a task can hold.
+TASK = 20_000
+
+
+def _dealt_out(rows: DataFrame, parts: int = 16) -> DataFrame:
+    """Rows (id, c, v) with clusters c dealt out until none has more than TASK rows."""
+    from ..shared import materialized
+
+    while True:
+        big = materialized(rows.where("c is not null").groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > TASK).select("c"), "big")
+        if big.isEmpty():
+            return rows
+        of_big = rows.join(big, "c", "left_semi")
+        place = F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("id"), "id"))
+        centers = of_big.withColumn("k", place).where(F.col("k") <= parts).groupBy("c").agg(F.collect_list(F.struct("k", F.col("v").alias("w"))).alias("w"))
+        far = lambda x: F.aggregate(F.zip_with("v", x["w"], lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, e: t + e)
+        near = F.array_min(F.transform("w", lambda x: F.struct(far(x).alias("d"), x["k"].alias("k"))))["k"]
+        dealt = materialized(of_big.join(centers, "c").select("id", "c", "v", near.alias("k")), "dealt")
+        alike = dealt.groupBy("c").agg((F.count_distinct("k") == 1).alias("alike"))
+        part = F.when(F.col("alike"), F.pmod(F.xxhash64("id", F.length("c")), F.lit(parts))).otherwise(F.col("k"))
+        new = dealt.join(alike, "c").select("id", F.concat_ws("/", "c", part.cast("string")).alias("c"), "v")
+        rows = materialized(rows.join(big, "c", "left_anti").unionByName(new), "parts")
+
+
+def resized(members: DataFrame, cluster: str, id_col: str = "vec_id", vec_col: str = "embedding", least: int = 2, most: int = 50, seed: int = 0) -> DataFrame:
+    """(id_col, cluster: its smallest member): clusters of `least` to `most` members; smaller ones are noise (null), larger ones are split in turn.
+
+    A cluster of more than `TASK` members is dealt in rounds to the nearest of sixteen of them (equal vectors by the hash of their ids), until
+    a task can hold each part. Then it is split into as many parts as it needs, by k-means in a task of its own, and its parts are looked at
+    again; equal vectors that stay together are cut by id. What a split leaves below `least` is noise.
+    """
+
+    def split(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids)
+        ids, v = ids[order], np.array(table.column("v").to_pylist(), float)[order]
+        rng = np.random.default_rng(seed)
+        todo, label = [np.arange(len(ids))], np.full(len(ids), -1)
+        while todo:
+            some = todo.pop()
+            if len(some) <= most:
+                if len(some) >= least:
+                    label[some] = some[0]
+                continue
+            k = -(-len(some) // most)
+            distinct = np.unique(v[some], axis=0)
+            if len(distinct) < 2:
+                todo += np.array_split(some, k)
+                continue
+            centers = distinct[np.sort(rng.permutation(len(distinct))[: max(2, k)])]
+            for _ in range(25):
+                near = ((v[some][:, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+                centers = np.array([v[some][near == c].mean(axis=0) if (near == c).any() else centers[c] for c in range(len(centers))])
+            parts = [some[near == c] for c in range(len(centers)) if (near == c).any()]
+            todo += parts if len(parts) > 1 else np.array_split(some, k)
+        return pa.table({"id": pa.array(ids, pa.int64()), "cluster": pa.array(ids[np.maximum(label, 0)], pa.int64(), mask=label < 0)})
+
+    rows = members.select(F.col(id_col).cast("long").alias("id"), F.col(cluster).cast("string").alias("c"), F.col(vec_col).cast("array<double>").alias("v"))
+    rows = _dealt_out(rows)
+    sizes = rows.where("c is not null").groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    known = rows.join(sizes, "c", "left")
+    right = known.where(F.col("n").between(least, most)).select("id", F.col("first").alias("cluster"))
+    small = known.where(F.coalesce(F.col("n") < least, F.lit(True))).select("id", F.lit(None).cast("long").alias("cluster"))
+    large = known.where(F.col("n") > most).groupBy("c").applyInArrow(split, "id long, cluster long")
+    return right.unionByName(small).unionByName(large).withColumnRenamed("id", id_col)

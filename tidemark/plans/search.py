@@ -150,10 +150,10 @@ def tags_any_filter(spark: SparkSession, d: str) -> DataFrame:
     return S.text_filter(rows, tags=["click", "1"], tags_mode="any").select("event_id")
 
 
-@query("SELECT source, round(least(1, avg(n_chars / 50000) * 0.7 + least(count(*) / 10, 1) * 0.3), 8) AS confidence FROM documents WHERE source = 'src1' GROUP BY 1")
+@query("SELECT source, round(least(1, avg(n_chars / 50000) * 0.7 + least(count(*) / 10, 1) * 0.3), 8) AS confidence FROM documents GROUP BY 1")
 def result_confidence(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "documents").where("source = 'src1'").select((F.col("n_chars") / 50000).alias("score"))
-    return S.confidence(rows).select(F.lit("src1").alias("source"), F.round("confidence", 8).alias("confidence"))
+    rows = load(spark, d, "documents").select("source", (F.col("n_chars") / 50000).alias("score"))
+    return S.confidence(rows, "source").select("source", F.round("confidence", 8).alias("confidence"))
 
 
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE / sqrt(list_dot_product(list_transform(embedding, lambda w: w::DOUBLE), list_transform(embedding, lambda w: w::DOUBLE)))) AS v FROM embeddings)"
@@ -233,11 +233,16 @@ def hdbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """As many clusters as the root of the number of vectors."""
+    return V.kmeans(load(spark, d, "embeddings"), "vec_id", F.col("embedding"))
 
-    e = load(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return KMeans(k=10, seed=0, initMode="k-means||").fit(e).transform(e).select("vec_id", "prediction")
+
+@query()
+def kmeans_age_value(spark: SparkSession, d: str) -> DataFrame:
+    """Events by age in days and value, as they are, in ten clusters."""
+    e = load(spark, d, "events")
+    age = F.unix_micros(F.lit(datetime(2024, 2, 1)).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    return V.kmeans(e, "event_id", F.array(age / 86_400_000_000, F.col("value")), 10)
 
 
 @query(r"""WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS ws FROM benchmark) SELECT item_id, CAST(len(ws) AS BIGINT) AS n_words FROM w""")

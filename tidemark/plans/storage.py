@@ -289,6 +289,12 @@ def sized_clusters(spark: SparkSession, d: str) -> DataFrame:
     return V.sized_clusters(load(spark, d, "embeddings"), "label").select("label", "vec_id")
 
 
+@query()
+def resized_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as clusters, those of more than 20 split: every vector once. Tests check sizes and members."""
+    return V.resized(load(spark, d, "embeddings"), "label", most=20).select("vec_id", "cluster")
+
+
 # Exchange snapshots, archives, summaries
 
 

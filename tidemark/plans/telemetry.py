@@ -122,7 +122,7 @@ _RULES = [("slow", "rpc_latency > 150", "warning", 720, True), ("errors", "rpc_e
   SELECT rule, severity, ts FROM fired WHERE ts IS NOT NULL""")
 def alert_rules_with_cooldown(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame(_RULES, "rule string, condition string, severity string, cooldown_minutes int, enabled boolean")
-    return T.fire_alerts(metrics(spark, d), F.broadcast(rules))
+    return T.fire_alerts(metrics(spark, d), rules)
 
 
 @query("SELECT event_id, CASE WHEN value >= 200 THEN 'critical' WHEN value >= 150 THEN 'error' WHEN value >= 100 THEN 'warning' END AS level FROM events WHERE value >= 100")

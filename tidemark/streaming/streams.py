@@ -67,7 +67,7 @@ def cooldown(hits: DataFrame, by: str, ts: str, seconds: int, late: str = "1 hou
 
 def alerts(metrics: DataFrame, rules: DataFrame, compare: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """Metrics that break a rule (name, op, threshold, ..): a stream joined with a small table that is read anew every trigger."""
-    return metrics.join(F.broadcast(rules), "name").where(compare(F.col("value"), F.col("op"), F.col("threshold")))
+    return metrics.join(rules, "name").where(compare(F.col("value"), F.col("op"), F.col("threshold")))
 
 
 def split_invalid(df: DataFrame, valid: Column, good: Callable[[DataFrame], None], dead: Callable[[DataFrame], None], retries: int = 3, pause: float = 0.1) -> DataStreamWriter:
