@@ -404,3 +404,24 @@ def test_new_vectors_are_held_against_stored_ones_only(spark):
     old = spark.createDataFrame([(7, [2.0, 0.1]), (5, [3.0, 0.0]), (9, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.duplicate_of for r in V.near_existing(new, old, 0.9).collect()}
     assert got == {1: 5, 2: 5, 3: None, 4: None}
+
+
+def test_best_and_worst_position_of_equal_percentages(spark):
+    from tidemark.operators import quality as Q
+
+    # 0.1, 0.3 and 0.7 all win a tenth, which floats put in another order; 4 has nothing invested
+    rows = [(1, 0.7, 0.77), (2, 0.1, 0.11), (3, 0.3, 0.33), (4, 0.0, 5.0), (5, None, 1.0)]
+    df = spark.createDataFrame([("a", *r) for r in rows], "owner string, symbol long, invested double, value double")
+    got = Q.portfolio_summary(df, "owner").first()
+    assert (got.best, got.worst, got.risk) == (3, 1, "medium")
+    assert tuple(Q.portfolio_summary(df, "owner", pct=F.col("symbol") % 5).first()[c] for c in ("best", "worst")) == (4, 5)
+
+
+def test_portfolio_query_has_best_and_worst(spark, data_dir):
+    from tidemark.plans import QUERIES
+
+    got = {r.o_custkey: (r.best, r.worst) for r in QUERIES["portfolio_summary"](spark, data_dir).collect()}
+    moves: dict = {}
+    for r in spark.read.parquet(f"{data_dir}/orders.parquet").select("o_custkey", "o_orderkey").collect():
+        moves.setdefault(r.o_custkey, []).append((r.o_orderkey % 21 - 10, r.o_orderkey))
+    assert got == {k: (max(v)[1], min(v)[1]) for k, v in moves.items()}

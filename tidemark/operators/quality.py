@@ -64,14 +64,19 @@ def co_mentions(mentions: DataFrame, session: str, value: str = "value") -> Data
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def portfolio_summary(positions: DataFrame, *by: str) -> DataFrame:
-    """Of positions (symbol, invested, value): invested, pnl, its percentage, best and worst symbol, and a risk by how many there are."""
+def portfolio_summary(positions: DataFrame, *by: str, pct: Column | None = None) -> DataFrame:
+    """Of positions (symbol, invested, value): invested, pnl, its percentage, best and worst symbol, and a risk by how many there are.
+
+    Best and worst go by `pct` where it is known exactly, else by what value and invested give, to nine places: what is equal but for
+    rounding ties, and the larger symbol is the best of a tie, the smaller one the worst. Positions without a percentage are neither.
+    """
     pnl = F.col("value") - F.col("invested")
-    pct = F.try_divide(pnl, F.col("invested")) * 100
+    pct = F.round(F.try_divide(pnl, F.col("invested")) * 100, 9) if pct is None else pct
+    place = F.when(pct.isNotNull(), F.struct(pct, "symbol"))
     n = F.count("*")
     return positions.groupBy(*by).agg(
-        F.sum("invested").alias("invested"), F.sum(pnl).alias("pnl"), (F.try_divide(F.sum(pnl), F.sum("invested")) * 100).alias("pnl_pct"), F.max_by("symbol", F.struct(pct, "symbol")).alias("best"),
-        F.min_by("symbol", F.struct(pct, "symbol")).alias("worst"), F.when(n > 5, "high").when(n > 3, "medium").otherwise("low").alias("risk"),
+        F.sum("invested").alias("invested"), F.sum(pnl).alias("pnl"), (F.try_divide(F.sum(pnl), F.sum("invested")) * 100).alias("pnl_pct"), F.max_by("symbol", place).alias("best"),
+        F.min_by("symbol", place).alias("worst"), F.when(n > 5, "high").when(n > 3, "medium").otherwise("low").alias("risk"),
     )
 
 

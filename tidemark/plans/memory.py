@@ -88,13 +88,15 @@ def summary_quality_score(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT o_custkey, round(sum(o_totalprice), 2) AS invested, round(sum(o_totalprice * (o_orderkey % 21 - 10) / 100) + 1e-5, 2) AS pnl,
        round(sum(o_totalprice * (o_orderkey % 21 - 10) / 100) / sum(o_totalprice) * 100, 6) AS pnl_pct,
+       arg_max(o_orderkey, (o_orderkey % 21 - 10, o_orderkey)) AS best, arg_min(o_orderkey, (o_orderkey % 21 - 10, o_orderkey)) AS worst,
        CASE WHEN count(*) > 5 THEN 'high' WHEN count(*) > 3 THEN 'medium' ELSE 'low' END AS risk
 FROM orders GROUP BY 1""")
 def portfolio_summary(spark: SparkSession, d: str) -> DataFrame:
     move = F.col("o_orderkey") % 21 - 10
-    rows = load(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("symbol"), F.col("o_totalprice").alias("invested"), (F.col("o_totalprice") + F.col("o_totalprice") * move / 100).alias("value"))
-    out = Q.portfolio_summary(rows, "o_custkey")
-    return out.select("o_custkey", F.round("invested", 2).alias("invested"), F.round(F.col("pnl") + 1e-5, 2).alias("pnl"), F.round("pnl_pct", 6).alias("pnl_pct"), "risk")
+    price = F.col("o_totalprice")
+    rows = load(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("symbol"), price.alias("invested"), (price + price * move / 100).alias("value"), move.alias("move"))
+    out = Q.portfolio_summary(rows, "o_custkey", pct=F.col("move"))
+    return out.select("o_custkey", F.round("invested", 2).alias("invested"), F.round(F.col("pnl") + 1e-5, 2).alias("pnl"), F.round("pnl_pct", 6).alias("pnl_pct"), "best", "worst", "risk")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 41 - 20 <= -10 THEN 'close_loss' WHEN o_orderkey % 41 - 20 >= 15 THEN 'close_profit' ELSE 'hold' END AS action FROM orders")
