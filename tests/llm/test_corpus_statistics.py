@@ -63,6 +63,66 @@ def test_tables_of_counts_never_underestimate(spark):
         merged(spark.createDataFrame([], "slots int, counts binary"), 2, 12, FULL + 1)
 
 
+def test_tallies_of_ranges_never_underestimate(spark, monkeypatch):
+    from tidemark.llm import sketch
+
+    monkeypatch.setattr(sketch, "RANGE_BITS", 13)
+    monkeypatch.setattr(sketch, "HELD", 6000)
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 1 << 62, 5000, np.int64).astype(np.uint64)
+    batches, few = [], keys[:50]
+    for _ in range(4):
+        tally = sketch.Tally(2, 20)
+        for r in range(2):
+            tally.add(r, keys)
+            tally.add(r, np.repeat(few, 24 + r))
+            batches += tally.blocks()
+        batches += tally.blocks(last=True)
+        assert not list(tally.blocks(last=True))
+    rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    found = sketch.tallied(spark.createDataFrame(rows, sketch.SCHEMA), 2, 20, 100).value
+    assert all(found.passes(r, few).all() for r in range(2))
+    assert max(found.passes(r, keys[50:]).mean() for r in range(2)) < 0.05
+    assert sketch.tallied(spark.createDataFrame([], sketch.SCHEMA), 2, 20, 1).value.table.sum() == 0
+    with pytest.raises(ValueError, match="255"):
+        sketch.tallied(spark.createDataFrame([], sketch.SCHEMA), 2, 20, sketch.FULL + 1)
+
+
+def test_phrases_are_added_up_part_by_part():
+    from tidemark.llm.collocations import _packs, _total
+
+    words = [f"w{k}" for k in range(1000)]
+    packs = _packs(pa.table({"lang": ["en"] * 1000, "words": pa.array([1] * 1000, pa.int32()), "phrase": words, "n": [60] * 1000}), 4)
+    read = []
+
+    def twice():  # noqa: ANN202
+        for k in range(packs.num_rows):
+            for _ in range(2):
+                read.append(k)
+                yield packs.slice(k, 1)
+
+    out = _total(100)(twice())
+    first = next(out)
+    assert max(read) == 1 and first.num_rows < 400  # the second part has begun, no more of it is held
+    every = pa.Table.from_batches([first, *out])
+    assert sorted(every.column("phrase").to_pylist()) == sorted(words) and set(every.column("n").to_pylist()) == {120}
+
+
+def test_many_different_words_do_not_leave_their_task(spark):
+    from tidemark.llm.collocations import _counter, _sketcher
+    from tidemark.llm.sketch import SCHEMA, tallied
+
+    # 60,000 pairs, each a few times: a table of 4096 slots lets all of them pass
+    text = " ".join(f"a{k % 251} b{k % 239}" for k in range(60_000))
+    docs = spark.createDataFrame([(text, "en")] * 4, "text string, lang string")
+    passed = {}
+    for bits in (12, 30):
+        reached = tallied(docs.mapInArrow(_sketcher(bits), SCHEMA), 3, bits, 100)
+        packs = docs.mapInArrow(_counter(reached, 4), "part int, lang array<string>, words array<int>, phrase array<string>, n array<long>")
+        passed[bits] = packs.selectExpr("explode(words) as words").where("words > 1").count()
+    assert passed[12] > 100_000 > 20_000 > passed[30]
+
+
 # -- divergence
 
 

@@ -5,8 +5,9 @@ and 8 ids (prefix doubling). Runs of suffixes that share n words (LCP intervals)
 added up by language and phrase.
 
 Most n-grams of a shard are rare, and all of them would have to be shuffled. So a first pass adds words, pairs and triples to count-min
-tables of fixed size, a row for each length; an n-gram whose words, pairs or triples can't have reached the least count can't
-have reached it either, and never leaves its shard. What passes is counted exactly: the result depends on no hash.
+tables, a row for each length; an n-gram whose words, pairs or triples can't have reached the least count can't
+have reached it either, and never leaves its shard. What passes is counted exactly: the result depends on no hash. A row has 2**30 slots, of which
+a task sends those that it has seen: tables that fit a task are full at a few GB of text, and then let everything pass.
 """
 
 from __future__ import annotations
@@ -22,16 +23,16 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize
 from .runs import coded, lowered, name_hashes, runs, salted
-from .sketch import SCHEMA, Counts, merged
-from .text import chunks, feature_hashes
+from .sketch import SCHEMA, Tally, tallied
+from .text import chunks, feature_hashes, release
 
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 WORDS = lowered(BREAKS + b"\x20\x09")
-#: The tables: a row each for words, pairs and triples, 2**22 slots; 12 MB a task and 1.5 MB broadcast.
-ROWS, BITS = 3, 22
+#: The tables: a row each for words, pairs and triples, 2**30 slots.
+ROWS, BITS = 3, 30
 UNKNOWN = "und"
-#: Bytes of text of a shard; rows that a task gathers before it adds them up.
-SHARD_BYTES, GATHER = 8 << 20, 800_000
+#: Bytes of text of a shard; rows that a task gathers before it adds them up; phrases whose texts are made at once.
+SHARD_BYTES, GATHER, AT_ONCE = 8 << 20, 800_000, 200_000
 LONGEST = 5
 #: Phrases of a language, as dealt to tasks before the last ranking.
 DEALT = 64
@@ -130,22 +131,22 @@ class Shard:
 
 def _sketcher(bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Counts(ROWS, bits)
+        tally = Tally(ROWS, bits)
         for batch in chunks(batches, "text"):
             shard = Shard(batch)
             length = shard.lengths()
             for r in range(ROWS):
-                table.add(r, shard.keys(r + 1)[length > r])
-        some = list(table.blocks())
-        for a in range(0, len(some), 512):
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some[a : a + 512]], pa.int32()), pa.array([v for _, v in some[a : a + 512]], pa.binary())], names=["slots", "counts"])
+                tally.add(r, shard.keys(r + 1)[length > r])
+            yield from tally.blocks()
+        yield from tally.blocks(last=True)
+        release()
 
     return run
 
 
 def _added(tables: list[pa.Table]) -> pa.Table:
     """Counts of equal phrases of a language as one."""
-    return pa.concat_tables(tables).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "words", "phrase", "n"])
+    return pa.concat_tables(tables).group_by(["lang", "words", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", "words", "phrase", "n"])
 
 
 def _packs(table: pa.Table, parts: int) -> pa.RecordBatch:
@@ -166,51 +167,77 @@ def _counter(reached: Broadcast, parts: int) -> Callable[[Iterable[pa.RecordBatc
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        for batch in chunks(batches, "text", SHARD_BYTES):
-            shard = Shard(batch)
-            names, totals = shard.totals()
-            held.append(pa.table([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int32()), pa.array([""] * len(names), pa.string()), pa.array(totals, pa.int64())], names=["lang", "words", "phrase", "n"]))
-            for n, at, count in shard.phrases(shard.lengths(reached)):
-                lang = shard.langs.take(pa.array(shard.lang[shard.ids[at] - 1]))
-                held.append(pa.table([lang, pa.array(np.full(len(at), n, np.int32)), shard.texts(n, at), pa.array(count)], names=["lang", "words", "phrase", "n"]))
+
+        def gathered() -> Iterator[pa.RecordBatch]:
+            nonlocal held
             if sum(t.num_rows for t in held) > GATHER:
                 held = [_added(held)]
                 if held[0].num_rows > GATHER // 2:
                     yield _packs(held.pop(), parts)
+
+        for batch in chunks(batches, "text", SHARD_BYTES):
+            shard = Shard(batch)
+            names, totals = shard.totals()
+            held.append(pa.table([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int32()), pa.array([""] * len(names), pa.string()), pa.array(totals, pa.int64())], names=["lang", "words", "phrase", "n"]))
+            for n, every, counts in shard.phrases(shard.lengths(reached)):
+                for a in range(0, len(every), AT_ONCE):
+                    at, count = every[a : a + AT_ONCE], counts[a : a + AT_ONCE]
+                    lang = shard.langs.take(pa.array(shard.lang[shard.ids[at] - 1]))
+                    held.append(pa.table([lang, pa.array(np.full(len(at), n, np.int32)), shard.texts(n, at), pa.array(count)], names=["lang", "words", "phrase", "n"]))
+                    yield from gathered()
         if held:
             yield _packs(_added(held), parts)
+        held = []
+        release()
 
     return run
 
 
 def _total(least: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """All packs of a part added up, as they come; what stays below `least` ends here."""
+    """Packs in order of their part: those of a part added up as they come. What stays below `least` ends here."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(pa.table({c: batch.column(c).flatten() for c in ("lang", "words", "phrase", "n")}))
-            size += held[-1].num_rows
-            if size > 2 * GATHER:
-                held = [_added(held)]
-                size = held[0].num_rows - GATHER  # so that what is distinct isn't added up again at once
-        if held:
+        held: list[pa.Table] = []
+        size, now = 0, -1
+
+        def sums() -> Iterator[pa.RecordBatch]:
             every = _added(held)
+            held.clear()
             yield from every.filter(pc.or_(pc.equal(every.column("words"), 0), pc.greater_equal(every.column("n"), least))).to_batches(max_chunksize=50_000)
 
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if part[a] != now:
+                    if held:
+                        yield from sums()
+                    size, now = 0, part[a]
+                held.append(pa.table({c: batch.column(c).slice(a, b - a).flatten() for c in ("lang", "words", "phrase", "n")}))
+                size += held[-1].num_rows
+                if size > 2 * GATHER:
+                    held[:] = [_added(held)]
+                    size = held[0].num_rows - GATHER  # so that what is distinct isn't added up again at once
+        if held:
+            yield from sums()
+        release()
+
     return run
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, bits: int = BITS) -> DataFrame:
     """(lang, words, phrase, n): phrases of 1 to 5 words that occur `least` times or more; and with 0 words all words of the language.
 
-    Tasks' counts travel in packs, by hash of language and phrase, to the task that adds them up: four packs a task for each partition of a shuffle.
+    Tasks' counts travel in packs, by hash of language and phrase, to the task that adds them up: four packs a task for each partition of a
+    shuffle, or of the input if those are more, so that what is added up at once doesn't grow with the input.
     """
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
-    reached = merged(docs.mapInArrow(_sketcher(bits), SCHEMA), ROWS, bits, least)
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reached = tallied(docs.mapInArrow(_sketcher(bits), SCHEMA), ROWS, bits, least)
+    parts = 4 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     packs = docs.mapInArrow(_counter(reached, parts), "part int, lang array<string>, words array<int>, phrase array<string>, n array<long>")
-    return packs.repartition("part").mapInArrow(_total(least), "lang string, words int, phrase string, n long")
+    return packs.repartition("part").sortWithinPartitions("part").mapInArrow(_total(least), "lang string, words int, phrase string, n long")
 
 
 def collocations(docs: DataFrame, least: int = 100, percent: int = 100, top: int = 2000, bits: int = BITS) -> DataFrame:
