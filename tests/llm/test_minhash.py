@@ -109,3 +109,14 @@ def test_of_rows_that_repeat_an_id_the_first_by_hash_stays(spark):
     for turn in range(3):
         got = {r.doc_id: (r.text, r.source) for r in drop_near_duplicates(df.repartition(turn + 1)).collect()}
         assert got == {1: (first.text, first.source), 2: rows[-1][1:]}
+
+def test_only_the_texts_that_are_asked_for_are_shuffled(spark):
+    from tidemark.llm._shared import asked_for
+
+    rows = spark.range(20_000).selectExpr("id", "repeat('x', 9) as text", "id % 3 as word").union(spark.sql("select cast(null as bigint), 'y', 1L"))
+    asked = spark.range(5, 20_000, 100).selectExpr("id")
+    got = asked_for(rows, asked, "id")
+    assert got.columns == rows.columns
+    kept = [r.id for r in got.collect()]
+    assert {r.id for r in asked.collect()} <= set(kept) and len(kept) == len(set(kept)) < 400
+    assert asked_for(rows, asked.limit(0), "id").count() == 0

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import forget, forget_made, made, materialize, release_shuffles
+from ._shared import asked_for, forget, forget_made, made, materialize, release_shuffles, settled
 from .components import groups_by_shared_keys
 from .text import chunks, mix, shingle_hashes, word_hashes
 
@@ -177,15 +177,17 @@ def near_duplicates(
     ids = materialize(one, "ids")
     same = ids.groupBy("digest").agg(F.min("id").alias("rep"))
     ids = ids.join(same, "digest").select("id", "rep", "digest")
-    ids = materialize(ids, "reps")
+    ids = settled(ids, "reps")
     reps = ids.where("id = rep").select("id", "digest")
-    unique = materialize(drawn.join(reps, ["id", "digest"]).dropDuplicates(["id"]).select("id", "n", "bands", "marks"), "unique")
+    unique = settled(drawn.join(reps, ["id", "digest"]).dropDuplicates(["id"]).select("id", "n", "bands", "marks"), "unique")
     keys = unique.select(F.explode("bands").alias("key"), "id")
 
     def confirm(which: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-        needed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(which, "id", "left_semi")
+        which = settled(which, "which")
+        every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        needed = asked_for(every, which, "id").join(which, "id", "left_semi")
         full = needed.mapInArrow(_sets(shingle), "id long, hashes binary, short binary")
-        full = materialize(full.withColumn("size", F.length("hashes")).groupBy("id").agg(F.max(F.struct("size", "hashes", "short")).alias("top")).select("id", "top.hashes", "top.short"), "sets")
+        full = settled(full.withColumn("size", F.length("hashes")).groupBy("id").agg(F.max(F.struct("size", "hashes", "short")).alias("top")).select("id", "top.hashes", "top.short"), "sets")
 
         def check(pairs: DataFrame) -> DataFrame:
             side = lambda x: full.select(F.col("id").alias(x), F.col("hashes").alias(f"{x}_hashes"))
