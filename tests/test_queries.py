@@ -57,3 +57,14 @@ def test_whole_graph_has_every_edge(spark, data_dir, duck):
     got = QUERIES["graph_statistics"](spark, data_dir).first()
     assert (got.n_nodes, got.n_edges) == (len(nodes), sum(n for _, _, n in edges))
     assert got.components == len(set(place.values()))
+
+
+def test_centroids_near_zero(spark, tmp_path):
+    """Means of less than half a digit, either sign, as SQL rounds them."""
+    x = [-2e-6, 2e-6, -0.0, 0.0, -5e-6, 0.25, -0.125] + [0.5] * 57
+    rows = spark.createDataFrame([(k, x, k % 2) for k in range(4)], "vec_id long, embedding array<float>, label int")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["cluster_centroids"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert _plain(got).equals(_plain(con.sql(SQL["cluster_centroids"]).df()))

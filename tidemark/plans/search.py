@@ -202,7 +202,8 @@ def star_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT label, max(n) AS n, list(x ORDER BY pos) AS centroid FROM (SELECT label, pos, count(*) AS n, round(avg(x::DOUBLE), 5) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, 64)) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY 1""")
 def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
-    return V.centroids(load(spark, d, "embeddings"), "label").withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 5)))
+    digits = lambda x: F.signum(x) * F.round(F.abs(x), 5)  # noqa: E731  (SQL rounds a small negative number to -0.0)
+    return V.centroids(load(spark, d, "embeddings"), "label").withColumn("centroid", F.transform("centroid", digits))
 
 
 @query(f"WITH {_UNIT}, c AS (SELECT a.label, a.vec_id, round(sum(1 - list_dot_product(a.v, b.v)), 9) AS cost FROM u a JOIN u b ON a.label = b.label GROUP BY 1, 2) SELECT label, arg_min(vec_id, (cost, vec_id)) AS medoid FROM c GROUP BY 1")
