@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import vectors as V
@@ -48,6 +50,21 @@ def test_hot_clusters_are_dealt_out(spark, monkeypatch):
     assert max(sizes.values()) <= 10
 
 
+def test_nearest_centers_take_bounded_memory():
+    """20,000 members and 1,000 centers, as a large cluster has: all their differences would be 1.3 GB in eight dimensions."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(20_000, 8)), 1)
+    centers = np.concatenate([x[:996], x[:2], -x[5:7]])  # with equal ones, and ties by symmetry
+    tracemalloc.start()
+    near = V._nearest_center(x, centers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 * 2**20
+    some = slice(0, 20_000, 97)
+    want = ((x[some, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+    assert (near[some] == want).all()
+
+
 def test_kmeans_has_the_root_of_the_rows(spark):
     rows = [(k, [float(k % 5 * 10), float(k % 2)]) for k in range(100)] + [(200, None), (201, [1.0, None])]
     df = spark.createDataFrame(rows, "id long, v array<double>")

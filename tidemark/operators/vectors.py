@@ -281,6 +281,8 @@ def kmeans(rows: DataFrame, id_col: str, features: Column, k: int | None = None,
 
 #: Members of a cluster that a task can hold.
 TASK = 20_000
+#: Distances from members to centers that a task holds at once.
+CELLS = 1 << 20
 
 
 def _dealt_out(rows: DataFrame, parts: int = 16) -> DataFrame:
@@ -303,6 +305,20 @@ def _dealt_out(rows: DataFrame, parts: int = 16) -> DataFrame:
         rows = materialized(rows.join(big, "c", "left_anti").unionByName(new), "parts")
 
 
+def _nearest_center(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """By squared distance, the first of equals: products first, and differences where those leave less than their rounding between two."""
+    near, each = np.empty(len(x), np.int64), (centers * centers).sum(axis=1)
+    step = max(1, CELLS // len(centers))
+    for at in range(0, len(x), step):
+        some = x[at : at + step]
+        far = each[None, :] - 2 * (some @ centers.T)
+        near[at : at + step] = own = far.argmin(axis=1)
+        slack = 1e-12 * ((some * some).sum(axis=1) + each.max())
+        for i in np.flatnonzero((far <= far[np.arange(len(some)), own][:, None] + slack[:, None]).sum(axis=1) > 1):
+            near[at + i] = ((some[i] - centers) ** 2).sum(axis=1).argmin()
+    return near
+
+
 def resized(members: DataFrame, cluster: str, id_col: str = "vec_id", vec_col: str = "embedding", least: int = 2, most: int = 50, seed: int = 0) -> DataFrame:
     """(id_col, cluster: its smallest member): clusters of `least` to `most` members; smaller ones are noise (null), larger ones are split in turn.
 
@@ -314,7 +330,8 @@ def resized(members: DataFrame, cluster: str, id_col: str = "vec_id", vec_col: s
     def split(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         order = np.argsort(ids)
-        ids, v = ids[order], np.array(table.column("v").to_pylist(), float)[order]
+        lists = table.column("v").combine_chunks()
+        ids, v = ids[order], lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)[order]
         rng = np.random.default_rng(seed)
         todo, label = [np.arange(len(ids))], np.full(len(ids), -1)
         while todo:
@@ -329,9 +346,13 @@ def resized(members: DataFrame, cluster: str, id_col: str = "vec_id", vec_col: s
                 todo += np.array_split(some, k)
                 continue
             centers = distinct[np.sort(rng.permutation(len(distinct))[: max(2, k)])]
+            x, before = v[some], None
             for _ in range(25):
-                near = ((v[some][:, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-                centers = np.array([v[some][near == c].mean(axis=0) if (near == c).any() else centers[c] for c in range(len(centers))])
+                near = _nearest_center(x, centers)
+                if before is not None and (near == before).all():
+                    break  # centers stay where they are from here on
+                before, order, ends = near, np.argsort(near, kind="stable"), np.cumsum(np.bincount(near, minlength=len(centers)))
+                centers = np.array([x[order[i:j]].mean(axis=0) if i < j else centers[c] for c, (i, j) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True))])
             parts = [some[near == c] for c in range(len(centers)) if (near == c).any()]
             todo += parts if len(parts) > 1 else np.array_split(some, k)
         return pa.table({"id": pa.array(ids, pa.int64()), "cluster": pa.array(ids[np.maximum(label, 0)], pa.int64(), mask=label < 0)})
