@@ -441,3 +441,44 @@ def test_cooldowns_of_alerts_count_whole_seconds(spark):
     rules = spark.createDataFrame([("slow", "m > 1", "warning", 720, True)], "rule string, condition string, severity string, cooldown_minutes int, enabled boolean")
     got = T.fire_alerts(spark.createDataFrame([("m", t, 2.0) for t in ts], "name string, ts timestamp_ntz, value double"), rules)
     assert sorted(r.ts for r in got.collect()) == [ts[0], ts[2], ts[3]]
+
+
+def test_k_hop_keeps_seeds_as_bits(spark, monkeypatch):
+    """150 seeds and as many others around one node: no table has a row for each pair of seed and node."""
+    written, plain = [], G.materialized
+
+    def counted(df, *a):
+        written.append(plain(df, *a))
+        return written[-1]
+
+    monkeypatch.setattr(G, "materialized", counted)
+    edges = spark.createDataFrame([(k, 1000) for k in range(150)] + [(1000, 2000 + k) for k in range(150)], "source_id long, target_id long")
+    got = G.k_hop(edges, spark.range(150), 3)
+    sizes = [t.count() for t in written if spark._jvm.org.apache.hadoop.fs.Path(t._tidemark_path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(t._tidemark_path))]
+    assert max(sizes) <= 1000
+    hops = {(r.seed, r.id): r.hops for r in got.collect()}
+    assert got.count() == len(hops) == 150 * 301
+    assert all(h == (0 if s == i else 1 if i == 1000 else 2) for (s, i), h in hops.items())
+
+
+@pytest.mark.parametrize("words", [1, 8])
+def test_k_hop_is_the_plain_one(spark, monkeypatch, words):
+    """Over several parts of seeds, with loops, ends that are null and seeds that are alone: each pair once, by the shortest way."""
+    monkeypatch.setattr(G, "WORDS", words)
+    rng = np.random.default_rng(words)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (420, 2))] + [(7, 7), (1, None), (2, None), (None, 3), (1, 2), (1, 2)]
+    seeds = [*range(0, 400, 2), 5, 5, 900]
+    near: dict = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for s in seeds:
+        level = {s}
+        want[s, s] = 0
+        for hop in range(1, 4):
+            level = {y for x in level if x is not None for y in near.get(x, ()) if (s, y) not in want}
+            want |= {(s, y): hop for y in level}
+    got = G.k_hop(spark.createDataFrame(pairs, "source_id long, target_id long"), spark.createDataFrame([(s,) for s in seeds], "id long"), 3).collect()
+    assert len(got) == len(want)
+    assert {(r.seed, r.id): r.hops for r in got} == want

@@ -65,16 +65,37 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return valid_edges(ids.select("id"), edges)
 
 
+#: Words of 64 bits in a row of k_hop's tables: as many seeds share a row, a bit each.
+WORDS = 8
+
+
 def k_hop(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, id, hops): what each seed reaches in at most `depth` steps in either direction, by the shortest way; seeds themselves at 0."""
-    both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("to")).union(edges.select("target_id", "source_id")).distinct()
-    seen = materialized(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hops")).distinct())
-    edge = seen
+    """(seed, id, hops): what each seed reaches in at most `depth` steps in either direction, by the shortest way; seeds themselves at 0.
+
+    A step goes along all edges once for each part of 64 * `WORDS` seeds, of which a row has a bit each; a pair of seed and node becomes a row
+    only in the result.
+    """
+    both = materialized(edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("to")).union(edges.select("target_id", "source_id")).distinct(), "steps")
+    ids = materialized(seeds.select(F.col("id").alias("seed")).distinct(), "seeds")
+    count_of = ids.repartition(max(1, -(-ids.count() >> 20))).select("seed", F.monotonically_increasing_id().alias("n"))
+    place = materialized(count_of, "places").select("seed", F.expr(f"n div {64 * WORDS}").alias("part"), F.expr(f"cast(n div 64 % {WORDS} as int)").alias("word"), F.expr("cast(n % 64 as int)").alias("bit"))
+    marks = [f"m{w}" for w in range(WORDS)]
+    own = [F.bit_or(F.when(F.col("word") == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).otherwise(F.lit(0).cast("long"))).alias(m) for w, m in enumerate(marks)]
+    edge = materialized(place.groupBy(F.col("seed").alias("id"), "part").agg(*own), "reach")
+    seen, out = edge, ids.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hops"))
+    group = materialized(place.groupBy("part", "word").agg(F.collect_list(F.struct("bit", "seed")).alias("seeds")), "groups")
+    none = [F.lit(0).cast("long").alias(f"old_{m}") for m in marks]
     for hop in range(1, depth + 1):
-        step = edge.join(both, "id").select("seed", F.col("to").alias("id")).distinct()
-        edge = materialized(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hops", F.lit(hop)))
+        step = edge.join(both, "id").select(F.col("to").alias("id"), "part", *marks, *none)
+        known = seen.select("id", "part", *(F.lit(0).cast("long").alias(m) for m in marks), *(F.col(m).alias(f"old_{m}") for m in marks))
+        new = step.unionByName(known).groupBy("id", "part").agg(*(F.bit_or(m).bitwiseAND(F.bitwise_not(F.bit_or(f"old_{m}"))).alias(m) for m in marks))
+        edge = materialized(new.where(" or ".join(f"{m} <> 0" for m in marks)), "reach")
         seen = seen.unionByName(edge)
-    return seen
+        words = edge.select("id", "part", F.posexplode(F.array(*marks)).alias("word", "mark")).where("mark <> 0").join(group, ["part", "word"])
+        here = words.select("id", F.explode(F.filter("seeds", lambda s: F.getbit("mark", s["bit"]) == 1)).alias("s"))
+        out = out.unionByName(here.select("s.seed", "id", F.lit(hop).alias("hops")))
+    forget(both)
+    return out
 
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, most_hops: int = 5, cost: Column | None = None) -> DataFrame:
