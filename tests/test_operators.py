@@ -482,3 +482,32 @@ def test_k_hop_is_the_plain_one(spark, monkeypatch, words):
     got = G.k_hop(spark.createDataFrame(pairs, "source_id long, target_id long"), spark.createDataFrame([(s,) for s in seeds], "id long"), 3).collect()
     assert len(got) == len(want)
     assert {(r.seed, r.id): r.hops for r in got} == want
+
+
+@pytest.mark.parametrize("n", [7, 90, 700])
+def test_nearest_vectors_are_those_of_double_precision(spark, monkeypatch, n):
+    """Copies, near copies that single precision can't tell apart, zero vectors and numbers that aren't any; groups of products and whole rows."""
+    monkeypatch.setattr(V, "CELLS", 2000)
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 6))
+    v[n // 2 :] = v[: n - n // 2] + rng.choice([0, 1e-8, 1e-7, 1e-3], (n - n // 2, 1)) * rng.normal(size=(n - n // 2, 6))
+    v[3], v[5, 2] = 0, np.nan
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    u = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+    score = np.array([[round(float(a @ b), 12) for b in u] for a in u])
+    some = [i for i in range(n) if i != 5]
+    want = {i: sorted((-score[i, j], j) for j in some if j != i)[:4] for i in some}
+    i, j, s = V._nearest_of(u[some], u[some], np.array(some), np.array(some), 4, True)
+    got = {}
+    for a, b, x in zip(i, j, s, strict=True):
+        got.setdefault(some[a], []).append((-x, some[b]))
+    assert got.keys() == want.keys()
+    for a in some:
+        assert [b for _, b in got[a]] == [b for _, b in want[a]] or np.allclose([x for x, _ in got[a]], [x for x, _ in want[a]], rtol=0, atol=2e-12)
+    reached = {(some[a], some[b]) for i, j, _ in V._reaching(u[some], u[some], 0.5) for a, b in zip(i, j, strict=True)}
+    assert all(abs(score[a, b] - 0.5) < 2e-12 or ((a, b) in reached) == (score[a, b] >= 0.5) for a in some for b in some)
+
+
+def test_blocks_grow_with_the_vectors():
+    """A vector is sent to each block: 720,000 vectors have 22 blocks, not 352."""
+    assert [V._block_count(n, 2048) for n in (0, 1, 2049, 30_000, 120_000, 720_000)] == [1, 1, 2, 15, 16, 22]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,85 @@ from .search import distance
 
 #: Vectors in a block: two blocks are held against each other in one task.
 BLOCK = 2048
+#: Products or distances that a task holds at once.
+CELLS = 1 << 20
+
+
+def _units(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors that have finite numbers, and all as unit vectors; a zero vector stays one."""
+    lists = table.column("v").combine_chunks()
+    v = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+    return np.flatnonzero(np.isfinite(v).all(axis=1) & np.isfinite(size[:, 0])), v
+
+
+def _exact(v: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of pairs to twelve digits."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), 1 << 16):
+        some = slice(at, at + (1 << 16))
+        out[some] = np.einsum("ij,ij->i", v[i[some]], w[j[some]])
+    return np.round(out, 12)
+
+
+def _strips(v: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, np.ndarray, float]]:
+    """Products in single precision, so many rows at once as `CELLS` allows: (first row, products, what they may be off by)."""
+    a, b = v.astype(np.float32), w.astype(np.float32)
+    step = max(1, CELLS // max(1, len(b)))
+    for at in range(0, len(a), step):
+        yield at, a[at : at + step] @ b.T, (v.shape[1] + 16) * 2.0**-23
+
+
+def _reaching(v: np.ndarray, w: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, score) of all pairs with cosine `least` or more, strip by strip: single precision names candidates."""
+    for at, s, off in _strips(v, w):
+        i, j = np.divmod(np.flatnonzero(s >= np.float32(least - off)), s.shape[1])
+        score = _exact(v, w, i + at, j)
+        yes = score >= least
+        yield i[yes] + at, j[yes], score[yes]
+
+
+def _nearest_of(v: np.ndarray, w: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, score) of each row's `k` nearest of another id, ties by id: only what may be among them is looked at in double precision."""
+    found = []
+    groups = max(16, 4 * k)
+    for at, s, off in _strips(v, w):
+        if same:  # equal ids are in one block
+            s[ids[at : at + len(s), None] == others[None, :]] = -3
+        m = s.shape[1]
+        if m > 4 * groups:  # the k-th of the greatest of so many groups is no more than the k-th of all
+            some = s[:, : m // groups * groups].reshape(len(s), groups, -1).max(axis=2)
+            kth = np.partition(some, groups - k, axis=1)[:, groups - k]
+        else:
+            kth = np.partition(s, m - k, axis=1)[:, m - k] if m > k else np.full(len(s), -2.0, np.float32)
+        from_here = np.where(kth > -2, kth - np.float32(2 * off), np.float32(-2))
+        i, j = np.divmod(np.flatnonzero(s >= from_here[:, None]), m)
+        i += at
+        score = _exact(v, w, i, j)
+        order = np.lexsort((others[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        found.append((i[place < k], j[place < k], score[place < k]))
+    return tuple(np.concatenate([f[c] for f in found]) if found else np.empty(0, t) for c, t in enumerate((np.int64, np.int64, float)))
+
+
+def _block_count(n: int, block: int) -> int:
+    """So many blocks that each has `block` vectors, or up to 16 times as many where there are more than 16 blocks."""
+    return max(1, min(-(-n // block), max(16, -(-n // (16 * block)))))
+
+
+def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """Rows (id, v) once for each pair of blocks x <= y that they take part in."""
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return dealt.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "v")
+
+
+def _plain_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, v) of vectors that aren't null; single precision stays that."""
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    return vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind if kind == "array<float>" else "array<double>").alias("v"))
 
 
 def blocked_pairs(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, least: float | None = None, k: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -18,36 +99,27 @@ def blocked_pairs(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "em
 
     Vectors are dealt into blocks by hash; a task gets two blocks and multiplies them, so that only what is asked for becomes a row.
     The work is that of all pairs, in bounded tasks; for more vectors than that suits there is an index of `k` candidates to build
-    first. A zero vector is like nothing.
+    first. Products in single precision name candidates, of which the cosines are taken in double precision. A zero vector is like nothing.
     """
-    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "v")
+    rows = _plain_rows(vectors, id_col, vec_col)
+    dealt = _dealt(rows, _block_count(rows.count(), block))
 
     def run(table: pa.Table) -> pa.Table:
         ids, block_of = table.column("id").to_numpy(), table.column("block").to_numpy()
-        v = np.array(table.column("v").to_pylist(), float)
-        size = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+        some, v = _units(table)
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        p, q = (np.flatnonzero(block_of == x), np.flatnonzero(block_of == y))
-        score = np.round(v[p] @ v[q].T, 12)
+        p, q = some[block_of[some] == x], some[block_of[some] == y]
+        out = []
         if least is not None:
-            i, j = np.nonzero(score >= least)
-            keep = ids[p[i]] < ids[q[j]] if x == y else np.ones(len(i), bool)
-            a, b, s = ids[p[i]][keep], ids[q[j]][keep], score[i, j][keep]
-            a, b = np.minimum(a, b), np.maximum(a, b)
+            for i, j, s in _reaching(v[p], v[q], least):
+                a, b = ids[p[i]], ids[q[j]]
+                keep = a < b if x == y else np.ones(len(a), bool)
+                out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], s[keep]))
         else:
-            sides = [(p, q, score)] + ([(q, p, score.T)] if x != y else [])
-            out = []
-            for left, right, m in sides:
-                m = np.where(ids[left][:, None] == ids[right][None, :], -2.0, m)
-                for row, near in enumerate(m):
-                    top = np.lexsort((ids[right], -near))[:k]
-                    out += [(ids[left[row]], ids[right[t]], near[t]) for t in top if near[t] > -2]
-            a, b, s = (np.array(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            for left, right in [(p, q)] if x == y else [(p, q), (q, p)]:
+                i, j, s = _nearest_of(v[left], v[right], ids[left], ids[right], k, x == y)
+                out.append((ids[left[i]], ids[right[j]], s))
+        a, b, s = (np.concatenate([o[c] for o in out]) if out else [] for c in range(3))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
 
     pairs = dealt.groupBy("x", "y").applyInArrow(run, "a long, b long, score double")
@@ -281,8 +353,6 @@ def kmeans(rows: DataFrame, id_col: str, features: Column, k: int | None = None,
 
 #: Members of a cluster that a task can hold.
 TASK = 20_000
-#: Distances from members to centers that a task holds at once.
-CELLS = 1 << 20
 
 
 def _dealt_out(rows: DataFrame, parts: int = 16) -> DataFrame:
