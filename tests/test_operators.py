@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -511,3 +512,20 @@ def test_nearest_vectors_are_those_of_double_precision(spark, monkeypatch, n):
 def test_blocks_grow_with_the_vectors():
     """A vector is sent to each block: 720,000 vectors have 22 blocks, not 352."""
     assert [V._block_count(n, 2048) for n in (0, 1, 2049, 30_000, 120_000, 720_000)] == [1, 1, 2, 15, 16, 22]
+
+
+@pytest.mark.parametrize(("least", "dim"), [(0.9, 2), (0.97, 6), (0.6, 6)])
+def test_linked_vectors_are_the_components_of_all_pairs(spark, monkeypatch, least, dim):
+    """With one component that has most vectors, and with many; no table has as many links as there are pairs."""
+    written, plain = [], V.components
+    monkeypatch.setattr(V, "components", lambda pairs, *a: written.append(pairs.count()) or plain(pairs, *a))
+    rng = np.random.default_rng(dim)
+    v = [*rng.normal(size=(150, dim)).tolist(), [0.0] * dim, None, [math.nan] * dim]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.component for r in V.linked(df, least, block=12).collect()}
+    pairs = V.blocked_pairs(df, least=least)
+    assert got == {r.vec_id: r.component for r in plain(pairs, df, "vec_id").collect()}
+    assert len(got) == 153
+    if dim == 2:
+        assert max(written) < pairs.count() / 2
+    assert {r.vec_id: r.component for r in V.linked(df.limit(0), least).collect()} == {}

@@ -239,6 +239,85 @@ def components(pairs: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
     return ids.join(found.withColumnRenamed("id", id_col), id_col, "left").select(id_col, F.coalesce("component", id_col).alias("component"))
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links (a, b) links that connect the same: each id with the smallest that it reaches."""
+    ids, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = both[: len(a)], both[len(a) :]
+    label = np.arange(len(ids))
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        # a group's label is taken down by its links, then each goes to its label's label
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    rest = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[rest]], ids[rest]
+
+
+def _star_rows(links: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """Links as they come, reduced whenever many are held."""
+    a = b = np.empty(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for pair in links:
+        held.append(pair)
+        if sum(len(x) for x, _ in held) > max(CELLS, 2 * len(a)):
+            a, b = _stars(np.concatenate([a, *(x for x, _ in held)]), np.concatenate([b, *(y for _, y in held)]))
+            held = []
+    a, b = _stars(np.concatenate([a, *(x for x, _ in held)]), np.concatenate([b, *(y for _, y in held)]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def linked(vectors: DataFrame, least: float, id_col: str = "vec_id", vec_col: str = "embedding", *, block: int = BLOCK) -> DataFrame:
+    """(vec_id, component): the smallest id that links of cosine `least` or more lead to, over any number of vectors. Exact.
+
+    No table holds all links: a task gives for its vectors links that connect the same. First each block is held against the next one. What that
+    connects needn't be compared any more: all vectors but those of the largest component so far are then held against all others; if those are more
+    than half, all pairs of blocks are compared.
+    """
+    from ..shared import forget, materialized
+
+    rows = materialized(_plain_rows(vectors, id_col, vec_col), "vectors")
+    n = rows.count()
+    blocks = _block_count(n, block)
+    place = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+
+    def between(table: pa.Table) -> pa.Table:
+        ids, block_of = table.column("id").to_numpy(), table.column("block").to_numpy()
+        some, v = _units(table)
+        p, q = (some[block_of[some] == table.column(c)[0].as_py()] for c in "xy")
+        return _star_rows((ids[p[i]], ids[q[j]]) for i, j, _ in _reaching(v[p], v[q], least))
+
+    def across(table: pa.Table) -> pa.Table:
+        ids, asks = table.column("id").to_numpy(), table.column("asks").to_numpy()
+        some, v = _units(table)
+        p, q = some[asks[some]], some[~asks[some]]
+        return _star_rows((ids[p[i]], ids[q[j]]) for i, j, _ in _reaching(v[p], v[q], least))
+
+    chain = rows.withColumn("x", place).unionByName(rows.withColumn("x", F.pmod(place - 1, F.lit(blocks)))) if blocks > 1 else rows.withColumn("x", place)
+    chain = chain.select("x", F.pmod(F.col("x") + 1, F.lit(blocks)).alias("y"), place.alias("block"), "id", "v")
+    links = materialized(chain.groupBy("x", "y").applyInArrow(between, "a long, b long"), "links")
+    if blocks > 1:
+        first = materialized(components(links, rows, "id"), "components")
+        largest = first.groupBy("component").count().orderBy(F.desc("count"), "component").first()
+        odd = materialized(rows.join(first.where(F.col("component") != largest["component"]), "id", "left_semi"), "odd")
+        m = odd.count()
+        if 2 * m > n:
+            more = _dealt(rows, blocks).groupBy("x", "y").applyInArrow(between, "a long, b long")
+        else:
+            parts = max(1, -(-m // (16 * block)))
+            asked = odd.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y"), F.lit(True).alias("asks"), "id", "v")
+            others = rows.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("x"), place.alias("y"), F.lit(False).alias("asks"), "id", "v")
+            more = asked.union(others).groupBy("x", "y").applyInArrow(across, "a long, b long")
+        links = links.unionByName(materialized(more, "links"))
+        forget(odd)
+    found = components(links, vectors.select(F.col(id_col).cast("long").alias(id_col)), id_col)
+    forget(rows)
+    return found
+
+
 def star_clusters(vectors: DataFrame, least: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id_col, center): greedy star clusters. The smallest free id takes all free ones within reach, then the next.
 

@@ -191,8 +191,7 @@ def approximate_search(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_UNIT}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4),
   r AS (SELECT vec_id AS id, vec_id AS reach FROM u UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach) SELECT id AS vec_id, min(reach) AS component FROM r GROUP BY 1""")
 def threshold_components(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "embeddings")
-    return V.components(V.blocked_pairs(e, least=0.4), e, "vec_id")
+    return V.linked(load(spark, d, "embeddings"), 0.4)
 
 
 @query()
